@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Sequence
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -224,20 +226,41 @@ def overlap_violations(windows: DataFrame, layout: Layout) -> DataFrame:
     return seen.where(F.col("_reach") > F.col("start")).drop("_reach")
 
 
-def _greedy(rows: pd.DataFrame, tolerance: float) -> list[tuple[float, int]]:
+def _sorted_groups(
+    batches: Iterator[pd.DataFrame], key: Sequence[str], values: Sequence[str]
+) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Consecutive rows with equal keys from sorted batches, one group in memory at a time."""
+    current, rows = None, []
+    for batch in batches:
+        keys = zip(*[batch[c].tolist() for c in key])
+        for at, row in zip(keys, zip(*[batch[c].tolist() for c in values])):
+            if at != current:
+                if rows:
+                    yield current, rows
+                current, rows = at, []
+            rows.append(row)
+    if rows:
+        yield current, rows
+
+
+def _framed(rows: Iterator[tuple], columns: Sequence[str], size: int = 10_000) -> Iterator[pd.DataFrame]:
+    while block := list(islice(rows, size)):
+        yield pd.DataFrame(block, columns=columns)
+
+
+def _greedy(rows: list[tuple], tolerance: float) -> list[tuple[float, int]]:
     """Each hypothesis boundary, in order, takes the nearest free reference boundary within reach.
 
-    Rows are distinct positions with counts, sorted; only positions within reach are looked at.
-    Returns (error, matches) pairs.
+    Rows are distinct (position, references, hypotheses), sorted; only positions within reach are
+    looked at. Returns (error, matches) pairs.
     """
-    positions = rows["at"].tolist()
-    free = rows["refs"].tolist()
+    positions = [r[0] for r in rows]
+    free = [r[1] for r in rows]
     matches: list[tuple[float, int]] = []
     low = 0
-    for at, wanted in zip(positions, rows["hyps"]):
+    for at, _, wanted in rows:
         while low < len(positions) and at - positions[low] > tolerance:
             low += 1
-        wanted = int(wanted)
         if not wanted:
             continue
         reach = []
@@ -248,10 +271,9 @@ def _greedy(rows: pd.DataFrame, tolerance: float) -> list[tuple[float, int]]:
             i += 1
         for error, i in sorted(reach):
             taken = min(wanted, free[i])
-            if taken:
-                free[i] -= taken
-                wanted -= taken
-                matches.append((error, taken))
+            free[i] -= taken
+            wanted -= taken
+            matches.append((error, taken))
             if not wanted:
                 break
     return matches
@@ -288,16 +310,9 @@ def match_boundaries(
     )
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pending: pd.DataFrame | None = None
-        for batch in batches:
-            batch = batch if pending is None else pd.concat([pending, batch], ignore_index=True)
-            pending = None
-            groups = list(batch.groupby([MEDIA, "stretch"], sort=False))
-            if groups:
-                pending = groups[-1][1]
-            yield from _matched(groups[:-1], tolerance)
-        if pending is not None:
-            yield from _matched([((pending[MEDIA].iloc[0], 0), pending)], tolerance)
+        groups = _sorted_groups(batches, [MEDIA, "stretch"], ["at", "refs", "hyps"])
+        found = ((key[0], *match) for key, rows in groups for match in _greedy(rows, tolerance))
+        yield from _framed(found, [MEDIA, "error", "matches"])
 
     schema = f"{MEDIA} bigint, error bigint, matches bigint"
     return (
@@ -307,28 +322,22 @@ def match_boundaries(
     )
 
 
-def _matched(groups, tolerance) -> Iterator[pd.DataFrame]:
-    rows = [
-        (key[0], error, taken) for key, rows in groups for error, taken in _greedy(rows, tolerance)
-    ]
-    if rows:
-        yield pd.DataFrame(rows, columns=[MEDIA, "error", "matches"])
+def _greedy_intervals(rows: list[tuple], tolerance: float) -> int:
+    """References in order take the free hypothesis with the smallest summed bound error.
 
-
-def _greedy_intervals(rows: pd.DataFrame, tolerance: float) -> int:
-    """References in order take the free hypothesis with the smallest summed bound error."""
-    refs = rows[rows["side"] == 0].sort_values(["start", "end", "seg_idx"])
-    hyps = rows[rows["side"] == 1].sort_values(["start", "end", "seg_idx"])
-    starts, ends = hyps["start"].to_numpy(), hyps["end"].to_numpy()
+    Rows are (side, start, end), sorted by start, side 0 being the reference.
+    """
+    hyps = [r[1:] for r in rows if r[0] == 1]
+    starts = [h[0] for h in hyps]
     free = [True] * len(hyps)
     matched = 0
-    for start, end in zip(refs["start"], refs["end"]):
-        low = starts.searchsorted(start - tolerance)
-        high = starts.searchsorted(start + tolerance, side="right")
+    for side, start, end in rows:
+        if side:
+            continue
         best = None
-        for i in range(low, high):
-            if free[i] and abs(ends[i] - end) <= tolerance:
-                cost = abs(starts[i] - start) + abs(ends[i] - end)
+        for i in range(bisect_left(starts, start - tolerance), bisect_right(starts, start + tolerance)):
+            if free[i] and abs(hyps[i][1] - end) <= tolerance:
+                cost = abs(starts[i] - start) + abs(hyps[i][1] - end)
                 if best is None or cost < best[0]:
                     best = (cost, i)
         if best:
@@ -363,14 +372,16 @@ def match_intervals(
         .drop("_a", "_b")
     )
 
-    def match(key, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(
-            [(key[0], key[2], _greedy_intervals(rows, key[2]))], columns=[MEDIA, "tolerance", "matched"]
-        )
+    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group = [MEDIA, "speaker", "tolerance", "stretch"]
+        groups = _sorted_groups(batches, group, ["side", "start", "end"])
+        counts = ((key[0], key[2], _greedy_intervals(rows, key[2])) for key, rows in groups)
+        yield from _framed(counts, [MEDIA, "tolerance", "matched"])
 
     matched = (
         stretches.join(useful, [*keys, "stretch"], "left_semi")
-        .groupBy(*keys, "stretch")
-        .applyInPandas(match, f"{MEDIA} bigint, tolerance bigint, matched bigint")
+        .repartition(*keys, "stretch")
+        .sortWithinPartitions(*keys, "stretch", *order)
+        .mapInPandas(match, f"{MEDIA} bigint, tolerance bigint, matched bigint")
     )
     return matched.groupBy(MEDIA, "tolerance").agg(F.sum("matched").alias("matched"))

@@ -142,7 +142,7 @@ def diarization_error(
         columns = [rows[mask_column(layer, word)].tolist() for word in range(words)]
         return [sum(int(v) << (WORD_BITS * k) for k, v in enumerate(row)) for row in zip(*columns)]
 
-    def score(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def score(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         refs, hyps = list(rows["ref_labels"].iloc[0]), list(rows["hyp_labels"].iloc[0])
         rows = rows[rows["frames"].notna()]
         frames = [int(f) for f in rows["frames"]]
@@ -204,10 +204,10 @@ def activity_scores(
         return F.coalesce(F.sum(F.when(flag, F.col("frames"))), F.lit(0))
 
     counts = patterns.groupBy(MEDIA).agg(
-        frames(a & b).alias("both"), frames(a & ~b).alias("first_only"), frames(~a & b).alias("second_only")
+        frames(a & b).alias("both_active"), frames(a & ~b).alias("first_only"), frames(~a & b).alias("second_only")
     )
     return counts.select(
-        "*", *precision_recall(F.col("both"), F.col("second_only"), F.col("first_only"), strict)
+        "*", *precision_recall(F.col("both_active"), F.col("second_only"), F.col("first_only"), strict)
     )
 
 
@@ -297,7 +297,7 @@ def repeat_agreement(
         "exact_frames", "voiced_frames", "voiced_exact_frames", "speech_agree_frames",
     ]
 
-    def score(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def score(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         frames = [int(f) for f in rows["frames"].fillna(0)]
         ref_masks, hyp_masks = joined_mask(rows, "ref"), joined_mask(rows, "hyp")
 

@@ -490,8 +490,8 @@ def boundary_union(spark, sf):
     """WITH a AS (SELECT o_custkey, list_sort(list(DISTINCT o_orderstatus)) AS x, list_sort(list(DISTINCT substr(o_orderpriority, 1, 1))) AS y,
   list_sort(list(DISTINCT CASE o_orderstatus WHEN 'F' THEN '1' WHEN 'O' THEN '2' ELSE '3' END)) AS z FROM orders GROUP BY 1)
  SELECT o_custkey, array_to_string(x, ',') AS labels, len(list_intersect(y, z)) AS shared,
-  array_to_string(list_sort(list_filter(z, v -> NOT list_contains(y, v))), ',') AS unknown,
-  array_to_string(list_sort(list_concat(list_filter(z, v -> NOT list_contains(y, v)), list_filter(y, v -> NOT list_contains(z, v)))), ',') AS symmetric,
+  array_to_string(list_sort(list_filter(z, lambda v: NOT list_contains(y, v))), ',') AS unknown,
+  array_to_string(list_sort(list_concat(list_filter(z, lambda v: NOT list_contains(y, v)), list_filter(y, lambda v: NOT list_contains(z, v)))), ',') AS symmetric,
   y = z AS equal_sets FROM a""",
 )
 def label_set_relations(spark, sf):
