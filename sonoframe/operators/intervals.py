@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sonoframe.operators.rangejoin import overlapping_pairs
 from sonoframe.operators.scan import Layout, as_of, islands, lag, row_index, running, running_max
+from sonoframe.session import spread
 
 MEDIA = "media_id"
 
@@ -316,7 +317,7 @@ def match_boundaries(
 
     schema = f"{MEDIA} bigint, error bigint, matches bigint"
     return (
-        grouped.repartition(MEDIA, "stretch")
+        spread(grouped, MEDIA, "stretch")
         .sortWithinPartitions(MEDIA, "stretch", "at")
         .mapInPandas(match, schema)
     )
@@ -379,8 +380,7 @@ def match_intervals(
         yield from _framed(counts, [MEDIA, "tolerance", "matched"])
 
     matched = (
-        stretches.join(useful, [*keys, "stretch"], "left_semi")
-        .repartition(*keys, "stretch")
+        spread(stretches.join(useful, [*keys, "stretch"], "left_semi"), *keys, "stretch")
         .sortWithinPartitions(*keys, "stretch", *order)
         .mapInPandas(match, f"{MEDIA} bigint, tolerance bigint, matched bigint")
     )

@@ -6,8 +6,9 @@ many frame centres it holds, and spans collapse to distinct set patterns before
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,6 +26,7 @@ from sonoframe.operators.timeline import (
     sweep,
     word_count,
 )
+from sonoframe.session import cut, spread
 
 MEDIA = "media_id"
 
@@ -51,6 +53,33 @@ def collar_segments(reference: DataFrame, collar: int) -> DataFrame:
     )
 
 
+def layer_patterns(
+    parts: DataFrame, layers: Sequence[str], durations: DataFrame, frame: int, layout: Layout
+) -> tuple[DataFrame, DataFrame, int]:
+    """Frame counts per distinct combination of label sets over the layers.
+
+    Frame ``i`` stands for its centre ``min(duration, (i + 0.5) * frame)``. Returns the patterns
+    ``(media_id, <layer>_mask_<word>..., frames)``, the label ranks and the word count.
+    """
+    ranks = cut(label_ranks(parts))
+    words = word_count(ranks)
+    origin = durations.select(MEDIA, F.lit(0).cast("bigint").alias("at"))
+    spans = sweep(parts, list(layers), layout, ranks, words, origin)
+    total = frame_total(F.col("duration"), frame)
+
+    def before(bound: str) -> Column:
+        return centres_before(F.col(bound), total, frame, F.col("duration"))
+
+    opened = F.greatest(F.lit(0), before("start"))
+    closed = F.when(F.col("end").isNull(), total).otherwise(before("end"))
+    masks = [mask_column(layer, word) for layer in layers for word in range(words)]
+    held = spans.join(durations, MEDIA).select(
+        MEDIA, *masks, (closed - opened).alias("frames")
+    )
+    patterns = held.where("frames > 0").groupBy(MEDIA, *masks).agg(F.sum("frames").alias("frames"))
+    return patterns, ranks, words
+
+
 def frame_patterns(
     reference: DataFrame,
     hypothesis: DataFrame,
@@ -59,40 +88,29 @@ def frame_patterns(
     layout: Layout,
     collar: int | None = None,
 ) -> tuple[DataFrame, DataFrame, int]:
-    """Frame counts per distinct (reference set, hypothesis set, in collar).
-
-    Frame ``i`` stands for its centre ``min(duration, (i + 0.5) * frame)``. Returns the patterns
-    ``(media_id, ref_mask_*, hyp_mask_*, in_collar, frames)``, the label ranks and the word count.
-    """
+    """Patterns of reference and hypothesis sets, with ``in_collar`` near reference bounds."""
     parts = layered(reference, "ref").unionByName(layered(hypothesis, "hyp"))
     layers = ["ref", "hyp"]
     if collar:
         parts = parts.unionByName(collar_segments(reference, collar))
         layers.append("collar")
-    ranks = label_ranks(parts)
-    words = word_count(ranks)
-    origin = durations.select(MEDIA, F.lit(0).cast("bigint").alias("at"))
-    spans = sweep(parts, layers, layout, ranks, words, origin)
-    total = frame_total(F.col("duration"), frame)
-    held = spans.join(durations, MEDIA).select(
-        *spans.columns,
-        (
-            F.when(F.col("end").isNull(), total).otherwise(
-                centres_before(F.col("end"), total, frame, F.col("duration"))
-            )
-            - F.greatest(
-                F.lit(0), centres_before(F.col("start"), total, frame, F.col("duration"))
-            )
-        ).alias("frames"),
-    )
-    masks = [mask_column(layer, word) for layer in ("ref", "hyp") for word in range(words)]
+    patterns, ranks, words = layer_patterns(parts, layers, durations, frame, layout)
     in_collar = (F.col(mask_column("collar", 0)) > 0) if collar else F.lit(False)
-    patterns = (
-        held.where("frames > 0")
-        .groupBy(MEDIA, *masks, in_collar.alias("in_collar"))
-        .agg(F.sum("frames").alias("frames"))
+    return patterns.withColumn("in_collar", in_collar), ranks, words
+
+
+def _unpacked(patterns, words: int) -> tuple[list[int], list[int], list[int]]:
+    """Whole-set masks and frame counts of collected patterns; no pattern at all gives empty lists."""
+    rows = [] if patterns is None else patterns
+
+    def joined(row, layer: str) -> int:
+        return sum(int(row[mask_column(layer, k)]) << (WORD_BITS * k) for k in range(words))
+
+    return (
+        [joined(r, "ref") for r in rows],
+        [joined(r, "hyp") for r in rows],
+        [int(r["frames"]) for r in rows],
     )
-    return patterns, ranks, words
 
 
 SETTINGS = (
@@ -107,7 +125,8 @@ def diarization_error(
 ) -> DataFrame:
     """Missed, false-alarm and confused frames per setting under the best label mapping.
 
-    Only distinct patterns reach Python, one small group per (recording, setting).
+    Only distinct patterns reach Python: one row per (recording, setting) whose array holds each
+    combination of label sets once, however long the recording is.
     """
     settings = F.array(
         *[
@@ -134,43 +153,34 @@ def diarization_error(
     )
     masks = [mask_column(layer, word) for layer in ("ref", "hyp") for word in range(words)]
     merged = scored.groupBy(MEDIA, "setting", *masks).agg(F.sum("frames").alias("frames"))
+    packed = merged.groupBy(MEDIA, "setting").agg(
+        F.collect_list(F.struct(*masks, "frames")).alias("patterns")
+    )
     # Keep recordings whose every frame was excluded: they report zero evaluated frames.
     wanted = headed.select("*", F.inline(settings)).drop("_collar", "_overlap")
-    grouped = wanted.join(merged, [MEDIA, "setting"], "left")
-
-    def joined_mask(rows: pd.DataFrame, layer: str) -> list[int]:
-        columns = [rows[mask_column(layer, word)].tolist() for word in range(words)]
-        return [sum(int(v) << (WORD_BITS * k) for k, v in enumerate(row)) for row in zip(*columns)]
-
-    def score(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        refs, hyps = list(rows["ref_labels"].iloc[0]), list(rows["hyp_labels"].iloc[0])
-        rows = rows[rows["frames"].notna()]
-        frames = [int(f) for f in rows["frames"]]
-        ref_masks, hyp_masks = joined_mask(rows, "ref"), joined_mask(rows, "hyp")
-        mapping, (missed, false_alarm, confusion) = best_mapping(
-            ref_masks, hyp_masks, frames, len(refs), len(hyps)
-        )
-        text = ",".join(f"{h}={'' if t is None else refs[t]}" for h, t in zip(hyps, mapping))
-        speaker = sum(m.bit_count() * f for m, f in zip(ref_masks, frames))
-        return pd.DataFrame(
-            [(key[0], key[1], sum(frames), speaker, missed, false_alarm, confusion, text)],
-            columns=[
-                MEDIA,
-                "setting",
-                "evaluated_frames",
-                "reference_frames",
-                "missed_frames",
-                "false_alarm_frames",
-                "confusion_frames",
-                "mapping",
-            ],
-        )
-
-    schema = (
-        f"{MEDIA} bigint, setting string, evaluated_frames bigint, reference_frames bigint, "
-        "missed_frames bigint, false_alarm_frames bigint, confusion_frames bigint, mapping string"
+    grouped = spread(wanted.join(packed, [MEDIA, "setting"], "left"), MEDIA, "setting")
+    names = [
+        MEDIA, "setting", "evaluated_frames", "reference_frames",
+        "missed_frames", "false_alarm_frames", "confusion_frames", "mapping",
+    ]
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for media, setting, refs, hyps, patterns in zip(
+                *[batch[c] for c in (MEDIA, "setting", "ref_labels", "hyp_labels", "patterns")]
+            ):
+                ref_masks, hyp_masks, frames = _unpacked(patterns, words)
+                mapping, errors = best_mapping(ref_masks, hyp_masks, frames, len(refs), len(hyps))
+                text = ",".join(f"{h}={'' if t is None else refs[t]}" for h, t in zip(hyps, mapping))
+                speaker = sum(m.bit_count() * f for m, f in zip(ref_masks, frames))
+                rows.append((media, setting, sum(frames), speaker, *errors, text))
+            yield pd.DataFrame(rows, columns=names)
+
+    schema = f"{MEDIA} bigint, setting string, mapping string, " + ", ".join(
+        f"{n} bigint" for n in names[2:-1]
     )
-    out = grouped.groupBy(MEDIA, "setting").applyInPandas(score, schema)
+    out = grouped.mapInPandas(score, schema)
     errors = F.col("missed_frames") + F.col("false_alarm_frames") + F.col("confusion_frames")
     total = frame_total(F.col("duration"), frame)
     return out.join(durations, MEDIA).select(
@@ -195,16 +205,20 @@ def activity_scores(
     first: DataFrame, second: DataFrame, durations: DataFrame, frame: int, layout: Layout, strict: bool = False
 ) -> DataFrame:
     """Frames active in both, only the first, only the second, with precision, recall and F1."""
-    one = first.withColumn("speaker", F.lit(""))
-    two = second.withColumn("speaker", F.lit(""))
-    patterns, _, _ = frame_patterns(one, two, durations, frame, layout)
-    a, b = F.col("ref_mask_0") > 0, F.col("hyp_mask_0") > 0
+    parts = layered(first, "ref", F.lit("")).unionByName(layered(second, "hyp", F.lit("")))
+    patterns, _, _ = layer_patterns(parts, ["ref", "hyp"], durations, frame, layout)
+    a, b = F.col(mask_column("ref", 0)) > 0, F.col(mask_column("hyp", 0)) > 0
+    return _activity(patterns, [MEDIA], a, b, strict)
+
 
+def _activity(patterns: DataFrame, keys: list[str], a: Column, b: Column, strict: bool) -> DataFrame:
     def frames(flag: Column) -> Column:
         return F.coalesce(F.sum(F.when(flag, F.col("frames"))), F.lit(0))
 
-    counts = patterns.groupBy(MEDIA).agg(
-        frames(a & b).alias("both_active"), frames(a & ~b).alias("first_only"), frames(~a & b).alias("second_only")
+    counts = patterns.groupBy(*keys).agg(
+        frames(a & b).alias("both_active"),
+        frames(a & ~b).alias("first_only"),
+        frames(~a & b).alias("second_only"),
     )
     return counts.select(
         "*", *precision_recall(F.col("both_active"), F.col("second_only"), F.col("first_only"), strict)
@@ -214,13 +228,24 @@ def activity_scores(
 def agreement_between(
     sources: dict[str, DataFrame], pairs: Sequence[tuple[str, str]], durations: DataFrame, frame: int, layout: Layout
 ) -> DataFrame:
-    """Score several pairs of activity sources on one grid."""
-    out = None
-    for left, right in pairs:
-        rows = activity_scores(sources[left], sources[right], durations, frame, layout, strict=True)
-        rows = rows.withColumn("pair", F.lit(f"{left}-{right}"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    """Score several pairs of activity sources on one grid, from one sweep over all sources."""
+    parts = None
+    for name, source in sources.items():
+        rows = layered(source, name, F.lit(""))
+        parts = rows if parts is None else parts.unionByName(rows)
+    patterns, _, _ = layer_patterns(parts, list(sources), durations, frame, layout)
+    sides = F.array(
+        *[
+            F.struct(
+                F.lit(f"{a}-{b}").alias("pair"),
+                (F.col(mask_column(a, 0)) > 0).alias("_a"),
+                (F.col(mask_column(b, 0)) > 0).alias("_b"),
+            )
+            for a, b in pairs
+        ]
+    )
+    paired = patterns.select(MEDIA, "frames", F.inline(sides))
+    return _activity(paired, [MEDIA, "pair"], F.col("_a"), F.col("_b"), strict=True)
 
 
 def single_speaker_scores(
@@ -286,63 +311,55 @@ def repeat_agreement(
     labels = ranked_labels(ranks, "ref", "ref_labels").join(
         ranked_labels(ranks, "hyp", "hyp_labels"), MEDIA, "full"
     )
-    grouped = durations.select(MEDIA).join(labels, MEDIA).join(patterns, MEDIA, "left")
-
-    def joined_mask(rows: pd.DataFrame, layer: str) -> list[int]:
-        columns = [rows[mask_column(layer, word)].fillna(0).tolist() for word in range(words)]
-        return [sum(int(v) << (WORD_BITS * k) for k, v in enumerate(row)) for row in zip(*columns)]
-
+    masks = [mask_column(layer, word) for layer in ("ref", "hyp") for word in range(words)]
+    packed = patterns.groupBy(MEDIA).agg(F.collect_list(F.struct(*masks, "frames")).alias("patterns"))
+    grouped = spread(durations.select(MEDIA).join(labels, MEDIA).join(packed, MEDIA, "left"), MEDIA)
     names = [
         MEDIA, "status", "mapping", "total_frames", "error_frames", "reference_frames",
         "exact_frames", "voiced_frames", "voiced_exact_frames", "speech_agree_frames",
     ]
 
-    def score(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        frames = [int(f) for f in rows["frames"].fillna(0)]
-        ref_masks, hyp_masks = joined_mask(rows, "ref"), joined_mask(rows, "hyp")
+    def compare(media, ref_all, hyp_all, patterns) -> tuple:
+        ref_masks, hyp_masks, frames = _unpacked(patterns, words)
 
-        def present(masks, labels):
+        def present(masks: list[int], labels) -> list[int]:
             seen = 0
-            for mask, count in zip(masks, frames):
-                seen |= mask if count else 0
+            for mask in masks:
+                seen |= mask
             return [i for i in range(0 if labels is None else len(labels)) if (seen >> i) & 1]
 
-        ref_all, hyp_all = rows["ref_labels"].iloc[0], rows["hyp_labels"].iloc[0]
-        refs, hyps = present(ref_masks, ref_all), present(hyp_masks, hyp_all)
-        if len(refs) != len(hyps):
-            return pd.DataFrame(
-                [(key[0], "different_label_counts", None, sum(frames), None, None, None, None, None, None)],
-                columns=names,
-            )
-
-        def packed(masks, kept):
+        def packed_bits(masks: list[int], kept: list[int]) -> list[int]:
             return [sum(((m >> bit) & 1) << i for i, bit in enumerate(kept)) for m in masks]
 
-        r, h = packed(ref_masks, refs), packed(hyp_masks, hyps)
+        refs, hyps = present(ref_masks, ref_all), present(hyp_masks, hyp_all)
+        if len(refs) != len(hyps):
+            return (media, "different_label_counts", None, sum(frames), *[None] * 6)
+        r, h = packed_bits(ref_masks, refs), packed_bits(hyp_masks, hyps)
         # A bijection fixes both set sizes, so the symmetric difference is smallest where the frame
         # error is: both are constants minus the shared labels.
         mapping, _ = best_mapping(r, h, frames, len(refs), len(hyps))
-        ref_bits = _bits(r, len(refs))
-        mapped = apply_mapping(_bits(h, len(hyps)), mapping, len(refs))
-        error = exact = voiced = voiced_exact = speech = reference = 0
-        for i, count in enumerate(frames):
-            differing = int((ref_bits[i] != mapped[i]).sum())
-            left, right = bool(ref_bits[i].any()), bool(mapped[i].any())
-            error += differing * count
-            reference += int(ref_bits[i].sum()) * count
-            exact += count * (differing == 0)
-            voiced += count * (left or right)
-            voiced_exact += count * (differing == 0 and (left or right))
-            speech += count * (left == right)
+        left = _bits(r, len(refs))
+        right = apply_mapping(_bits(h, len(hyps)), mapping, len(refs))
+        weight = np.asarray(frames, dtype=np.int64)
+        differing = (left != right).sum(axis=1)
+        some_left, some_right = left.any(axis=1), right.any(axis=1)
+        same, voiced = differing == 0, some_left | some_right
+        sums = [
+            differing, left.sum(axis=1), same, voiced, same & voiced, some_left == some_right,
+        ]
         text = ",".join(f"{hyp_all[a]}={ref_all[refs[t]]}" for a, t in zip(hyps, mapping))
-        values = (key[0], "ok", text, sum(frames), error, reference, exact, voiced, voiced_exact, speech)
-        return pd.DataFrame([values], columns=names)
+        return (media, "ok", text, sum(frames), *[int((x * weight).sum()) for x in sums])
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = zip(*[batch[c] for c in (MEDIA, "ref_labels", "hyp_labels", "patterns")])
+            yield pd.DataFrame([compare(*row) for row in rows], columns=names)
 
     schema = f"{MEDIA} bigint, status string, mapping string, " + ", ".join(
         f"{n} bigint" for n in names[3:]
     )
     zero = F.lit(0)
-    return grouped.groupBy(MEDIA).applyInPandas(score, schema).select(
+    return grouped.mapInPandas(score, schema).select(
         "*",
         (F.col("error_frames") / F.nullif("reference_frames", zero)).alias("frame_error_rate"),
         (F.col("exact_frames") / F.nullif("total_frames", zero)).alias("exact_fraction"),

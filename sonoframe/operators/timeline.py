@@ -9,12 +9,11 @@ from sonoframe.operators.scan import (
     Layout,
     islands,
     lag,
-    last_known,
     lead,
-    row_index,
     running,
     running_sum,
 )
+from sonoframe.session import cut
 
 MEDIA = "media_id"
 WORD_BITS = 62
@@ -161,7 +160,7 @@ def atomic_timeline(kept: DataFrame, filtered: DataFrame, totals: DataFrame, lay
             MEDIA, F.lit("fragment").alias("layer"), F.lit("").alias("label"), "start", "end"
         )
     )
-    ranks = label_ranks(layered)
+    ranks = cut(label_ranks(layered))
     words = word_count(ranks)
     edges = totals.select(
         MEDIA, F.explode(F.array(F.lit(0).cast("bigint"), F.col("total"))).alias("at")
