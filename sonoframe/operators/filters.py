@@ -183,14 +183,34 @@ def filter_signal(samples: DataFrame, sections: Sequence[Section]) -> DataFrame:
     return samples.join(incoming, [MEDIA, "chunk_id"]).mapInPandas(apply, schema)
 
 
-def blend_signals(original: DataFrame, processed: DataFrame, intervals: DataFrame, fade: int, chunk_len: int) -> DataFrame:
-    """Processed signal inside faded intervals ``(media_id, start, end)``, original elsewhere."""
-    from sonoframe.functions.levels import blend, fade_inside
+def blend_signals(
+    original: DataFrame,
+    processed: DataFrame,
+    intervals: DataFrame,
+    fade: int,
+    chunk_len: int,
+    outside: bool = False,
+) -> DataFrame:
+    """Processed signal in faded intervals ``(media_id, start, end)``, original elsewhere.
+
+    Ramps lie inside the intervals, or ``outside`` them so that the whole interval is treated fully.
+    """
+    from sonoframe.functions.levels import blend, fade_inside, fade_outside
+    from sonoframe.operators.levels import signal_sizes
     from sonoframe.operators.rangejoin import BUCKET, with_buckets
 
-    pieces = with_buckets(intervals, "start", "end", chunk_len).withColumnRenamed(BUCKET, "chunk_id")
+    margin = fade if outside else 0
+    reach = intervals.join(signal_sizes(original), MEDIA).select(
+        MEDIA,
+        F.col("start").alias("s"),
+        F.col("end").alias("e"),
+        F.greatest(F.lit(0), F.col("start") - margin).alias("start"),
+        F.least(F.col("total_samples"), F.col("end") + margin).alias("end"),
+        "total_samples",
+    )
+    pieces = with_buckets(reach, "start", "end", chunk_len).withColumnRenamed(BUCKET, "chunk_id")
     marks = pieces.groupBy(MEDIA, "chunk_id").agg(
-        F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_marks")
+        F.array_sort(F.collect_list(F.struct("s", "e", "total_samples"))).alias("_marks")
     )
     other = processed.select(MEDIA, "chunk_id", F.col("ch0").alias("_p0"), F.col("ch1").alias("_p1"))
     joined = original.join(marks, [MEDIA, "chunk_id"], "left").join(other, [MEDIA, "chunk_id"])
@@ -198,9 +218,13 @@ def blend_signals(original: DataFrame, processed: DataFrame, intervals: DataFram
     def mixed(channel: str, treated: str):
         def one(x, k):
             at = F.col("start_sample") + k
-            weight = F.aggregate(
-                "_marks", F.lit(0.0), lambda m, s: F.greatest(m, fade_inside(at, s["start"], s["end"], fade))
-            )
+
+            def weigh(mark):
+                if outside:
+                    return fade_outside(at, mark["s"], mark["e"], fade, mark["total_samples"])
+                return fade_inside(at, mark["s"], mark["e"], fade)
+
+            weight = F.aggregate("_marks", F.lit(0.0), lambda m, s: F.greatest(m, weigh(s)))
             return blend(x.cast("double"), F.get(F.col(treated), k).cast("double"), weight).cast("float")
 
         return F.when(F.col("_marks").isNull(), F.col(channel)).otherwise(F.transform(channel, one))

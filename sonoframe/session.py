@@ -36,6 +36,12 @@ def _ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
 
 
+def checkpoint_root(spark: SparkSession) -> str:
+    """Folder every executor can reach, as the cluster names it."""
+    _ensure_checkpoint_dir(spark)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write a reduced intermediate once, so later references neither recompute it nor lose it.
 
