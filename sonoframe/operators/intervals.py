@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sonoframe.operators.rangejoin import overlapping_pairs
-from sonoframe.operators.scan import Layout, as_of, islands, lag, row_index, running, running_max
+from sonoframe.operators.scan import Layout, as_of, islands, lag, row_index, running, running_max, settle
 from sonoframe.session import spread
 
 MEDIA = "media_id"
@@ -115,7 +115,7 @@ def cluster_bounds(regions: DataFrame, clusters: DataFrame, layout: Layout, key:
         event_at="c_end", value="c", alias="_first", tie_break=[key], forward=True, include_equal=False,
     )
     both = as_of(
-        first, packed, [MEDIA], "end", layout,
+        settle(first, layout), packed, [MEDIA], "end", layout,
         event_at="c_start", value="c", alias="_last", tie_break=[key], include_equal=False,
     )
     hit_first = F.col("_first.c_start") < F.col("end")
@@ -136,7 +136,7 @@ def neighbour_bounds(regions: DataFrame, others: DataFrame, layout: Layout, key:
         event_at="o_end", value="o_end", alias="preceding_end", tie_break=[key],
     )
     return as_of(
-        before, events, [MEDIA], "end", layout,
+        settle(before, layout), events, [MEDIA], "end", layout,
         event_at="o_start", value="o_start", alias="following_start", tie_break=[key], forward=True,
     )
 
@@ -148,7 +148,7 @@ def outside_collars(points: DataFrame, boundaries: DataFrame, collar, layout: La
         event_at="boundary", value="boundary", alias="_b", tie_break=[],
     )
     both = as_of(
-        before, boundaries, [MEDIA], "at", layout,
+        settle(before, layout), boundaries, [MEDIA], "at", layout,
         event_at="boundary", value="boundary", alias="_f", tie_break=[], forward=True,
     )
     near = (F.col("at") - F.col("_b") < collar) | (F.col("_f") - F.col("at") < collar)

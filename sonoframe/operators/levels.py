@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from sonoframe.functions import levels as L
 from sonoframe.operators.rangejoin import BUCKET, with_buckets
 from sonoframe.operators.regions import label_segments, merge_intervals, region_ids
-from sonoframe.operators.scan import Layout, as_of, islands, lag, running
+from sonoframe.operators.scan import Layout, as_of, islands, lag, running, settle
 from sonoframe.operators.statistics import order_statistics
 from sonoframe.session import cut
 
@@ -183,7 +183,7 @@ def machine_regions(
             ),
         )
     )
-    union = merge_intervals(speech.select(MEDIA, "start", "end"), [MEDIA], layout)
+    union = settle(merge_intervals(speech.select(MEDIA, "start", "end"), [MEDIA], layout), layout)
     packed = union.withColumn("_region", F.struct("start", "end")).select(MEDIA, "start", "_region")
     loud = (
         frames.join(limits, MEDIA)
@@ -219,12 +219,13 @@ def machine_regions(
         .join(limits, MEDIA)
         .where(F.col("level_dbfs") >= F.col("noise_floor_dbfs") + 8.0)
     )
+    measured = settle(measured, layout)
     # A region overlaps speech when the last merged region starting before its end reaches past its start.
     flagged = as_of(
         measured, packed, [MEDIA], "end", layout,
         event_at="start", value="_region", alias="_near", tie_break=["island"], include_equal=False,
     ).withColumn("overlaps_speech", F.coalesce(F.col("_near.end") > F.col("start"), F.lit(False)))
-    return region_ids(flagged, "machine_audio_", 3, layout).select(
+    return region_ids(settle(flagged, layout), "machine_audio_", 3, layout).select(
         MEDIA,
         "region_id",
         "start",
@@ -277,7 +278,7 @@ def treatment_intervals(
             F.least(F.col("total_samples"), F.col("stop_frame") * frame).alias("end"),
         )
     )
-    found = cluster_bounds(speech, clusters, layout, "region_id")
+    found = settle(cluster_bounds(speech, settle(clusters, layout), layout, "region_id"), layout)
     near = neighbour_bounds(found, machine, layout, "region_id").join(sizes, MEDIA)
 
     def sec(name: str) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sonoframe.operators.rangejoin import bucket_of, with_buckets, BUCKET
-from sonoframe.operators.scan import Layout, islands, lag, lead, row_index, running, running_max
+from sonoframe.operators.scan import Layout, islands, lag, lead, row_index, running, running_max, settle
 
 MEDIA = "media_id"
 
@@ -76,7 +76,7 @@ def hysteresis_regions(
         )
     )
     long_enough = (F.col("last_low") - F.col("first_low")) * policy.frame >= policy.min_silence
-    breaks = stretches.where((F.col("anchor") < 0) | long_enough)
+    breaks = settle(stretches.where((F.col("anchor") < 0) | long_enough), layout)
     paired = running(breaks, [MEDIA], ["anchor"], layout, close_idx=lead(F.col("first_low")))
     return (
         paired.where(F.col("next_high").isNotNull())
@@ -161,7 +161,8 @@ def speech_regions(
     spent on it; :func:`bridge_gaps` serves inputs of other origins.
     """
     lengths = signal_lengths(frames, policy.frame) if lengths is None else lengths
-    padded = pad_regions(hysteresis_regions(frames, lengths, policy, layout), policy.pad, layout)
+    raw = settle(hysteresis_regions(frames, lengths, policy, layout), layout)
+    padded = pad_regions(raw, policy.pad, layout)
     return bridge_gaps(padded, pad_first_gap, layout) if pad_first else padded
 
 
@@ -222,7 +223,7 @@ def merge_intervals(intervals: DataFrame, keys, layout: Layout, start="start", e
 
     Copies and equal starts collapse first, so the scan sees each start once whatever the duplication.
     """
-    distinct = intervals.groupBy(*keys, start).agg(F.max(end).alias(end))
+    distinct = settle(intervals.groupBy(*keys, start).agg(F.max(end).alias(end)), layout)
     seen = running(distinct, keys, [start], layout, _reach=running_max(F.col(end), inclusive=False))
     new = F.col("_reach").isNull() | (F.col(start) > F.col("_reach"))
     return (
@@ -239,7 +240,9 @@ def complement(
     """Gaps of ``[0, total)`` left by the intervals of each key."""
     merged = merge_intervals(intervals, keys, layout, start, end)
     edge = totals.select(*keys, F.lit(0).cast("bigint").alias(start), F.lit(0).cast("bigint").alias(end))
-    withzero = merged.unionByName(edge).groupBy(*keys, start).agg(F.max(end).alias(end))
+    withzero = settle(
+        merged.unionByName(edge).groupBy(*keys, start).agg(F.max(end).alias(end)), layout
+    )
     following = running(withzero, keys, [start], layout, _next=lead(F.col(start)))
     return (
         following.join(totals, list(keys))

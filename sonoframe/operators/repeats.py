@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sonoframe.operators.intervals import ordered_text
-from sonoframe.operators.scan import SINGLE, Layout, row_index, running
+from sonoframe.operators.scan import SINGLE, Layout, row_index, running, settle
 
 MEDIA = "media_id"
 
@@ -62,7 +62,7 @@ def paired_drift(windowed: DataFrame, tolerance, layout: Layout) -> DataFrame:
 
     keys = [MEDIA, "window_idx"]
     order = ["start", "end", "seg_idx"]
-    indexed = running(windowed, keys, order, layout, idx=row_index())
+    indexed = settle(running(windowed, keys, order, layout, idx=row_index()), layout)
     first = indexed.where("window_idx = 0").select(
         MEDIA,
         "idx",

@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sonoframe.session import cut
+
 CHUNK = "_chunk"
 TARGET_ROWS = 1_000_000
 
@@ -28,21 +30,31 @@ class Layout:
     def chunk(self, position: Column) -> Column:
         return F.floor(position / F.lit(self.span)).cast("bigint")
 
-    def widened(self, factor: int) -> Layout:
-        return self if self.span is None else Layout(max(1, self.span // factor))
-
 
 SINGLE = Layout(None)
 
 
+def settle(df: DataFrame, layout: Layout) -> DataFrame:
+    """Write an intermediate that a chunked scan is about to read twice.
+
+    A chunked scan reads its input for the rows and for the chunk summaries, so a chain of them would
+    recompute its start once per branch. Single-window plans read once and stay lazy.
+    """
+    return df if layout.span is None else cut(df)
+
+
 def measure_layout(
     df: DataFrame,
     keys: Sequence[str],
     position: Column,
     bucket: int,
-    target_rows: int = TARGET_ROWS,
+    rows_per_item: int = 1,
 ) -> Layout:
-    """Pick chunk widths from the data: two map-side-combined counts, each returning one number."""
+    """Pick chunk widths from the data: two map-side-combined counts, each returning one number.
+
+    ``rows_per_item`` says how many rows of later steps one counted row stands for.
+    """
+    target_rows = max(1, TARGET_ROWS // rows_per_item)
     peak = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
     if peak <= target_rows:
         return SINGLE
@@ -53,6 +65,11 @@ def measure_layout(
     return Layout(bucket * (target_rows // densest))
 
 
+def tightened(layout: Layout, factor: int) -> Layout:
+    """The same chunks on an axis ``factor`` times coarser."""
+    return layout if layout.span is None else Layout(max(1, layout.span // factor))
+
+
 @dataclass(frozen=True)
 class Running:
     """One running measure. ``kind``: sum, max, min, last, next, lag or lead."""
@@ -224,7 +241,7 @@ def islands(
     island: str = "island",
 ) -> DataFrame:
     """Number the groups opened by ``starts_new`` (evaluated on already-lagged columns), from 1."""
-    flagged = df.withColumn("_new", starts_new.cast("bigint"))
+    flagged = settle(df.withColumn("_new", starts_new.cast("bigint")), layout)
     return running(flagged, keys, order, layout, **{island: running_sum(F.col("_new"))}).drop("_new")
 
 

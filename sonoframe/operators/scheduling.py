@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sonoframe.operators.scan import Layout, row_index, running, running_sum
+from sonoframe.operators.scan import Layout, row_index, running, running_sum, settle
 
 MEDIA = "media_id"
 
@@ -16,8 +16,11 @@ def budgeted_batches(items: DataFrame, batch_size: int, budget: int, layout: Lay
     Adds ``batch``, ``spent_before`` (cost of all earlier batches) and ``processed``.
     """
     order = ["duration", "seg_idx"]
-    ranked = running(items, [MEDIA], order, layout, _rank=row_index()).withColumn(
-        "batch", F.floor(F.col("_rank") / batch_size).cast("bigint")
+    ranked = settle(
+        running(items, [MEDIA], order, layout, _rank=row_index()).withColumn(
+            "batch", F.floor(F.col("_rank") / batch_size).cast("bigint")
+        ),
+        layout,
     )
     costs = ranked.groupBy(MEDIA, "batch").agg(F.sum("duration").alias("cost"))
     spent = running(

@@ -12,6 +12,7 @@ from sonoframe.operators.scan import (
     lead,
     running,
     running_sum,
+    settle,
 )
 from sonoframe.session import cut
 
@@ -48,7 +49,8 @@ def label_stretches(segments: DataFrame, layout: Layout) -> DataFrame:
             )
         ),
     )
-    net = edges.groupBy(*keys, "at").agg(F.sum("delta").alias("delta")).where("delta <> 0")
+    summed = edges.groupBy(*keys, "at").agg(F.sum("delta").alias("delta")).where("delta <> 0")
+    net = settle(summed, layout)
     counted = running(net, keys, ["at"], layout, depth=running_sum(F.col("delta")))
     before = F.col("depth") - F.col("delta")
     step = F.when((before == 0) & (F.col("depth") > 0), 1).when(
@@ -103,7 +105,9 @@ def sweep(
         for n in names:
             changed = changed | (F.col(mask_column(*n)) != 0)
         steps = steps.where(changed)
-    renamed = steps.withColumnsRenamed({mask_column(*n): f"_step_{mask_column(*n)}" for n in names})
+    renamed = settle(
+        steps.withColumnsRenamed({mask_column(*n): f"_step_{mask_column(*n)}" for n in names}), layout
+    )
     swept = running(
         renamed,
         [MEDIA],
@@ -193,7 +197,7 @@ def build_turns(spans: DataFrame, merge_gap: int, layout: Layout) -> DataFrame:
     seen = running(
         spans, [MEDIA], ["start"], layout, prev=lag(F.struct("kind", (F.col("end") - F.col("start")).alias("len")))
     )
-    singles = seen.where("kind = 'single_speaker'").select(
+    singles = settle(seen, layout).where("kind = 'single_speaker'").select(
         MEDIA, "start", "end", F.col("speakers")[0].alias("speaker"), "prev"
     )
     paired = running(singles, [MEDIA], ["start"], layout, before=lag(F.struct("end", "speaker")))

@@ -402,7 +402,7 @@ def speaker_changes(spark, sf):
 def active_set_transitions(spark, sf):
     layout = V.events_layout(spark, sf)
     sets = frame_label_sets(spark, sf)
-    frames = V.Layout(max(1, layout.span // GRID)) if layout.span else layout
+    frames = V.tightened(layout, GRID)
     seen = running(sets, ["media_id"], ["frame_idx"], frames, _p=lag(F.col("speakers")))
     return seen.where("_p <> speakers").select("media_id", "frame_idx")
 

@@ -8,6 +8,7 @@ from sonoframe.operators import regions as R
 from sonoframe.operators import timeline as T
 from sonoframe.plans import views as V
 from sonoframe.plans.registry import query
+from sonoframe.session import cut
 
 POLICY = R.RegionPolicy()
 
@@ -51,7 +52,7 @@ PADDED = (
 def region_hysteresis(spark, sf):
     layout = V.events_layout(spark, sf)
     frames = V.scores(spark, sf, layout)
-    fl = V.frames_layout(layout, spark, sf)
+    fl = V.frames_layout(layout)
     lengths = R.signal_lengths(frames, POLICY.frame)
     return R.hysteresis_regions(frames, lengths, POLICY, fl).select("media_id", "start", "end")
 
@@ -64,7 +65,7 @@ def region_hysteresis(spark, sf):
 def region_pad_split(spark, sf):
     layout = V.events_layout(spark, sf)
     frames = V.scores(spark, sf, layout)
-    return R.speech_regions(frames, POLICY, V.frames_layout(layout, spark, sf)).drop("total_samples")
+    return R.speech_regions(frames, POLICY, V.frames_layout(layout)).drop("total_samples")
 
 
 STATS = (
@@ -87,7 +88,7 @@ STATS = (
 )
 def speech_regions(spark, sf):
     layout = V.events_layout(spark, sf)
-    fl = V.frames_layout(layout, spark, sf)
+    fl = V.frames_layout(layout)
     frames = V.scores(spark, sf, layout)
     found = R.speech_regions(frames, POLICY, fl)
     stats = R.region_statistics(found, frames, POLICY)
@@ -112,7 +113,7 @@ def speech_regions(spark, sf):
 def region_pad_then_merge(spark, sf):
     layout = V.events_layout(spark, sf)
     frames = V.scores(spark, sf, layout)
-    out = R.speech_regions(frames, POLICY, V.frames_layout(layout, spark, sf), pad_first=True)
+    out = R.speech_regions(frames, POLICY, V.frames_layout(layout), pad_first=True)
     return out.select("media_id", "start", "end")
 
 
@@ -133,7 +134,7 @@ def region_bridge_gaps(spark, sf):
         (F.col("frame_idx") * 512 + 512).alias("end"),
         F.lit(0).cast("bigint").alias("total_samples"),
     )
-    wide = V.Layout(512_000_000) if layout.span else layout
+    wide = V.Layout(512 * V.frames_layout(layout).span) if layout.span else layout
     return R.bridge_gaps(raw, 2048, wide).select("media_id", "start", "end")
 
 
@@ -150,7 +151,7 @@ def region_bridge_gaps(spark, sf):
 def activity_clusters(spark, sf):
     layout = V.events_layout(spark, sf)
     active = V.scores(spark, sf, layout).where("prob >= 0.45")
-    return R.activity_clusters(active, 2, V.frames_layout(layout, spark, sf))
+    return R.activity_clusters(active, 2, V.frames_layout(layout))
 
 
 @query(
@@ -270,8 +271,6 @@ LEDGER = (
  (aa + ab + st + ov + fr + ug = {V.DAYS_30} AND ug >= 0) AS is_exact FROM ledger""",
 )
 def coverage_ledger(spark, sf):
-    from sonoframe.session import cut
-
     layout, _, _, totals, spans = plan_parts(spark, sf)
     spans = cut(spans)
     turns = T.build_turns(spans, TURN_GAP, layout)

@@ -18,7 +18,7 @@ FRAME = 8
 
 def signal_layout(samples):
     """Chunk rows per recording times samples per chunk bounds every derived row count."""
-    return measure_layout(samples, ["media_id"], F.col("start_sample"), 64 * G.CHUNK, 15_000)
+    return measure_layout(samples, ["media_id"], F.col("start_sample"), 64 * G.CHUNK, G.CHUNK)
 
 
 def r6(df, *names):

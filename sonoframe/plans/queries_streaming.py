@@ -11,6 +11,7 @@ from sonoframe.operators import scorers
 from sonoframe.plans import signals as G
 from sonoframe.plans import views as V
 from sonoframe.plans.queries_regions import POLICY
+from sonoframe.plans.queries_signal import signal_layout
 from sonoframe.plans.registry import query
 from sonoframe.streaming.regions import stream_regions, use_rocksdb
 from sonoframe.streaming.replay import drain, read_growing
@@ -98,8 +99,7 @@ def scored_regions(spark, sf):
     samples = G.samples(spark, sf)
     frames = scorers.score_frames(samples, scorers.energy_scorer(8, -18.0, 2.0), 8)
     policy = R.RegionPolicy(frame=8, min_speech=8, min_silence=24, pad=4, sample_rate=G.RATE)
-    layout = V.measure_layout(samples, ["media_id"], F.col("chunk_id"), 1_000, 100_000)
-    dense = V.Layout(layout.span * G.CHUNK // 8) if layout.span else layout
+    dense = V.tightened(signal_layout(samples), 8)
     return R.speech_regions(frames, policy, dense, M.signal_sizes(samples))
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonoframe.operators.scan import Layout, measure_layout, row_index, running
+from sonoframe.operators import scan
+from sonoframe.operators.scan import Layout, measure_layout, row_index, running, tightened  # noqa: F401
 
 HOUR = 3_600_000_000
 DAYS_30 = 720 * HOUR
@@ -29,9 +30,9 @@ def events_layout(spark: SparkSession, sf: str) -> Layout:
     return measure_layout(events_us(spark, sf), ["user_id"], F.col("us"), HOUR)
 
 
-def frames_layout(layout: Layout, spark: SparkSession, sf: str) -> Layout:
+def frames_layout(layout: Layout) -> Layout:
     """Frame numbers are dense, so chunks of a fixed number of frames are exact."""
-    return layout if layout.span is None else Layout(1_000_000)
+    return layout if layout.span is None else Layout(scan.TARGET_ROWS)
 
 
 def scores(spark: SparkSession, sf: str, layout: Layout) -> DataFrame:
