@@ -92,7 +92,7 @@ def blend(original: Column, processed: Column, weight: Column) -> Column:
 
 def timeline_bound(end: Column, source_samples: Column, source_rate: Column, rate: int = 16_000) -> Column:
     """A region end never lies past the floor of the resampled signal length."""
-    return F.least(end, F.floor(source_samples * rate / source_rate) / float(rate))
+    return F.least(end, F.floor(source_samples.cast("bigint") * rate / source_rate) / float(rate))
 
 
 def band_centre(low: Column, high: Column) -> Column:

@@ -93,44 +93,73 @@ EDIT_COUNTS = T.StructType(
 )
 
 
+# Below this many cells the plain loop beats the vector set-up.
+SMALL_TABLE = 2500
+
+
 def edit_counts_of(reference: Sequence[str], hypothesis: Sequence[str]) -> tuple[int, int, int]:
-    """(distance, deletions, insertions) along anti-diagonals.
+    """(distance, deletions, insertions) of the cheapest alignment.
 
     Equal tokens take the diagonal; otherwise the cheapest of deletion, insertion, substitution in that
-    order. Memory is three diagonals whatever the text length.
+    order. Memory is linear in the text length.
     """
     n, m = len(reference), len(hypothesis)
     if not n or not m:
         return (n or m, n, m)
+    if n * m <= SMALL_TABLE:
+        return _edit_rows(reference, hypothesis)
+    return _edit_diagonals(reference, hypothesis)
+
+
+def _edit_rows(reference: Sequence[str], hypothesis: Sequence[str]) -> tuple[int, int, int]:
+    above = [(j, 0, j) for j in range(len(hypothesis) + 1)]
+    for i, token in enumerate(reference, 1):
+        left = (i, i, 0)
+        row = [left]
+        for j, other in enumerate(hypothesis, 1):
+            corner = above[j - 1]
+            if token == other:
+                left = corner
+            else:
+                up = above[j]
+                least = min(up[0], left[0], corner[0])
+                if up[0] == least:
+                    left = (least + 1, up[1] + 1, up[2])
+                elif left[0] == least:
+                    left = (least + 1, left[1], left[2] + 1)
+                else:
+                    left = (least + 1, corner[1], corner[2])
+            row.append(left)
+        above = row
+    return above[-1]
+
+
+def _edit_diagonals(reference: Sequence[str], hypothesis: Sequence[str]) -> tuple[int, int, int]:
+    """The same table one anti-diagonal at a time, so long texts run as vector operations."""
+    n, m = len(reference), len(hypothesis)
     codes: dict[str, int] = {}
     ref = np.array([codes.setdefault(t, len(codes)) for t in reference])
-    hyp = np.array([codes.setdefault(t, len(codes)) for t in hypothesis])
+    hyp = np.array([codes.setdefault(t, len(codes)) for t in hypothesis])[::-1]
     # Cell (i, j) of diagonal i + j is stored at index i; rows are (distance, deletions, insertions).
-    size = n + 1
-    older = np.zeros((3, size), dtype=np.int64)
-    newer = np.zeros((3, size), dtype=np.int64)
+    older = np.zeros((3, n + 1), dtype=np.int64)
+    newer = np.zeros((3, n + 1), dtype=np.int64)
     for diagonal in range(1, n + m + 1):
-        current = np.zeros((3, size), dtype=np.int64)
+        current = np.zeros((3, n + 1), dtype=np.int64)
         low, high = max(1, diagonal - m), min(n, diagonal - 1)
         if diagonal <= m:
             current[:, 0] = (diagonal, 0, diagonal)
         if diagonal <= n:
             current[:, diagonal] = (diagonal, diagonal, 0)
         if low <= high:
-            i = slice(low, high + 1)
-            above = slice(low - 1, high)
-            delete = newer[:, above].copy()
-            delete[0] += 1
-            delete[1] += 1
-            insert = newer[:, i].copy()
-            insert[0] += 1
-            insert[2] += 1
-            equal = ref[low - 1 : high] == hyp[diagonal - high - 1 : diagonal - low][::-1]
-            substitute = older[:, above].copy()
-            substitute[0] += ~equal
-            take_delete = ~equal & (delete[0] <= insert[0]) & (delete[0] <= substitute[0])
-            take_insert = ~equal & ~take_delete & (insert[0] <= substitute[0])
-            current[:, i] = np.where(take_delete, delete, np.where(take_insert, insert, substitute))
+            up, left, corner = newer[:, low - 1 : high], newer[:, low : high + 1], older[:, low - 1 : high]
+            equal = ref[low - 1 : high] == hyp[m - diagonal + low : m - diagonal + high + 1]
+            deletes = ~equal & (up[0] <= left[0]) & (up[0] <= corner[0])
+            inserts = ~equal & ~deletes & (left[0] <= corner[0])
+            cell = np.where(deletes, up, np.where(inserts, left, corner))
+            cell[0] += ~equal
+            cell[1] += deletes
+            cell[2] += inserts
+            current[:, low : high + 1] = cell
         older, newer = newer, current
     return tuple(int(v) for v in newer[:, n])
 

@@ -61,12 +61,6 @@ def first_minimum_assignment(cost: np.ndarray) -> tuple[float, list[int]]:
     return best, fixed
 
 
-def _bits(masks: Sequence[int], width: int) -> np.ndarray:
-    return np.array([[(mask >> bit) & 1 for bit in range(width)] for mask in masks], dtype=np.int64).reshape(
-        len(masks), width
-    )
-
-
 def frame_totals(ref: np.ndarray, mapped: np.ndarray, frames: np.ndarray) -> tuple[int, int, int]:
     """(missed, false alarm, confusion) frames once hypothesis labels are reference labels."""
     r, h = ref.sum(axis=1), mapped.sum(axis=1)
@@ -86,13 +80,16 @@ def apply_mapping(hyp: np.ndarray, mapping: Sequence[int | None], n_ref: int) ->
 
 
 def best_mapping(
-    ref_masks: Sequence[int], hyp_masks: Sequence[int], frames: Sequence[int], n_ref: int, n_hyp: int
+    ref: np.ndarray, hyp: np.ndarray, weight: np.ndarray
 ) -> tuple[tuple[int | None, ...], tuple[int, int, int]]:
-    """Mapping with the fewest error frames; ties go to the first in permutation order, where
-    surplus hypothesis labels map to nothing and nothing sorts last."""
-    ref, hyp = _bits(ref_masks, n_ref), _bits(hyp_masks, n_hyp)
-    weight = np.asarray(frames, dtype=np.int64)
-    together = hyp.T @ (ref * weight[:, None]) if len(weight) else np.zeros((n_hyp, n_ref), dtype=np.int64)
+    """Mapping with the fewest error frames, and its (missed, false alarm, confusion) frames.
+
+    ``ref``/``hyp`` are 0/1 matrices of patterns by labels, ``weight`` the frames of each pattern. Ties
+    go to the first mapping in permutation order, where surplus hypothesis labels map to nothing and
+    nothing sorts last.
+    """
+    n_ref, n_hyp = ref.shape[1], hyp.shape[1]
+    together = hyp.T @ (ref * weight[:, None])
     r = ref.sum(axis=1)
     best: tuple[int, tuple[int, ...]] | None = None
     # With at most as many hypothesis labels as references every label is mapped, so the frame error is

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sonoframe.operators.intervals import ordered_text
-from sonoframe.operators.scan import SINGLE, Layout, row_index, running, settle
+from sonoframe.operators.scan import SINGLE, Layout, row_index, running
+from sonoframe.session import cut
 
 MEDIA = "media_id"
 
@@ -62,7 +63,7 @@ def paired_drift(windowed: DataFrame, tolerance, layout: Layout) -> DataFrame:
 
     keys = [MEDIA, "window_idx"]
     order = ["start", "end", "seg_idx"]
-    indexed = settle(running(windowed, keys, order, layout, idx=row_index()), layout)
+    indexed = cut(running(windowed, keys, order, layout, idx=row_index()))
     first = indexed.where("window_idx = 0").select(
         MEDIA,
         "idx",

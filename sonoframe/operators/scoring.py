@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sonoframe.functions.text import edit_counts, error_rate
-from sonoframe.operators.assignment import apply_mapping, best_mapping, _bits
+from sonoframe.operators.assignment import apply_mapping, best_mapping
 from sonoframe.operators.scan import Layout
 from sonoframe.operators.timeline import (
     WORD_BITS,
@@ -99,18 +99,19 @@ def frame_patterns(
     return patterns.withColumn("in_collar", in_collar), ranks, words
 
 
-def _unpacked(patterns, words: int) -> tuple[list[int], list[int], list[int]]:
-    """Whole-set masks and frame counts of collected patterns; no pattern at all gives empty lists."""
-    rows = [] if patterns is None else patterns
+def _packed(patterns: DataFrame, keys: list[str], masks: list[str]) -> DataFrame:
+    """Patterns of each key as aligned arrays, one per mask word plus the frame counts."""
+    gathered = patterns.groupBy(*keys).agg(F.collect_list(F.struct(*masks, "frames")).alias("_all"))
+    return gathered.select(*keys, *[F.col("_all")[c].alias(c) for c in [*masks, "frames"]])
 
-    def joined(row, layer: str) -> int:
-        return sum(int(row[mask_column(layer, k)]) << (WORD_BITS * k) for k in range(words))
 
-    return (
-        [joined(r, "ref") for r in rows],
-        [joined(r, "hyp") for r in rows],
-        [int(r["frames"]) for r in rows],
-    )
+def _bit_matrix(words: Sequence, width: int) -> np.ndarray:
+    """0/1 matrix, one row per pattern and one column per label rank, from aligned word arrays."""
+    if words[0] is None:
+        return np.zeros((0, width), dtype=np.int64)
+    shifts = np.arange(WORD_BITS)
+    bits = [(np.asarray(w, dtype=np.int64)[:, None] >> shifts) & 1 for w in words]
+    return np.concatenate(bits, axis=1)[:, :width]
 
 
 SETTINGS = (
@@ -153,9 +154,7 @@ def diarization_error(
     )
     masks = [mask_column(layer, word) for layer in ("ref", "hyp") for word in range(words)]
     merged = scored.groupBy(MEDIA, "setting", *masks).agg(F.sum("frames").alias("frames"))
-    packed = merged.groupBy(MEDIA, "setting").agg(
-        F.collect_list(F.struct(*masks, "frames")).alias("patterns")
-    )
+    packed = _packed(merged, [MEDIA, "setting"], masks)
     # Keep recordings whose every frame was excluded: they report zero evaluated frames.
     wanted = headed.select("*", F.inline(settings)).drop("_collar", "_overlap")
     grouped = spread(wanted.join(packed, [MEDIA, "setting"], "left"), MEDIA, "setting")
@@ -167,14 +166,15 @@ def diarization_error(
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for media, setting, refs, hyps, patterns in zip(
-                *[batch[c] for c in (MEDIA, "setting", "ref_labels", "hyp_labels", "patterns")]
-            ):
-                ref_masks, hyp_masks, frames = _unpacked(patterns, words)
-                mapping, errors = best_mapping(ref_masks, hyp_masks, frames, len(refs), len(hyps))
+            columns = [MEDIA, "setting", "ref_labels", "hyp_labels", "frames", *masks]
+            for media, setting, refs, hyps, frames, *columns_of in zip(*[batch[c] for c in columns]):
+                ref = _bit_matrix(columns_of[:words], len(refs))
+                hyp = _bit_matrix(columns_of[words:], len(hyps))
+                weight = np.asarray([] if frames is None else frames, dtype=np.int64)
+                mapping, errors = best_mapping(ref, hyp, weight)
                 text = ",".join(f"{h}={'' if t is None else refs[t]}" for h, t in zip(hyps, mapping))
-                speaker = sum(m.bit_count() * f for m, f in zip(ref_masks, frames))
-                rows.append((media, setting, sum(frames), speaker, *errors, text))
+                speaker = int((ref.sum(axis=1) * weight).sum())
+                rows.append((media, setting, int(weight.sum()), speaker, *errors, text))
             yield pd.DataFrame(rows, columns=names)
 
     schema = f"{MEDIA} bigint, setting string, mapping string, " + ", ".join(
@@ -312,47 +312,40 @@ def repeat_agreement(
         ranked_labels(ranks, "hyp", "hyp_labels"), MEDIA, "full"
     )
     masks = [mask_column(layer, word) for layer in ("ref", "hyp") for word in range(words)]
-    packed = patterns.groupBy(MEDIA).agg(F.collect_list(F.struct(*masks, "frames")).alias("patterns"))
+    packed = _packed(patterns, [MEDIA], masks)
     grouped = spread(durations.select(MEDIA).join(labels, MEDIA).join(packed, MEDIA, "left"), MEDIA)
     names = [
         MEDIA, "status", "mapping", "total_frames", "error_frames", "reference_frames",
         "exact_frames", "voiced_frames", "voiced_exact_frames", "speech_agree_frames",
     ]
 
-    def compare(media, ref_all, hyp_all, patterns) -> tuple:
-        ref_masks, hyp_masks, frames = _unpacked(patterns, words)
+    def compare(media, ref_all, hyp_all, frames, *columns_of) -> tuple:
+        def present(side, labels) -> tuple[np.ndarray, list[str]]:
+            names = [] if labels is None else list(labels)
+            bits = _bit_matrix(side, len(names))
+            kept = [i for i in range(len(names)) if bits[:, i].any()]
+            return bits[:, kept], [names[i] for i in kept]
 
-        def present(masks: list[int], labels) -> list[int]:
-            seen = 0
-            for mask in masks:
-                seen |= mask
-            return [i for i in range(0 if labels is None else len(labels)) if (seen >> i) & 1]
-
-        def packed_bits(masks: list[int], kept: list[int]) -> list[int]:
-            return [sum(((m >> bit) & 1) << i for i, bit in enumerate(kept)) for m in masks]
-
-        refs, hyps = present(ref_masks, ref_all), present(hyp_masks, hyp_all)
+        weight = np.asarray([] if frames is None else frames, dtype=np.int64)
+        left, refs = present(columns_of[:words], ref_all)
+        hyp, hyps = present(columns_of[words:], hyp_all)
         if len(refs) != len(hyps):
-            return (media, "different_label_counts", None, sum(frames), *[None] * 6)
-        r, h = packed_bits(ref_masks, refs), packed_bits(hyp_masks, hyps)
+            return (media, "different_label_counts", None, int(weight.sum()), *[None] * 6)
         # A bijection fixes both set sizes, so the symmetric difference is smallest where the frame
         # error is: both are constants minus the shared labels.
-        mapping, _ = best_mapping(r, h, frames, len(refs), len(hyps))
-        left = _bits(r, len(refs))
-        right = apply_mapping(_bits(h, len(hyps)), mapping, len(refs))
-        weight = np.asarray(frames, dtype=np.int64)
+        mapping, _ = best_mapping(left, hyp, weight)
+        right = apply_mapping(hyp, mapping, len(refs))
         differing = (left != right).sum(axis=1)
         some_left, some_right = left.any(axis=1), right.any(axis=1)
         same, voiced = differing == 0, some_left | some_right
-        sums = [
-            differing, left.sum(axis=1), same, voiced, same & voiced, some_left == some_right,
-        ]
-        text = ",".join(f"{hyp_all[a]}={ref_all[refs[t]]}" for a, t in zip(hyps, mapping))
-        return (media, "ok", text, sum(frames), *[int((x * weight).sum()) for x in sums])
+        sums = [differing, left.sum(axis=1), same, voiced, same & voiced, some_left == some_right]
+        text = ",".join(f"{h}={refs[t]}" for h, t in zip(hyps, mapping))
+        return (media, "ok", text, int(weight.sum()), *[int((x * weight).sum()) for x in sums])
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = zip(*[batch[c] for c in (MEDIA, "ref_labels", "hyp_labels", "patterns")])
+            columns = [MEDIA, "ref_labels", "hyp_labels", "frames", *masks]
+            rows = zip(*[batch[c] for c in columns])
             yield pd.DataFrame([compare(*row) for row in rows], columns=names)
 
     schema = f"{MEDIA} bigint, status string, mapping string, " + ", ".join(
@@ -402,7 +395,8 @@ def scoring_windows(durations: DataFrame, window: float) -> DataFrame:
 
 def transcript_scores(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Edit counts of token arrays ``reference_tokens`` and ``hypothesis_tokens`` per row."""
-    counted = pairs.withColumn("_edits", edit_counts("reference_tokens", "hypothesis_tokens"))
+    spaced = spread(pairs.select(*keys, "reference_tokens", "hypothesis_tokens"), *keys)
+    counted = spaced.withColumn("_edits", edit_counts("reference_tokens", "hypothesis_tokens"))
     n = F.size("reference_tokens").cast("bigint")
     return counted.select(
         *keys,

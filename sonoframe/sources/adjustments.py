@@ -17,16 +17,39 @@ def _exactly(json: Column, *names: str) -> Column:
     return _keys(json) == F.array(*[F.lit(n) for n in sorted(names)])
 
 
+PATHS = (
+    "$.type",
+    "$.gain_db",
+    "$.scope.time",
+    "$.scope.time.start",
+    "$.scope.time.end",
+    "$.scope.frequency",
+    "$.scope.frequency.low_hz",
+    "$.scope.frequency.high_hz",
+    "$.scope.frequency.shape",
+)
+
+
+def _extracted() -> dict[str, Column]:
+    """Type, number and text of every path, each read once per item."""
+    out = {}
+    for path in PATHS:
+        out[f"_type {path}"] = F.expr(f"schema_of_variant(try_variant_get(_v, '{path}', 'variant'))")
+        out[f"_number {path}"] = F.expr(f"try_variant_get(_v, '{path}', 'double')")
+        out[f"_text {path}"] = F.expr(f"try_variant_get(_v, '{path}', 'string')")
+    return out
+
+
 def _type(path: str) -> Column:
-    return F.expr(f"schema_of_variant(try_variant_get(_v, '{path}', 'variant'))")
+    return F.col(f"`_type {path}`")
 
 
 def _number(path: str) -> Column:
-    return F.expr(f"try_variant_get(_v, '{path}', 'double')")
+    return F.col(f"`_number {path}`")
 
 
 def _text(path: str) -> Column:
-    return F.expr(f"try_variant_get(_v, '{path}', 'string')")
+    return F.col(f"`_text {path}`")
 
 
 def _not_number(path: str) -> Column:
@@ -69,7 +92,7 @@ def parse_adjustments(documents: DataFrame) -> DataFrame:
         "_top_ok",
         F.posexplode_outer(F.when(F.col("_top_ok"), items)).alias("index", "_item"),
     ).where(~F.col("_top_ok") | F.col("index").isNotNull())
-    parsed = rows.withColumn("_v", F.expr("try_parse_json(_item)"))
+    parsed = rows.withColumn("_v", F.expr("try_parse_json(_item)")).withColumns(_extracted())
     scope = F.get_json_object("_item", "$.scope")
     time, band = F.get_json_object("_item", "$.scope.time"), F.get_json_object("_item", "$.scope.frequency")
     gain, start, end = _number("$.gain_db"), _number("$.scope.time.start"), _number("$.scope.time.end")
