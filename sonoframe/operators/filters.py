@@ -200,7 +200,7 @@ def blend_signals(
     from sonoframe.operators.rangejoin import BUCKET, with_buckets
 
     margin = fade if outside else 0
-    reach = intervals.join(signal_sizes(original), MEDIA).select(
+    reach = intervals.select(MEDIA, "start", "end").distinct().join(signal_sizes(original), MEDIA).select(
         MEDIA,
         F.col("start").alias("s"),
         F.col("end").alias("e"),

@@ -365,9 +365,11 @@ def apply_gains(samples: DataFrame, gains: DataFrame, fade: int, chunk_len: int)
     the product of ``1 - m + m*g`` over the gains that reach it; untouched chunks pass through.
     """
     pieces = with_buckets(gains, "start", "end", chunk_len).withColumnRenamed(BUCKET, "chunk_id")
-    per_chunk = pieces.groupBy(MEDIA, "chunk_id").agg(
+    # Copies of a gain collapse to a count, so a chunk's list holds distinct gains only.
+    counted = pieces.groupBy(MEDIA, "chunk_id", "start", "end", "gain_db").agg(F.count("*").alias("n"))
+    per_chunk = counted.groupBy(MEDIA, "chunk_id").agg(
         F.array_sort(
-            F.collect_list(F.struct("start", "end", L.db_to_amplitude(F.col("gain_db")).alias("g")))
+            F.collect_list(F.struct("start", "end", L.db_to_amplitude(F.col("gain_db")).alias("g"), "n"))
         ).alias("_gains")
     )
     joined = samples.join(per_chunk, [MEDIA, "chunk_id"], "left")
@@ -378,7 +380,7 @@ def apply_gains(samples: DataFrame, gains: DataFrame, fade: int, chunk_len: int)
 
             def step(acc: Column, gain: Column) -> Column:
                 m = L.fade_inside(at, gain["start"], gain["end"], fade)
-                return acc * (1.0 - m + m * gain["g"])
+                return acc * F.pow(1.0 - m + m * gain["g"], gain["n"])
 
             factor = F.aggregate("_gains", F.lit(1.0), step)
             return (x.cast("double") * factor).cast("float")

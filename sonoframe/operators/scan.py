@@ -72,7 +72,7 @@ def tightened(layout: Layout, factor: int) -> Layout:
 
 @dataclass(frozen=True)
 class Running:
-    """One running measure. ``kind``: sum, max, min, last, next, lag or lead."""
+    """One running measure. ``kind``: sum, max, min, last, next, lag, lead, or total (of the whole key)."""
 
     kind: str
     column: Column
@@ -103,17 +103,22 @@ def lead(column: Column) -> Running:
     return Running("lead", column)
 
 
+def key_total(column: Column) -> Running:
+    """Sum over the whole key on every row, without joining on the bare key."""
+    return Running("total", column)
+
+
 def row_index() -> Running:
     """Zero-based position within the key."""
     return Running("sum", F.lit(1).cast("bigint"), inclusive=False)
 
 
-_BACKWARD = {"next", "lead"}
-
-
 def _local(measure: Running, ascending: Window, descending: Window) -> Column:
     upto = 0 if measure.inclusive else -1
     before = ascending.rowsBetween(Window.unboundedPreceding, upto)
+    if measure.kind == "total":
+        whole = ascending.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        return F.sum(measure.column).over(whole)
     if measure.kind == "sum":
         return F.coalesce(F.sum(measure.column).over(before), F.lit(0))
     if measure.kind == "max":
@@ -138,7 +143,7 @@ def _boxed(measure: Running) -> Column:
 
 
 def _summary(measure: Running, order: Sequence[str]) -> Column:
-    if measure.kind == "sum":
+    if measure.kind in ("sum", "total"):
         return F.sum(measure.column)
     if measure.kind == "max":
         return F.max(measure.column)
@@ -160,6 +165,8 @@ def _carry(measure: Running, summary: Column, keys: Sequence[str]) -> Column:
     before = by_chunk.rowsBetween(Window.unboundedPreceding, -1)
     if measure.kind == "sum":
         return F.sum(summary).over(before)
+    if measure.kind == "total":
+        return F.sum(summary).over(Window.partitionBy(*keys))
     if measure.kind == "max":
         return F.max(summary).over(before)
     if measure.kind == "min":
@@ -179,6 +186,8 @@ def _carry(measure: Running, summary: Column, keys: Sequence[str]) -> Column:
 def _combine(measure: Running, local: Column, carried: Column) -> Column:
     if measure.kind == "sum":
         return local + F.coalesce(carried, F.lit(0))
+    if measure.kind == "total":
+        return carried
     if measure.kind == "max":
         return F.greatest(local, carried)
     if measure.kind == "min":

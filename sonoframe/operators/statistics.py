@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sonoframe.operators.scan import Layout, running, running_sum, settle
+from sonoframe.operators.scan import Layout, key_total, running, running_sum, settle
 
 
 def _ranks(definition: str, n: Column) -> list[tuple[Column, Column]]:
@@ -50,9 +50,13 @@ def order_statistics(
     keys = list(keys)
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
     counted = settle(counted, layout)
-    ranked = running(counted, keys, [value], layout, _upto=running_sum(F.col("_c")))
-    sizes = counted.groupBy(*keys).agg(F.sum("_c").alias(count))
-    placed = ranked.join(sizes, keys)
+    placed = running(
+        counted,
+        keys,
+        [value],
+        layout,
+        **{"_upto": running_sum(F.col("_c")), count: key_total(F.col("_c"))},
+    )
     n = F.col(count)
     before = F.col("_upto") - F.col("_c")
     outputs = []

@@ -104,10 +104,10 @@ def activity_confusion(spark, sf):
     "three_way_agreement",
     "AG-29",
     f"""WITH {SEG}, {GRID},
- x AS (SELECT 'reference' AS src, media_id, "start" AS s, "end" AS e FROM v_val UNION ALL SELECT 'onnx', media_id, "start", "end" FROM v_hyp
-   UNION ALL SELECT 'native', media_id, "start", "end" FROM v_hyp WHERE seg_idx % 2 = 0),
+ x AS (SELECT 'reference' AS src, media_id, "start" AS s, "end" AS e FROM v_val UNION ALL SELECT 'second', media_id, "start", "end" FROM v_hyp
+   UNION ALL SELECT 'third', media_id, "start", "end" FROM v_hyp WHERE seg_idx % 2 = 0),
  ac AS (SELECT DISTINCT fr.media_id, f, src FROM fr JOIN x ON x.media_id = fr.media_id AND s <= t AND t < e),
- pr AS (SELECT 'reference' AS a, 'onnx' AS b UNION ALL SELECT 'reference', 'native' UNION ALL SELECT 'onnx', 'native'),
+ pr AS (SELECT 'reference' AS a, 'second' AS b UNION ALL SELECT 'reference', 'third' UNION ALL SELECT 'second', 'third'),
  j AS (SELECT fr.media_id, a || '-' || b AS pair, EXISTS (SELECT 1 FROM ac WHERE ac.media_id = fr.media_id AND ac.f = fr.f AND src = a) AS u,
    EXISTS (SELECT 1 FROM ac WHERE ac.media_id = fr.media_id AND ac.f = fr.f AND src = b) AS v FROM fr, pr),
  k AS (SELECT media_id, pair, count(*) FILTER (WHERE u AND v) AS both_active, count(*) FILTER (WHERE u AND NOT v) AS first_only,
@@ -120,10 +120,10 @@ def three_way_agreement(spark, sf):
     found = V.hypothesis(spark, sf)
     sources = {
         "reference": V.valid_segments(spark, sf),
-        "onnx": found,
-        "native": found.where("seg_idx % 2 = 0"),
+        "second": found,
+        "third": found.where("seg_idx % 2 = 0"),
     }
-    pairs = [("reference", "onnx"), ("reference", "native"), ("onnx", "native")]
+    pairs = [("reference", "second"), ("reference", "third"), ("second", "third")]
     return rounded(scoring.agreement_between(sources, pairs, durations(spark, sf), FRAME, layout))
 
 

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sonoframe.session import tune
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -24,7 +27,13 @@ def query(name: str, survey: str, sql: str | None = None) -> Callable[[Query], Q
     def register(run: Query) -> Query:
         if name in ENTRIES:
             raise ValueError(f"query {name!r} registered twice")
-        ENTRIES[name] = Entry(run, sql, survey)
+
+        @wraps(run)
+        def tuned(spark: SparkSession, sf_dir: str) -> DataFrame:
+            tune(spark)
+            return run(spark, sf_dir)
+
+        ENTRIES[name] = Entry(tuned, sql, survey)
         return run
 
     return register

@@ -23,6 +23,20 @@ def build_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
     )
 
 
+def tune(spark: SparkSession) -> None:
+    """Runtime settings the plans rely on when one recording holds a large share of the rows.
+
+    Joins on a recording with its own small facts are split by the adaptive skew join even where that
+    costs an extra exchange for the next aggregation.
+    """
+    for name in (
+        "spark.sql.adaptive.enabled",
+        "spark.sql.adaptive.skewJoin.enabled",
+        "spark.sql.adaptive.forceOptimizeSkewedJoin",
+    ):
+        spark.conf.set(name, "true")
+
+
 def _ensure_checkpoint_dir(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
