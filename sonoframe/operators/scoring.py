@@ -369,10 +369,8 @@ def boundary_scores(
 
     ref = reference.groupBy(MEDIA).agg(F.count("*").alias("reference_count"))
     hyp = hypothesis.groupBy(MEDIA).agg(F.count("*").alias("hypothesis_count"))
-    errors = matches.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("matches").cast("int"))))
-    stats = order_statistics(
-        errors, [MEDIA], "error", layout, {"median_error": "median", "p95_error": "nearest_0.95"}, "matched"
-    )
+    picks = {"median_error": "median", "p95_error": "nearest_0.95"}
+    stats = order_statistics(matches, [MEDIA], "error", layout, picks, "matched", weight="matches")
     joined = ref.join(hyp, MEDIA, "full").join(stats, MEDIA, "left").na.fill(
         {"reference_count": 0, "hypothesis_count": 0, "matched": 0}
     )

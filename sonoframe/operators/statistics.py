@@ -43,12 +43,16 @@ def order_statistics(
     layout: Layout,
     picks: Mapping[str, str],
     count: str = "n",
+    weight: str | None = None,
 ) -> DataFrame:
-    """One row per key. ``picks`` maps output names to ``max``, ``median`` (averaging),
+    """One row per key; ``weight`` names an integer column when a row stands for several equal values.
+
+    ``picks`` maps output names to ``max``, ``median`` (averaging),
     ``upper_median``, ``linear_<p>``, ``nearest_<p>`` (ceil(p*n)) or ``rounded_<p>``
     (half-even (n-1)*p)."""
     keys = list(keys)
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    copies = F.count("*") if weight is None else F.sum(weight)
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(copies.alias("_c"))
     counted = settle(counted, layout)
     placed = running(
         counted,
@@ -62,9 +66,9 @@ def order_statistics(
     outputs = []
     for name, definition in picks.items():
         parts = []
-        for rank, weight in _ranks(definition, n):
+        for rank, share in _ranks(definition, n):
             here = (rank >= before) & (rank < F.col("_upto"))
-            parts.append(F.max(F.when(here, F.col(value) * weight)))
+            parts.append(F.max(F.when(here, F.col(value) * share)))
         total = parts[0]
         for part in parts[1:]:
             total = total + part

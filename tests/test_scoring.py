@@ -180,6 +180,16 @@ def test_boundary_matching_matches_brute_force(spark, span):
             assert got == sorted(greedy_boundaries(r, h, tolerance)), (m, r, h)
 
 
+def test_boundary_scores_weigh_copies(spark):
+    ref = spark.createDataFrame([(0, 10)] * 3 + [(0, 50)], "media_id long, boundary long")
+    hyp = spark.createDataFrame([(0, 11)] * 3 + [(0, 54), (0, 90)], "media_id long, boundary long")
+    for span in (None, 3):
+        matches = I.match_boundaries(ref, hyp, 5, Layout(span))
+        r = S.boundary_scores(matches, ref, hyp, Layout(span)).first()
+        assert (r.matched, r.reference_count, r.hypothesis_count) == (4, 4, 5)
+        assert (r.median_error, r.p95_error, r.precision, r.recall) == (1.0, 4.0, 0.8, 1.0)
+
+
 def test_interval_matching_matches_brute_force(spark):
     rng = random.Random(2)
     ref = sorted({(s := rng.randint(0, 300), s + rng.randint(5, 20), rng.choice("AB")) for _ in range(60)})
