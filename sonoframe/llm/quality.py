@@ -11,7 +11,7 @@ The lower half of a distribution sets the width, so up to half of a source may b
 
 Defined results: null or empty text has no words and fails; a null language or source counts as the empty string;
 repeated rows are judged each; an empty table gives no rows; other columns are kept by `with_features` and `judge`,
-in which columns named like an output are replaced.
+in which columns named like an output, or starting with `_q_`, are replaced.
 """
 
 from __future__ import annotations
@@ -60,36 +60,37 @@ def with_features(docs: DataFrame, text: str = "text") -> DataFrame:
     body = F.coalesce(F.col(text), F.lit(""))
     none = F.array().cast("array<bigint>")
     cut = (
-        docs.withColumn("_words", F.regexp_extract_all(body, F.lit(WORD), F.lit(0)))
-        .withColumn("_lines", F.filter(F.split(body, "\n"), lambda line: line.rlike(WORD)))
+        docs.drop(*(c for c in docs.columns if c.startswith("_q_")))
+        .withColumn("_q_words", F.regexp_extract_all(body, F.lit(WORD), F.lit(0)))
+        .withColumn("_q_lines", F.filter(F.split(body, "\n"), lambda line: line.rlike(WORD)))
         .withColumn(
-            "_windows",
-            F.when(F.size("_words") < 3, none).otherwise(
+            "_q_windows",
+            F.when(F.size("_q_words") < 3, none).otherwise(
                 F.transform(
-                    F.sequence(F.lit(0), F.size("_words") - 3),
-                    lambda i: F.xxhash64(F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2)),
+                    F.sequence(F.lit(0), F.size("_q_words") - 3),
+                    lambda i: F.xxhash64(F.get("_q_words", i), F.get("_q_words", i + 1), F.get("_q_words", i + 2)),
                 )
             ),
         )
         .withColumn(
-            "_sorted",
+            "_q_sorted",
             F.when(
-                F.size(F.array_distinct("_windows")) < F.size("_windows"),
-                F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
+                F.size(F.array_distinct("_q_windows")) < F.size("_q_windows"),
+                F.sort_array(F.transform("_q_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
             ).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")),
         )
     )
     counted = cut.withColumns(
         {
-            "n_words": F.size("_words").cast("long"),
-            "word_chars": F.length(F.array_join("_words", "")).cast("long"),
+            "n_words": F.size("_q_words").cast("long"),
+            "word_chars": F.length(F.array_join("_q_words", "")).cast("long"),
             "n_symbols": F.length(F.regexp_replace(body, SYMBOL, "")).cast("long"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_repeat_words": _repeated_words(F.col("_sorted")).cast("long"),
-            "n_lines": F.size("_lines").cast("long"),
+            "n_dup_lines": (F.size("_q_lines") - F.size(F.array_distinct("_q_lines"))).cast("long"),
+            "n_repeat_words": _repeated_words(F.col("_q_sorted")).cast("long"),
+            "n_lines": F.size("_q_lines").cast("long"),
             "n_upper": F.length(F.regexp_replace(body, UPPER, "")).cast("long"),
         }
-    ).drop("_words", "_lines", "_windows", "_sorted")
+    ).drop("_q_words", "_q_lines", "_q_windows", "_q_sorted")
     return counted.withColumns(
         {
             "symbol_ratio": F.try_divide("n_symbols", "word_chars"),
@@ -109,24 +110,24 @@ def _fence(sketch: Column, ratio: str) -> Column:
 
 
 def thresholds(features: DataFrame) -> DataFrame:
-    """Per (lang_key, source_key): n_docs and `<ratio>_limit`, from documents that pass the base rules."""
+    """Per (_q_lang, _q_source): _q_docs and `_q_<ratio>`, from documents that pass the base rules."""
     keyed = features.where(~F.col("base_failed")).select(
-        F.coalesce("lang", F.lit("")).alias("lang_key"), F.coalesce("source", F.lit("")).alias("source_key"), *LEAST_SPREAD
+        F.coalesce("lang", F.lit("")).alias("_q_lang"), F.coalesce("source", F.lit("")).alias("_q_source"), *LEAST_SPREAD
     )
     # Partial sketches are built before the shuffle, so a hot source moves one sketch per task.
-    by_group = keyed.groupBy("lang_key", "source_key").agg(
-        F.count(F.lit(1)).alias("n_docs"),
+    by_group = keyed.groupBy("_q_lang", "_q_source").agg(
+        F.count(F.lit(1)).alias("_q_docs"),
         *(F.kll_sketch_agg_double(r, F.lit(SKETCH_K)).alias(f"{r}_sketch") for r in LEAST_SPREAD),
     )
-    by_language = by_group.groupBy("lang_key").agg(
+    by_language = by_group.groupBy("_q_lang").agg(
         *(F.kll_merge_agg_double(f"{r}_sketch", F.lit(SKETCH_K)).alias(f"{r}_merged") for r in LEAST_SPREAD)
     )
-    return by_group.join(by_language, "lang_key").select(
-        "lang_key",
-        "source_key",
-        "n_docs",
+    return by_group.join(by_language, "_q_lang").select(
+        "_q_lang",
+        "_q_source",
+        "_q_docs",
         *(
-            F.greatest(_fence(F.col(f"{r}_sketch"), r), _fence(F.col(f"{r}_merged"), r)).alias(f"{r}_limit")
+            F.greatest(_fence(F.col(f"{r}_sketch"), r), _fence(F.col(f"{r}_merged"), r)).alias(f"_q_{r}")
             for r in LEAST_SPREAD
         ),
     )
@@ -135,12 +136,12 @@ def thresholds(features: DataFrame) -> DataFrame:
 def judge(features: DataFrame, limits: DataFrame) -> DataFrame:
     """Adds kept: base rules passed and no ratio above its limit."""
     keyed = features.withColumns(
-        {"lang_key": F.coalesce("lang", F.lit("")), "source_key": F.coalesce("source", F.lit(""))}
+        {"_q_lang": F.coalesce("lang", F.lit("")), "_q_source": F.coalesce("source", F.lit(""))}
     )
     within = F.lit(True)
     for ratio in LEAST_SPREAD:
-        within &= F.coalesce(F.col(ratio) <= F.col(f"{ratio}_limit"), F.lit(False))
-    joined = keyed.join(small(limits), ["lang_key", "source_key"], "left")
+        within &= F.coalesce(F.col(ratio) <= F.col(f"_q_{ratio}"), F.lit(False))
+    joined = keyed.join(small(limits), ["_q_lang", "_q_source"], "left")
     return joined.withColumn("kept", ~F.col("base_failed") & within).drop(
-        "lang_key", "source_key", "n_docs", *(f"{r}_limit" for r in LEAST_SPREAD)
+        "_q_lang", "_q_source", "_q_docs", *(f"_q_{r}" for r in LEAST_SPREAD)
     )
