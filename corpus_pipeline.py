@@ -1,3 +1,78 @@
-"""Corpus pipeline over `documents`."""
+"""Corpus pipeline over `documents`: quality rules, near duplicates, secrets, packing.
 
-ENTRIES: dict = {}
+Every stage takes the table that its predecessor wrote and returns its successor's; all but the last return the columns
+of `documents`. Null, empty and repeated rows are treated as the operators in sonoframe.llm say.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from sonoframe.llm.common import Entry, settle, small
+from sonoframe.llm.jaccard import jaccard_components
+from sonoframe.llm.packing import pack
+from sonoframe.llm.quality import judge, thresholds, with_features
+from sonoframe.llm.secrets import find_secrets, redact
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the adaptive limits of their language and source."""
+    features = settle(with_features(docs.select(COLUMNS)), "pipeline-quality")
+    return judge(features, thresholds(features)).where("kept").select(COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least doc_id of each group of near copies (five words, similarity 0.8).
+
+    Of rows that share a doc_id the one with the least text stays; rows without doc_id stay.
+    """
+    docs = docs.select(COLUMNS)
+    found = settle(jaccard_components(docs), "pipeline-components")
+    copies = found.where("doc_id <> component_id").select(F.col("doc_id").alias("copy_id")).distinct()
+    repeated = found.where("doc_id is not null").groupBy(F.col("doc_id").alias("copy_id")).count().where("count > 1").select("copy_id")
+    copies, repeated = settle(copies, "pipeline-copies"), settle(repeated, "pipeline-repeated")
+    kept = docs.join(small(copies), docs["doc_id"] == copies["copy_id"], "left_anti")
+    if repeated.isEmpty():
+        return kept
+    once = Window.partitionBy("doc_id").orderBy("text", *COLUMNS[2:])
+    same = kept["doc_id"] == repeated["copy_id"]
+    least = kept.join(repeated, same, "left_semi").withColumn("r", F.row_number().over(once)).where("r = 1").drop("r")
+    return kept.join(small(repeated), same, "left_anti").unionByName(least)
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with a mark in place of each secret."""
+    clean = redact(find_secrets(docs.select(COLUMNS)))
+    return clean.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents' token ids, laid out in sequences."""
+    return pack(docs.select(COLUMNS), public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("secret_scans", secret_scans),
+    ("packing", packing),
+]
+#: The sketches, the join and the tokenizer have no SQL form; tests/llm holds run() against a brute-force version.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = settle(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
+
+
+ENTRIES = {"pipeline": Entry(run, ORACLE_SQL)}
