@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,6 +46,10 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     return f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+#: Tables settled inside each open scratch(), with their folders.
+_scratch: list[list[tuple[DataFrame, str]]] = []
+
+
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Write an intermediate once as a table in the shared folder and read it back.
 
@@ -53,7 +58,32 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     folder = shared_folder(spark, label)
     df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    written = spark.read.schema(df.schema).parquet(folder)
+    if _scratch:
+        _scratch[-1].append((written, folder))
+    return written
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables settled inside are removed at the end, but for those given to the function that this yields."""
+    own: list[tuple[DataFrame, str]] = []
+    _scratch.append(own)
+
+    def keep(written: DataFrame) -> DataFrame:
+        place = next(k for k, (frame, _) in enumerate(own) if frame is written)
+        moved = own.pop(place)
+        if len(_scratch) > 1:
+            _scratch[-2].append(moved)
+        return written
+
+    try:
+        yield keep
+    finally:
+        _scratch.pop()
+        for _, folder in own:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
