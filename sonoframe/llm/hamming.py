@@ -23,7 +23,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sonoframe.llm.common import settle
+from sonoframe.llm.common import partitions, scratch, settle, small
 
 BITS, MOST_BITS = 64, 16
 
@@ -64,10 +64,13 @@ class MultiIndex:
         distinct = settle(self.rows.select("code").distinct(), "codes-distinct")
         self.segments = segments(distinct.count())
         listed = ", ".join(f"struct({j} as segment, {_part('code', s)} as value)" for j, s in enumerate(self.segments))
-        self.index = settle(distinct.select("code", F.expr(f"inline(array({listed}))")), "code-index")
+        index = settle(distinct.select("code", F.expr(f"inline(array({listed}))")), "code-index")
+        # Probes outnumber their queries by far, so they are never the side that is held.
+        self.index = small(index.hint("shuffle_hash"))
 
     def _probes(self, active: DataFrame, radius: int) -> DataFrame:
         """query, bound, segment, value: all values at this distance in each segment."""
+        active = active.repartition(partitions(active.sparkSession), "query")
         parts = []
         for j, segment in enumerate(self.segments):
             masks = _masks(segment[1], radius)
@@ -131,14 +134,16 @@ class MultiIndex:
 
 def top_k(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, rank, neighbour_id, distance: the k nearest other ids of every query (id, code)."""
-    index = MultiIndex(codes, k)
-    found = index.search(queries)
-    own = queries.distinct().select(F.col("id").alias("query_id"), F.col("code").alias("query"))
-    rank = F.row_number().over(Window.partitionBy("query_id", "query").orderBy("distance", "id"))
-    return (
-        own.join(found, "query")
-        .where(~F.col("query_id").eqNullSafe(F.col("id")))
-        .withColumn("rank", rank.cast("long"))
-        .where(F.col("rank") <= k)
-        .select("query_id", "rank", F.col("id").alias("neighbour_id"), F.col("distance").cast("long").alias("distance"))
-    )
+    with scratch(codes.sparkSession) as keep:
+        index = MultiIndex(codes, k)
+        found = index.search(queries)
+        own = queries.distinct().select(F.col("id").alias("query_id"), F.col("code").alias("query"))
+        rank = F.row_number().over(Window.partitionBy("query_id", "query").orderBy("distance", "id"))
+        ranked = (
+            own.join(found, "query")
+            .where(~F.col("query_id").eqNullSafe(F.col("id")))
+            .withColumn("rank", rank.cast("long"))
+            .where(F.col("rank") <= k)
+            .select("query_id", "rank", F.col("id").alias("neighbour_id"), F.col("distance").cast("long").alias("distance"))
+        )
+        return keep(settle(ranked, "top-k"))
