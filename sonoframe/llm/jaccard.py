@@ -6,8 +6,9 @@ its first shingles that two documents whose sets reach the similarity must share
 1. Documents with equal sets become one member; copies never meet each other again.
 2. Members with equal shared prefixes and sizes become one group. Groups meet on prefix shingles within neighbouring
    size classes.
-3. First each member is tried against one pivot: its group's, or the pivot it shares most prefix shingles with. What
-   that links becomes components, so that a large group of near copies costs one comparison a member.
+3. First each member is tried against one pivot, the text that its group shares most prefix shingles with among the
+   most typical ones, then against its group's first member. What that links becomes components, so that a large
+   group of near copies costs few comparisons a member.
 4. Then all remaining pairs of groups in different components are taken, filtered by size and by how many prefix
    shingles they share, expanded to members and verified on their whole sets. Pairs within a component can add
    nothing and are left out; no other pair is.
@@ -24,14 +25,16 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sonoframe.llm.common import settle, small
+from sonoframe.llm.common import scratch, settle, small
 from sonoframe.llm.components import components
 from sonoframe.llm.shingles import frequency_classes, ordered_keys, shingle_set
 
 SHINGLE, SIMILARITY = 5, (80, 100)
+#: Rounds of trying members against one pivot before all remaining pairs are taken, and members verified with a pivot in one task.
+ROUNDS, PER_PIVOT = 2, 100
 
 
 def _prefix_worker(size: int, classes, share: int, whole: int):
@@ -66,33 +69,37 @@ def _prefix_worker(size: int, classes, share: int, whole: int):
 
 
 def _set_worker(size: int):
+    """Columns after the text are kept."""
+
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                sets = [shingle_set(t, size).tobytes() for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_pydict({"rep": part.column(0), "set": pa.array(sets, pa.binary())})
+                sets = [shingle_set(t, size).tobytes() for t in part.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[1:], pa.array(sets, pa.binary())], [*part.schema.names[1:], "set"]
+                )
 
     return run
 
 
 def _verify_worker(share: int, whole: int):
-    def run(batches):
-        for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            keep = []
-            for left, right in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (left, right))
-                both = np.concatenate((x, y))
+    """Of one pivot and at most PER_PIVOT others: the pairs that are similar enough."""
+
+    def run(group: pa.Table) -> pa.Table:
+        sets = [np.frombuffer(v.as_buffer(), np.uint64) for v in group.column("set")]
+        reps, pivots = group.column("rep").to_pylist(), group.column("pivot").to_pylist()
+        found = []
+        for here in [k for k, (r, p) in enumerate(zip(reps, pivots, strict=True)) if r == p]:
+            for k, (rep, pivot) in enumerate(zip(reps, pivots, strict=True)):
+                if rep == pivot:
+                    continue
+                both = np.concatenate((sets[here], sets[k]))
                 both.sort()
                 common = int((both[1:] == both[:-1]).sum())
-                keep.append(whole * common >= share * (len(both) - common))
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "a": pa.array([v for v, k in zip(a, keep, strict=True) if k], pa.int64()),
-                    "b": pa.array([v for v, k in zip(b, keep, strict=True) if k], pa.int64()),
-                }
-            )
+                if whole * common >= share * (len(both) - common):
+                    found.append((pivot, rep))
+        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
     return run
 
@@ -117,6 +124,13 @@ class JaccardJoin:
         own = lambda c: F.when(first_x, F.col(f"{x}{c}")).otherwise(F.col(f"{y}{c}"))
         return own("p") - common <= own("n") - need
 
+    def _may_have_common(self, x: str, y: str) -> Column:
+        """The same, for a pair met at one shingle: as if all before and all after it were common that can be."""
+        col = lambda side, name: F.col(f"{side}{name}")
+        before = F.least(col(x, "i"), col(y, "i"))
+        after = F.least(col(x, "s") - col(x, "i"), col(y, "s") - col(y, "i"))
+        return self._enough_common(before + after, x, y)
+
     def sets(self) -> DataFrame:
         """doc_id, n, same, prefix of every row, written once."""
         spark = self.rows.sparkSession
@@ -124,34 +138,38 @@ class JaccardJoin:
         worker = _prefix_worker(self.shingle, classes, self.share, self.whole)
         return settle(self.rows.mapInArrow(worker, "doc_id long, n long, same binary, prefix array<long>"), "jaccard-sets")
 
-    def members(self, sets: DataFrame) -> DataFrame:
-        """rep, n, p, last, tokens, grp: one row per set that shares a prefix shingle with another, written once."""
-        reps = (
-            sets.where(F.col("doc_id").isNotNull() & (F.size("prefix") > 0))
-            .groupBy("n", "same")
-            .agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"))
-        )
-        postings = settle(
-            reps.select(
-                "rep", "n", F.size("prefix").alias("p"), F.element_at("prefix", -1).alias("last"), F.explode("prefix").alias("token")
-            ),
-            "jaccard-postings",
-        )
-        shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("met")).where("met > 1").select("token")
+    def copies(self, sets: DataFrame) -> DataFrame:
+        """rep, doc_id of every document whose set equals that of a document with a smaller id, written once."""
+        known = sets.where(F.col("doc_id").isNotNull() & (F.col("n") > 0)).select("doc_id", "n", "same")
+        least = known.groupBy("n", "same").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("met")).where("met > 1")
+        found = known.join(least, ["n", "same"]).where("rep <> doc_id").select("rep", "doc_id").distinct()
+        return settle(found, "jaccard-copies")
+
+    def members(self, sets: DataFrame, copies: DataFrame) -> DataFrame:
+        """rep, n, p, last, tokens, weight, grp: one row per set that shares a prefix shingle, written once.
+
+        The weight says how often the corpus has these shingles: in a group of near copies most for the text they come from.
+        """
+        able = sets.where(F.col("doc_id").isNotNull() & (F.size("prefix") > 0))
+        single = able.join(small(copies.select("doc_id")), "doc_id", "left_anti").withColumnRenamed("doc_id", "rep")
+        postings = settle(single.select("rep", F.explode("prefix").alias("token")), "jaccard-postings")
+        shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("met")).where("met > 1")
         # A prefix is as long as a share of one document.
-        kept = (
+        kept = settle(
             postings.join(shared, "token")
-            .groupBy("rep", "n", "p", "last")
-            .agg(F.sort_array(F.collect_list("token")).alias("tokens"))
+            .groupBy("rep")
+            .agg(F.sort_array(F.collect_set("token")).alias("tokens"), F.sum("met").alias("weight")),
+            "jaccard-kept",
         )
-        kept = settle(kept, "jaccard-kept")
-        groups = kept.groupBy("n", "tokens").agg(F.min("rep").alias("grp"))
-        return settle(kept.join(groups, ["n", "tokens"]), "jaccard-members")
+        sizes = single.select("rep", "n", F.size("prefix").alias("p"), F.element_at("prefix", -1).alias("last"))
+        sized = settle(sizes.join(small(kept), "rep").distinct(), "jaccard-sized")
+        groups = sized.groupBy("n", "tokens").agg(F.min("rep").alias("grp"))
+        return settle(sized.join(groups, ["n", "tokens"]), "jaccard-members")
 
     def _entries(self, rows: DataFrame, *extra: str) -> DataFrame:
         """Rows per prefix shingle and size class, in the own class and as a visitor in the next."""
         bucket = F.floor(F.log("n") / math.log(self.whole / self.share)).cast("int")
-        exploded = rows.select("n", "p", "last", "grp", *extra, bucket.alias("own"), F.explode("tokens").alias("token"))
+        exploded = rows.select("n", "p", "last", "grp", *extra, bucket.alias("own"), F.size("tokens").alias("s"), F.posexplode("tokens").alias("i", "token"))
         places = F.explode(
             F.array(
                 F.struct(F.col("own").alias("bucket"), F.lit(False).alias("visitor")),
@@ -160,42 +178,48 @@ class JaccardJoin:
         )
         return exploded.select("*", places.alias("place")).select("*", "place.bucket", "place.visitor").drop("place", "own")
 
-    def pivot_pairs(self, members: DataFrame) -> DataFrame:
-        """At most one pair a member: with its group's first member, or its group with the likeliest pivot."""
-        within = members.where("rep <> grp").select(F.col("grp").alias("a"), F.col("rep").alias("b"))
-        entries = self._entries(members.where("rep = grp"))
+    def pivot_pairs(self, parts: DataFrame, turn: int) -> DataFrame:
+        """At most one pair for each of parts (grp, component, first, weight, n, p, last, tokens): with its likeliest pivot.
+
+        The pivot of a list is its part of greatest weight, in later rounds a part by chance.
+        """
+        light = -F.col("weight") if turn == 0 else F.lit(0)
+        chance = F.xxhash64("first", F.lit(turn))
+        entries = self._entries(parts.withColumn("rank", F.struct(light.alias("light"), chance.alias("chance"))), "component", "first", "rank")
         lists = (
             entries.groupBy("token", "bucket")
             .agg(
-                F.count(F.lit(1)).alias("met"),
-                F.min(F.struct("visitor", "n", "grp", "p", "last")).alias("pivot"),
-            )
-            .where("met > 1 and not pivot.visitor")
-            .select(
-                "token", "bucket", "met", *(F.col(f"pivot.{c}").alias(f"pivot_{c}") for c in ("grp", "n", "p", "last"))
+                F.min("component").alias("least"),
+                F.max("component").alias("most"),
+                F.min(F.struct("visitor", "rank", "first", "component", "n", "p", "last", "s", "i")).alias("pivot"),
             )
+            .where("least <> most and not pivot.visitor")
+            .select("token", "bucket", *(F.col(f"pivot.{c}").alias(f"pivot_{c}") for c in ("first", "component", "n", "p", "last", "s", "i")))
         )
         tries = (
             entries.join(lists, ["token", "bucket"])
-            .where((F.col("grp") != F.col("pivot_grp")) & self._sizes_fit(F.col("n"), F.col("pivot_n")))
-            .groupBy("grp", "n", "p", "last", "pivot_grp", "pivot_n", "pivot_p", "pivot_last")
+            .where(
+                (F.col("component") != F.col("pivot_component"))
+                & self._sizes_fit(F.col("n"), F.col("pivot_n"))
+                & self._may_have_common("", "pivot_")
+            )
+            .groupBy("first", "n", "p", "last", "pivot_first", "pivot_n", "pivot_p", "pivot_last")
             .agg(F.countDistinct("token").alias("common"))
-            .where(self._enough_common(F.col("common"), "", "pivot_"))
+            .where(self._enough_common(F.col("common"), "", "pivot_") if turn == 0 else F.lit(True))
         )
-        best = tries.groupBy("grp").agg(F.max_by("pivot_grp", F.struct("common", "pivot_grp")).alias("pivot"))
-        return within.union(best.select(F.col("pivot").alias("a"), F.col("grp").alias("b")))
+        best = tries.groupBy("first").agg(F.max_by("pivot_first", F.struct("common", "pivot_first")).alias("pivot"))
+        return best.select(F.col("pivot").alias("a"), F.col("first").alias("b"))
 
     def group_pairs(self, labelled: DataFrame) -> DataFrame:
         """All pairs of members in different components that size and prefixes leave possible."""
-        parts = labelled.groupBy("grp", "component", "n", "p", "last", "tokens").agg(F.min("rep").alias("first"))
-        entries = settle(self._entries(parts, "component"), "jaccard-entries")
+        entries = settle(self._entries(self._parts(labelled), "component"), "jaccard-entries")
         majors = entries.groupBy("token", "bucket").agg(
             F.min("component").alias("least"), F.max("component").alias("most"), F.min(F.struct("visitor", "n", "component")).alias("m")
         )
         open_lists = majors.where("least <> most").select("token", "bucket", F.col("m.component").alias("major"))
         held = settle(entries.join(open_lists, ["token", "bucket"]), "jaccard-open")
         minor = held.where("component <> major")
-        names = ("grp", "component", "n", "p", "last", "visitor", "major")
+        names = ("grp", "component", "n", "p", "last", "visitor", "major", "s", "i")
         left = minor.select("token", "bucket", *(F.col(c).alias(f"x_{c}") for c in names))
         right = held.select("token", "bucket", *(F.col(c).alias(f"y_{c}") for c in names))
         met = left.join(right, ["token", "bucket"]).where(
@@ -204,6 +228,7 @@ class JaccardJoin:
             # Two of the smaller components meet from both sides; one of them is enough.
             & ((F.col("y_component") == F.col("y_major")) | (F.col("x_component") < F.col("y_component")))
             & self._sizes_fit(F.col("x_n"), F.col("y_n"))
+            & self._may_have_common("x_", "y_")
         )
         # The side that is written first is the smaller component, so that a pair has one form in all lists.
         swap = F.col("x_component") > F.col("y_component")
@@ -226,41 +251,51 @@ class JaccardJoin:
             y, ["y_grp", "y_component"]
         ).select("a", "b")
 
-    def verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """Pairs (a, b) whose whole sets reach the similarity, written once."""
-        a = sets.select(F.col("rep").alias("a"), F.col("set").alias("x"))
-        b = sets.select(F.col("rep").alias("b"), F.col("set").alias("y"))
-        met = pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y")
-        return settle(met.mapInArrow(_verify_worker(self.share, self.whole), "a long, b long"), "jaccard-links")
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) whose whole sets reach the similarity, written once.
+
+        Others travel to their pivot in parts of bounded size, each with the pivot's set; so a set is sent once per pair
+        and once per part, and texts that are in no pair not at all.
+        """
+        order = F.row_number().over(Window.partitionBy("a").orderBy("b"))
+        parts = settle(pairs.distinct().withColumn("part", F.floor((order - 1) / PER_PIVOT)), "jaccard-parts")
+        others = parts.select(F.col("b").alias("rep"), F.col("a").alias("pivot"), "part")
+        pivots = parts.select(F.col("a").alias("rep"), F.col("a").alias("pivot"), "part").distinct()
+        wanted = settle(others.union(pivots), "jaccard-wanted")
+        texts = self.rows.join(small(wanted), self.rows["doc_id"] == wanted["rep"]).select("text", "rep", "pivot", "part")
+        sets = texts.mapInArrow(_set_worker(self.shingle), "rep long, pivot long, part long, set binary")
+        worker = _verify_worker(self.share, self.whole)
+        return settle(sets.groupBy("pivot", "part").applyInArrow(worker, "a long, b long"), "jaccard-links")
+
+    def _label(self, members: DataFrame, links: DataFrame) -> DataFrame:
+        found = components(links)
+        labelled = members.join(found, members["rep"] == found["node"], "left").drop("node")
+        return settle(labelled.withColumn("component", F.coalesce("component", "rep")), "jaccard-labelled")
 
-    def candidate_sets(self, pairs: DataFrame) -> DataFrame:
-        """rep, set: whole sets of the documents in the pairs."""
-        ids = settle(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "jaccard-ids")
-        texts = self.rows.join(small(ids), self.rows["doc_id"] == ids["rep"], "left_semi")
-        return texts.mapInArrow(_set_worker(self.shingle), "rep long, set binary")
+    @staticmethod
+    def _parts(labelled: DataFrame) -> DataFrame:
+        """One row per group and component."""
+        return labelled.groupBy("grp", "component", "n", "p", "last", "tokens").agg(F.min("rep").alias("first"), F.max("weight").alias("weight"))
 
     def labelled(self) -> DataFrame:
         """doc_id, n_shingles, component_id of every row."""
         sets = self.sets()
-        members = self.members(sets)
-        first = settle(self.pivot_pairs(members).distinct(), "jaccard-pivots")
-        links = self.verified(first, self.candidate_sets(first))
-        found = components(links)
-        labelled = members.join(found, members["rep"] == found["node"], "left").select(
-            "rep", "n", "p", "last", "tokens", "grp", F.coalesce("component", "rep").alias("component")
-        )
-        labelled = settle(labelled, "jaccard-labelled")
-        rest = settle(self.group_pairs(labelled), "jaccard-pairs")
-        more = self.verified(rest, self.candidate_sets(rest))
-        # Equal sets and equal ids link as well.
-        known = sets.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-        least = known.groupBy("n", "same").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-        equal = (
-            known.join(least.where("copies > 1"), ["n", "same"])
-            .where("rep <> doc_id")
-            .select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-        )
-        whole = components(links.union(more).union(equal))
+        copies = self.copies(sets)
+        members = self.members(sets, copies)
+        heads = members.where("rep = grp").select("*", F.col("rep").alias("component"), F.col("rep").alias("first"))
+        # A group's pivot is its members' pivot; groups that meet no other are tried against their own first member.
+        pivots = self.pivot_pairs(heads, 0).select(F.col("b").alias("grp"), F.col("a").alias("pivot"))
+        tried = members.join(pivots, "grp", "left").select(F.coalesce("pivot", "grp").alias("a"), F.col("rep").alias("b"))
+        links = self.verified(tried.where("a <> b"))
+        labelled = self._label(members, links)
+        for turn in range(1, ROUNDS):
+            heads = labelled.where("rep = grp").select(F.col("rep").alias("a"), "grp", F.col("component").alias("own"))
+            within = labelled.join(heads, "grp").where("component <> own").select("a", F.col("rep").alias("b"))
+            links = links.union(self.verified(self.pivot_pairs(self._parts(labelled), turn).union(within)))
+            labelled = self._label(members, links)
+        links = links.union(self.verified(self.group_pairs(labelled)))
+        # Equal sets link as well.
+        whole = components(links.union(copies.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))))
         return sets.join(whole, sets["doc_id"] == whole["node"], "left").select(
             "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
         )
@@ -268,4 +303,5 @@ class JaccardJoin:
 
 def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id for each row; `similarity` is a fraction."""
-    return JaccardJoin(docs, shingle, similarity).labelled()
+    with scratch(docs.sparkSession) as keep:
+        return keep(settle(JaccardJoin(docs, shingle, similarity).labelled(), "jaccard-components"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 #: Words whose hash a worker keeps.
 KEPT_WORDS = 400_000
 #: Counters of the frequency table, parts it is summed in, and parts added up by one task at a time.
-COUNTERS, SLICES, FAN_IN = 1 << 20, 16, 64
+COUNTERS, SLICES, FAN_IN = 1 << 22, 64, 64
 #: Classes of frequency; the first is for everything not clearly above the mean.
 CLASSES = 16
 
@@ -124,7 +124,7 @@ def frequency_classes(docs: DataFrame, size: int) -> np.ndarray:
         counts[row["slice"]] += np.frombuffer(zlib.decompress(row["counts"]), np.int64)
     counts = counts.ravel()
     mean = counts.mean()
-    base = mean + 8 * np.sqrt(mean) + 8
+    base = mean + 3 * np.sqrt(mean) + 3
     return np.minimum(CLASSES - 1, np.ceil(np.log2(np.maximum(counts / base, 0.5) + 1e-9)) + 1).clip(0).astype(np.uint8)
 
 
