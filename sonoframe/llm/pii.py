@@ -13,8 +13,8 @@ that replacing has to look up, and they travel by document.
 
 Defined results: a null text stays null; texts without entities come back as they are; spans don't overlap, the earlier
 kind in the order above wins; rows that share a doc_id, or have none, are replaced alike; repeated rows get equal
-results; an empty table gives no rows. Other columns are ignored. Intermediate tables hold entities in clear: the shared
-folder needs the protection that the corpus has.
+results; an empty table gives no rows. Other columns are ignored. Intermediate tables hold entities in clear until
+the replacements are drawn: the shared folder needs the protection that the corpus has.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sonoframe.llm.common import settle, small
+from sonoframe.llm.common import scratch, settle, small
 
 # Given names and titles, by gender and script.
 GIVEN = {
@@ -76,11 +76,13 @@ def _iban_check(country: str, rest: str) -> str:
 
 
 def _names(text: str):
-    for match in _NAMED.finditer(text):
+    match = _NAMED.search(text)
+    while match:
         first, words = match[1], match[3][1:].split(" ")
         title = TITLE_OF.get(first)
         if title is None:
             if match[2] or first not in GENDER_OF:
+                match = _NAMED.search(text, match.end(1))
                 continue
             words = [first, *words]
             at = match.start(1)
@@ -92,6 +94,7 @@ def _names(text: str):
             given = gender is not None and k < len(words) - 1
             yield at, at + len(word), f"given_{gender}" if given else "surname", word
             at += len(word) + 1
+        match = _NAMED.search(text, match.end())
 
 
 def find_entities(text: str) -> list[tuple[int, int, str, str]]:
@@ -285,14 +288,15 @@ def attempts(entities: DataFrame, key: bytes) -> DataFrame:
 def with_surrogates(docs: DataFrame, key: bytes) -> DataFrame:
     """doc_id, text with all entities replaced, n_entities."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    mentions = settle(rows.mapInArrow(_mention_worker, "doc_id long, kind string, canon string"), "pii-mentions")
-    later = attempts(settle(mentions.select("kind", "canon").distinct(), "pii-entities"), key)
-    by_doc = (
-        mentions.distinct()
-        .join(later, ["kind", "canon"])
-        .groupBy(F.col("doc_id").alias("later_id"))
-        .agg(F.collect_list(F.struct("kind", "canon", "attempt")).alias("later"))
-    )
-    by_doc = settle(by_doc, "pii-later")
+    with scratch(docs.sparkSession) as keep:
+        mentions = settle(rows.mapInArrow(_mention_worker, "doc_id long, kind string, canon string"), "pii-mentions")
+        later = attempts(settle(mentions.select("kind", "canon").distinct(), "pii-entities"), key)
+        by_doc = (
+            mentions.distinct()
+            .join(later, ["kind", "canon"])
+            .groupBy(F.col("doc_id").alias("later_id"))
+            .agg(F.collect_list(F.struct("kind", "canon", "attempt")).alias("later"))
+        )
+        by_doc = keep(settle(by_doc, "pii-later"))
     joined = rows.join(small(by_doc), F.col("doc_id").eqNullSafe(F.col("later_id")), "left").select("doc_id", "text", "later")
     return joined.mapInArrow(_replace_worker(key), "doc_id long, text string, n_entities long")
