@@ -40,8 +40,9 @@ def scorer_column(scorer: Scorer, samples: Column) -> Column:
 
 
 def score_frames(samples: DataFrame, scorer: Scorer, frame: int) -> DataFrame:
-    """Frame scores of the first channel. Chunks must hold whole frames, except the last."""
-    scored = samples.select(MEDIA, "start_sample", scorer_column(scorer, F.col("ch0")).alias("_p"))
+    """Frame scores of the mix of both channels, or of the one there is. Chunks must hold whole frames, except the last."""
+    mix = F.zip_with(F.coalesce("ch0", "ch1"), F.coalesce("ch1", "ch0"), lambda a, b: (a.cast("double") + b.cast("double")) / 2)
+    scored = samples.select(MEDIA, "start_sample", scorer_column(scorer, mix).alias("_p"))
     return scored.select(MEDIA, "start_sample", F.posexplode("_p").alias("_k", "prob")).select(
         MEDIA, (F.col("start_sample") / frame + F.col("_k")).cast("bigint").alias("frame_idx"), "prob"
     )

@@ -85,7 +85,7 @@ def stream_region_builder(spark, sf):
 @query(
     "pluggable_scorer",
     "UD-01",
-    f"""WITH {G.SAMPLES}, f AS (SELECT media_id, i // 8 AS frame_idx, 20 * log10(sqrt(avg(l * l) + 1e-12)) AS lv FROM v_s GROUP BY 1, 2)
+    f"""WITH {G.SAMPLES}, f AS (SELECT media_id, i // 8 AS frame_idx, 20 * log10(sqrt(avg(m * m) + 1e-12)) AS lv FROM v_s GROUP BY 1, 2)
  SELECT media_id, frame_idx, round(1 / (1 + exp(-(lv + 18) / 2)), 5) AS prob FROM f""",
 )
 def pluggable_scorer(spark, sf):

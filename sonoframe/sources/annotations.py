@@ -15,27 +15,56 @@ EAF = (
 def parse_eaf(documents: DataFrame) -> DataFrame:
     """Aligned annotations of ``(path, xml)`` documents with their slot times in milliseconds.
 
-    Slots resolve inside the document, so nothing is shuffled. ``error`` marks unresolved slots.
+    Slots resolve inside the document, so nothing is shuffled. Of a repeated slot the last value counts, and ``error``
+    marks the annotations that use it; it also marks unresolved slots, and one row stands for a document without tiers.
     """
     parsed = documents.withColumn("_d", F.from_xml("xml", EAF))
-    usable = F.filter(
-        "_d.TIME_ORDER.TIME_SLOT",
-        lambda s: s["_TIME_SLOT_ID"].isNotNull() & s["_TIME_VALUE"].isNotNull(),
+    usable = F.reverse(
+        F.filter(
+            F.coalesce("_d.TIME_ORDER.TIME_SLOT", F.array().cast("array<struct<_TIME_SLOT_ID:string,_TIME_VALUE:bigint>>")),
+            lambda s: s["_TIME_SLOT_ID"].isNotNull() & s["_TIME_VALUE"].isNotNull(),
+        )
     )
-    slots = F.map_from_entries(F.transform(usable, lambda s: F.struct(s["_TIME_SLOT_ID"], s["_TIME_VALUE"])))
-    tiers = parsed.select("path", slots.alias("_slots"), F.explode("_d.TIER").alias("_t"))
-    notes = tiers.select(
-        "path", "_slots", F.col("_t._TIER_ID").alias("tier"), F.explode("_t.ANNOTATION.ALIGNABLE_ANNOTATION").alias("_a")
-    ).where("_a IS NOT NULL")
-    return notes.select(
+    tiers = parsed.select(
         "path",
-        "tier",
-        F.col("_a._ANNOTATION_ID").alias("annotation_id"),
-        F.col("_slots")[F.col("_a._TIME_SLOT_REF1")].alias("start_ms"),
-        F.col("_slots")[F.col("_a._TIME_SLOT_REF2")].alias("end_ms"),
-        F.trim(F.coalesce("_a.ANNOTATION_VALUE", F.lit(""))).alias("value"),
-    ).withColumn(
-        "error", F.when(F.col("start_ms").isNull() | F.col("end_ms").isNull(), "unresolved_time_slot")
+        usable.alias("_slots"),
+        F.transform(usable, lambda s: s["_TIME_SLOT_ID"]).alias("_ids"),
+        F.explode(F.coalesce("_d.TIER", F.array(F.lit(None)))).alias("_t"),
+    ).withColumn("_ids_forward", F.reverse("_ids"))
+    notes = tiers.select(
+        "*",
+        F.col("_t._TIER_ID").alias("tier"),
+        F.explode(
+            F.when(F.col("_t").isNull(), F.array(F.lit(None))).otherwise(F.col("_t.ANNOTATION.ALIGNABLE_ANNOTATION"))
+        ).alias("_a"),
+    ).where("_a IS NOT NULL OR _t IS NULL")
+
+    def slot(reference: str) -> Column:
+        return F.get("_slots", F.array_position("_ids", F.col(reference)) - 1)["_TIME_VALUE"]
+
+    def repeated(reference: str) -> Column:
+        # First from the front and first from the back are the same place unless the slot is repeated.
+        places = F.array_position("_ids", F.col(reference)) + F.array_position("_ids_forward", F.col(reference))
+        return F.coalesce(places != F.size("_ids") + 1, F.lit(False))
+
+    start, end = "_a._TIME_SLOT_REF1", "_a._TIME_SLOT_REF2"
+    error = (
+        F.when(F.col("_t").isNull(), "unparseable_document")
+        .when(F.col("start_ms").isNull() | F.col("end_ms").isNull(), "unresolved_time_slot")
+        .when(repeated(start) | repeated(end), "repeated_time_slot")
+    )
+    return (
+        notes.withColumns({"start_ms": slot(start), "end_ms": slot(end)})
+        .withColumn("error", error)
+        .select(
+            "path",
+            "tier",
+            F.col("_a._ANNOTATION_ID").alias("annotation_id"),
+            "start_ms",
+            "end_ms",
+            F.trim(F.coalesce("_a.ANNOTATION_VALUE", F.lit(""))).alias("value"),
+            "error",
+        )
     )
 
 
@@ -59,13 +88,20 @@ GRID_INTERVAL = (
 
 
 def parse_textgrid(documents: DataFrame) -> DataFrame:
-    """Intervals of ``(path, content)`` UTF-16 grids: tier, position, bounds in seconds and text."""
+    """Intervals of ``(path, content)`` UTF-16 grids: tier, position, bounds in seconds and text.
+
+    A document in which no tier can be read is one row with an ``error``.
+    """
     text = F.regexp_replace(F.decode("content", "UTF-16"), "\r\n?", "\n")
-    items = documents.select("path", F.explode(F.regexp_extract_all(text, F.lit(GRID_ITEM), F.lit(1))).alias("_i"))
-    named = items.where(F.col("_i").rlike(GRID_NAME)).select(
+    found = F.filter(F.regexp_extract_all(text, F.lit(GRID_ITEM), F.lit(1)), lambda i: i.rlike(GRID_NAME))
+    nothing = F.array(F.lit(None).cast("string"))
+    items = documents.select("path", F.explode(F.when(F.size(found) > 0, found).otherwise(nothing)).alias("_i"))
+    intervals = F.when(F.col("_i").isNull(), nothing).otherwise(F.regexp_extract_all("_i", F.lit(GRID_INTERVAL), F.lit(0)))
+    named = items.select(
         "path",
         F.regexp_extract("_i", GRID_NAME, 1).alias("tier"),
-        F.posexplode(F.regexp_extract_all("_i", F.lit(GRID_INTERVAL), F.lit(0))).alias("position", "_m"),
+        F.when(F.col("_i").isNull(), "unparseable_document").alias("error"),
+        F.posexplode(intervals).alias("position", "_m"),
     )
 
     def group(index: int) -> Column:
@@ -78,6 +114,7 @@ def parse_textgrid(documents: DataFrame) -> DataFrame:
         group(1).cast("double").alias("start_s"),
         group(2).cast("double").alias("end_s"),
         F.replace(group(3), F.lit('""'), F.lit('"')).alias("text"),
+        "error",
     )
 
 
@@ -96,14 +133,16 @@ def run_segments(runs: DataFrame, strict: bool = True) -> DataFrame:
     """Segments of ``(run_id, json)`` run documents, whatever aliases they use.
 
     ``strict``: a labelled segment without both bounds is reported in ``error``; otherwise missing
-    bounds stay null. Words are kept nested and normalised.
+    bounds stay null. Words are kept nested and normalised. A document in which no list of segments
+    can be read is one row without a segment number.
     """
     parsed = runs.withColumn("_r", F.from_json("json", RUN))
     raw = F.when(
         F.col("_r.output").isNotNull(),
         F.coalesce("_r.output.segments", "_r.output.result.sentences"),
     ).otherwise(F.coalesce("_r.segments", "_r.result.sentences"))
-    rows = parsed.select("run_id", F.posexplode(raw).alias("seg_idx", "_s"))
+    listed = F.when(raw.isNull(), F.array(F.lit(None).cast(SEGMENT))).otherwise(raw)
+    rows = parsed.select("run_id", raw.isNull().alias("_bad"), F.posexplode(listed).alias("seg_idx", "_s"))
 
     def bound(side: str) -> Column:
         names = [f"{side}_s", f"{side}_time", f"{side}TimeSeconds", side]
@@ -119,7 +158,8 @@ def run_segments(runs: DataFrame, strict: bool = True) -> DataFrame:
 
     out = rows.select(
         "run_id",
-        F.col("seg_idx").cast("bigint").alias("seg_idx"),
+        "_bad",
+        F.when(~F.col("_bad"), F.col("seg_idx").cast("bigint")).alias("seg_idx"),
         bound("start").alias("start_s"),
         bound("end").alias("end_s"),
         F.coalesce("_s.speaker_id", "_s.speaker", "_s.speakerId").alias("speaker"),
@@ -128,8 +168,10 @@ def run_segments(runs: DataFrame, strict: bool = True) -> DataFrame:
     )
     unbound = F.col("start_s").isNull() | F.col("end_s").isNull()
     labelled = F.col("speaker").isNotNull()
-    error = F.when(F.lit(strict) & labelled & unbound, "labelled_segment_lacks_time_bound")
-    return out.withColumn("error", error)
+    error = F.when(F.col("_bad"), "unparseable_document").when(
+        F.lit(strict) & labelled & unbound, "labelled_segment_lacks_time_bound"
+    )
+    return out.withColumn("error", error).drop("_bad")
 
 
 def segment_words(segments: DataFrame) -> DataFrame:

@@ -14,9 +14,14 @@ ENTRY = (
 
 
 def parse_catalog(documents: DataFrame) -> DataFrame:
-    """One row per artifact of ``(json)`` catalogues keyed by id."""
+    """One row per artifact of ``(json)`` catalogues keyed by id; ``error`` stands for a catalogue that can't be read."""
+    packages = F.col("_d.packages")
     parsed = documents.select(F.from_json("json", f"packages map<string,{ENTRY}>").alias("_d"))
-    rows = parsed.select(F.explode("_d.packages").alias("id", "_p"))
+    nothing = F.array(F.lit(None).cast(f"struct<key:string,value:{ENTRY}>"))
+    rows = parsed.select(
+        F.when(packages.isNull(), "unparseable_document").alias("error"),
+        F.explode(F.when(packages.isNull(), nothing).otherwise(F.map_entries(packages))).alias("_e"),
+    ).select("error", F.col("_e.key").alias("id"), F.col("_e.value").alias("_p"))
     return rows.select(
         "id",
         F.col("_p.environment").alias("grp"),
@@ -28,6 +33,7 @@ def parse_catalog(documents: DataFrame) -> DataFrame:
         F.aggregate(
             "_p.source.repos", F.lit(0).cast("bigint"), lambda a, r: a + F.coalesce(r["bytes"], F.lit(0))
         ).alias("parts_bytes"),
+        "error",
     )
 
 

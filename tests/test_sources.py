@@ -215,3 +215,26 @@ def test_region_sanity(spark):
     df = spark.createDataFrame(rows, "media_id long, start long, end long, total_samples long")
     out = [r.problem for r in quality.region_sanity(df, Layout(3)).orderBy("start").collect()]
     assert out == ["overlaps_previous", "empty", "outside_signal"]
+
+
+def test_one_reject_row_per_bad_document(spark):
+    xml = spark.createDataFrame([("bad", "no xml"), ("x", EAF)], "path string, xml string")
+    assert [(r.path, r.error) for r in N.parse_eaf(xml).collect() if r.error == "unparseable_document"] == [("bad", "unparseable_document")]
+    grids = spark.createDataFrame([("bad", bytearray("nothing".encode("utf-16")))], "path string, content binary")
+    assert [(r.path, r.error) for r in N.parse_textgrid(grids).collect()] == [("bad", "unparseable_document")]
+    runs = spark.createDataFrame([("bad", "not json"), ("none", '{"segments": []}')], "run_id string, json string")
+    assert [(r.run_id, r.seg_idx, r.error) for r in N.run_segments(runs).collect()] == [("bad", None, "unparseable_document")]
+    lists = spark.createDataFrame([("not json",)], "json string")
+    assert [(r.id, r.error) for r in K.parse_catalog(lists).collect()] == [(None, "unparseable_document")]
+
+
+def test_the_last_value_of_a_repeated_slot_counts(spark):
+    xml = (
+        '<ANNOTATION_DOCUMENT><TIME_ORDER><TIME_SLOT TIME_SLOT_ID="a" TIME_VALUE="1"/><TIME_SLOT TIME_SLOT_ID="b" TIME_VALUE="5"/>'
+        '<TIME_SLOT TIME_SLOT_ID="a" TIME_VALUE="2"/></TIME_ORDER><TIER TIER_ID="t"><ANNOTATION><ALIGNABLE_ANNOTATION ANNOTATION_ID="1" '
+        'TIME_SLOT_REF1="a" TIME_SLOT_REF2="b"><ANNOTATION_VALUE>v</ANNOTATION_VALUE></ALIGNABLE_ANNOTATION></ANNOTATION>'
+        '<ANNOTATION><ALIGNABLE_ANNOTATION ANNOTATION_ID="2" TIME_SLOT_REF1="b" TIME_SLOT_REF2="b"><ANNOTATION_VALUE>w</ANNOTATION_VALUE>'
+        "</ALIGNABLE_ANNOTATION></ANNOTATION></TIER></ANNOTATION_DOCUMENT>"
+    )
+    rows = N.parse_eaf(spark.createDataFrame([("x", xml)], "path string, xml string")).orderBy("annotation_id").collect()
+    assert [(r.start_ms, r.end_ms, r.error) for r in rows] == [(2, 5, "repeated_time_slot"), (5, 5, None)]
