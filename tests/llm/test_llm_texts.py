@@ -100,9 +100,9 @@ def test_quality_verdict_depends_on_language_and_source(spark):
     from cases import prose
 
     noisy = lambda seed, share: " ".join(w + "#" * (k % share == 0) for k, w in enumerate(prose(seed, 200).split()))
-    rows = [(k, noisy(k, 4), "de", "forum", 1, "x", "y", 1, 2, 3, 4) for k in range(40)]
+    rows = [(k, noisy(k, 2), "de", "forum", 1, "x", "y", 1, 2, 3, 4) for k in range(40)]
     rows += [(100 + k, prose(100 + k, 200), "en", "news", 1, "x", "y", 1, 2, 3, 4) for k in range(40)]
-    rows += [(200, noisy(200, 4), "en", "news", 1, "x", "y", 1, 2, 3, 4), (201, noisy(201, 1), "de", "forum", 1, "x", "y", 1, 2, 3, 4)]
+    rows += [(200, noisy(200, 2), "en", "news", 1, "x", "y", 1, 2, 3, 4), (201, noisy(201, 1), "de", "forum", 1, "x", "y", 1, 2, 3, 4)]
     features = with_features(docs(spark, rows)).drop("kept")
     kept = {r["doc_id"]: r["kept"] for r in judge(features, thresholds(features)).collect()}
     assert [i for i, k in kept.items() if not k and i < 200] == []
