@@ -33,8 +33,8 @@ from sonoframe.llm.components import components
 from sonoframe.llm.shingles import frequency_classes, ordered_keys, shingle_set
 
 SHINGLE, SIMILARITY = 5, (80, 100)
-#: Rounds of trying members against one pivot before all remaining pairs are taken, and members verified with a pivot in one task.
-ROUNDS, PER_PIVOT = 2, 100
+#: Members verified with a pivot in one task.
+PER_PIVOT = 100
 
 
 def _prefix_worker(size: int, classes, share: int, whole: int):
@@ -178,14 +178,13 @@ class JaccardJoin:
         )
         return exploded.select("*", places.alias("place")).select("*", "place.bucket", "place.visitor").drop("place", "own")
 
-    def pivot_pairs(self, parts: DataFrame, turn: int) -> DataFrame:
+    def pivot_pairs(self, parts: DataFrame) -> DataFrame:
         """At most one pair for each of parts (grp, component, first, weight, n, p, last, tokens): with its likeliest pivot.
 
-        The pivot of a list is its part of greatest weight, in later rounds a part by chance.
+        The pivot of a list is its part of greatest weight.
         """
-        light = -F.col("weight") if turn == 0 else F.lit(0)
-        chance = F.xxhash64("first", F.lit(turn))
-        entries = self._entries(parts.withColumn("rank", F.struct(light.alias("light"), chance.alias("chance"))), "component", "first", "rank")
+        rank = F.struct((-F.col("weight")).alias("light"), F.xxhash64("first").alias("chance"))
+        entries = self._entries(parts.withColumn("rank", rank), "component", "first", "rank")
         lists = (
             entries.groupBy("token", "bucket")
             .agg(
@@ -205,7 +204,7 @@ class JaccardJoin:
             )
             .groupBy("first", "n", "p", "last", "pivot_first", "pivot_n", "pivot_p", "pivot_last")
             .agg(F.countDistinct("token").alias("common"))
-            .where(self._enough_common(F.col("common"), "", "pivot_") if turn == 0 else F.lit(True))
+            .where(self._enough_common(F.col("common"), "", "pivot_"))
         )
         best = tries.groupBy("first").agg(F.max_by("pivot_first", F.struct("common", "pivot_first")).alias("pivot"))
         return best.select(F.col("pivot").alias("a"), F.col("first").alias("b"))
@@ -284,15 +283,15 @@ class JaccardJoin:
         members = self.members(sets, copies)
         heads = members.where("rep = grp").select("*", F.col("rep").alias("component"), F.col("rep").alias("first"))
         # A group's pivot is its members' pivot; groups that meet no other are tried against their own first member.
-        pivots = self.pivot_pairs(heads, 0).select(F.col("b").alias("grp"), F.col("a").alias("pivot"))
+        pivots = self.pivot_pairs(heads).select(F.col("b").alias("grp"), F.col("a").alias("pivot"))
         tried = members.join(pivots, "grp", "left").select(F.coalesce("pivot", "grp").alias("a"), F.col("rep").alias("b"))
         links = self.verified(tried.where("a <> b"))
         labelled = self._label(members, links)
-        for turn in range(1, ROUNDS):
-            heads = labelled.where("rep = grp").select(F.col("rep").alias("a"), "grp", F.col("component").alias("own"))
-            within = labelled.join(heads, "grp").where("component <> own").select("a", F.col("rep").alias("b"))
-            links = links.union(self.verified(self.pivot_pairs(self._parts(labelled), turn).union(within)))
-            labelled = self._label(members, links)
+        # Members that their pivot doesn't link are tried against the first of their group.
+        first = labelled.where("rep = grp").select(F.col("rep").alias("a"), "grp", F.col("component").alias("own"))
+        within = labelled.join(first, "grp").where("component <> own").select("a", F.col("rep").alias("b"))
+        links = links.union(self.verified(within))
+        labelled = self._label(members, links)
         links = links.union(self.verified(self.group_pairs(labelled)))
         # Equal sets link as well.
         whole = components(links.union(copies.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))))
