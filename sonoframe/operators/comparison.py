@@ -35,9 +35,9 @@ def token_sequences(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def segment_sequences(
-    left: DataFrame, right: DataFrame, left_key: Column, right_key: Column, duration: int, layout: Layout
+    left: DataFrame, right: DataFrame, left_key: Column, right_key: Column, durations: DataFrame, layout: Layout
 ) -> DataFrame:
-    """Counts, labels, coverage ends and positional bound deltas of two segmentations."""
+    """Counts, labels, coverage ends and positional bound deltas of two segmentations; ``durations``: (media_id, duration)."""
     order = ["start", "end", "seg_idx"]
     paired = zip_by_index(left, right, order, layout)
     zipped = paired.groupBy(MEDIA).agg(
@@ -48,11 +48,13 @@ def segment_sequences(
     )
 
     def summary(df: DataFrame, side: str) -> DataFrame:
-        return df.groupBy(MEDIA).agg(
+        ends = df.groupBy(MEDIA).agg(
             F.count("*").alias(f"{side}_segments"),
             F.array_sort(F.collect_set("speaker")).alias(f"{side}_labels"),
-            F.round(F.max("end") / duration, 4).alias(f"{side}_last_end_ratio"),
+            F.max("end").alias("_end"),
         )
+        ratio = F.round(F.col("_end") / F.col("duration"), 4).alias(f"{side}_last_end_ratio")
+        return ends.join(durations, MEDIA).select(MEDIA, f"{side}_segments", f"{side}_labels", ratio)
 
     return (
         summary(left, "left")

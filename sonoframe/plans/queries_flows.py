@@ -66,10 +66,10 @@ def compensation_loop(spark, sf):
 @query(
     "partial_coverage",
     "SP-01 TL-04",
-    f"""WITH {V.SEGMENTS}, {V.VALID}, p AS (SELECT media_id, "start" AS b FROM v_val UNION SELECT media_id, "end" FROM v_val UNION SELECT user_id, 0 FROM events UNION SELECT user_id, {V.DAYS_30} FROM events),
+    f"""WITH {V.SEGMENTS}, {V.VALID}, p AS (SELECT media_id, "start" AS b FROM v_val UNION SELECT media_id, "end" FROM v_val UNION SELECT media_id, 0 FROM v_tot UNION SELECT media_id, total FROM v_tot),
  q AS (SELECT media_id, b AS s, lead(b) OVER (PARTITION BY media_id ORDER BY b) AS e FROM p),
  m AS (SELECT media_id, s, e, EXISTS (SELECT 1 FROM v_val v WHERE v.media_id = q.media_id AND v."start" < e AND v."end" > s) AS c FROM q WHERE e IS NOT NULL)
- SELECT media_id, coalesce(min(s) FILTER (WHERE NOT c), {V.DAYS_30}) AS watermark, CAST(coalesce(sum(e - s) FILTER (WHERE c), 0) AS BIGINT) AS covered FROM m GROUP BY 1""",
+ SELECT media_id, coalesce(min(s) FILTER (WHERE NOT c), any_value(total)) AS watermark, CAST(coalesce(sum(e - s) FILTER (WHERE c), 0) AS BIGINT) AS covered FROM m JOIN v_tot USING (media_id) GROUP BY 1""",
 )
 def partial_coverage(spark, sf):
     layout = V.events_layout(spark, sf)

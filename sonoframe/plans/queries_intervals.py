@@ -201,8 +201,7 @@ def slot_lookup(spark, sf):
 
 
 GRID = 6 * HOUR
-FRAME_SETS = f"""{SEG}, grid AS (SELECT DISTINCT user_id AS media_id FROM events),
- fr AS (SELECT media_id, f AS frame_idx, f * {GRID} + {GRID // 2} AS t FROM grid, (SELECT unnest(range({V.DAYS_30 // GRID})) AS f))
+FRAME_SETS = f"""{SEG}, fr AS (SELECT media_id, f AS frame_idx, f * {GRID} + {GRID // 2} AS t FROM (SELECT media_id, unnest(range(total // {GRID})) AS f FROM v_tot))
  SELECT fr.media_id, frame_idx, coalesce(string_agg(DISTINCT speaker, ',' ORDER BY speaker), '') AS speakers
  FROM fr LEFT JOIN v_val s ON s.media_id = fr.media_id AND s."start" <= t AND t < s."end" GROUP BY 1, 2"""
 
@@ -219,13 +218,14 @@ def frame_label_sets(spark, sf):
     words = T.word_count(ranks)
     edges = totals.select("media_id", F.explode(F.array(F.lit(0).cast("bigint"), "total")).alias("at"))
     spans = T.sweep(layered, ["speaker"], layout, ranks, words, edges).where("end IS NOT NULL")
-    last = F.lit(V.DAYS_30 // GRID - 1).cast("bigint")
+    last = F.floor(F.col("total") / GRID) - 1
 
     def before(x):
         return F.floor((2 * F.col(x) + F.lit(GRID - 1)) / F.lit(2 * GRID)).cast("bigint")
 
     framed = (
-        spans.withColumns({"_a": before("start"), "_b": F.least(before("end") - 1, last)})
+        spans.join(totals, "media_id")
+        .withColumns({"_a": before("start"), "_b": F.least(before("end") - 1, last)})
         .where("_b >= _a")
         .withColumn("frame_idx", F.explode(F.sequence("_a", "_b")))
     )
@@ -448,17 +448,21 @@ def repeat_windows(spark, sf):
     return repeats.repeat_windows(V.valid_segments(spark, sf), 240 * HOUR, 3)
 
 
+#: Length that the recordings are declared to have; what lies beyond is reported, never cut.
+DECLARED = 720 * HOUR
+
+
 @query(
     "monotonic_flags",
     "RG-16 DQ-12",
     f"""WITH {V.SEGMENTS}, s AS (SELECT *, lag("start") OVER w AS ps, lag("end") OVER w AS pe FROM v_seg WINDOW w AS (PARTITION BY media_id ORDER BY seg_idx))
  SELECT media_id, bool_and(coalesce("start" >= ps, true)) AS starts_nondecreasing, bool_and(coalesce("end" >= pe, true)) AS ends_nondecreasing,
- bool_and("end" >= "start") AS ends_after_starts, bool_and("start" >= 0 AND "end" <= {V.DAYS_30} + {HOUR}) AS inside_signal FROM s GROUP BY 1""",
+ bool_and("end" >= "start") AS ends_after_starts, bool_and("start" >= 0 AND "end" <= {DECLARED} + {HOUR}) AS inside_signal FROM s GROUP BY 1""",
 )
 def monotonic_flags(spark, sf):
     segs = V.segments(spark, sf)
     layout = V.measure_layout(segs, ["media_id"], F.col("seg_idx"), 1_000_000)
-    return I.monotonic_flags(segs, F.lit(V.DAYS_30), HOUR, layout)
+    return I.monotonic_flags(segs, F.lit(DECLARED), HOUR, layout)
 
 
 @query(
@@ -566,16 +570,15 @@ def drift_examples(spark, sf):
  UNION ALL SELECT media_id, 'only_filtered_raw_fragments_active', s, e, e - s, '' FROM spans WHERE kind = 'raw_fragment_abstain'
  UNION ALL SELECT media_id, 'raw_diarizer_fragment_below_predeclared_minimum', "start", "end", "end" - "start", speaker FROM frag
  UNION ALL SELECT media_id, 'final_turn_below_asr_minimum', s, e, e - s, speaker FROM turns WHERE e - s < 1800000000
- UNION ALL SELECT media_id, 'empty_after_crop', "start", "end", "end" - "start", speaker FROM v_seg WHERE NOT least("end", 2592000000000) > greatest(0, "start")""",
+ UNION ALL SELECT media_id, 'empty_after_crop', "start", "end", "end" - "start", speaker FROM v_seg WHERE NOT "end" > "start" """,
 )
 def abstention_ledger(spark, sf):
     layout, _, filtered, _, spans = plan_parts(spark, sf)
     spans = cut(spans)
     turns = T.build_turns(spans, TURN_GAP, layout)
-    clipped_end = F.least(F.lit(V.DAYS_30), F.col("end"))
     invalid = (
         V.segments(spark, sf)
-        .where(~(clipped_end > F.greatest(F.lit(0), F.col("start"))))
+        .where(~(F.col("end") > F.col("start")))
         .withColumn("reason", F.lit("empty_after_crop"))
     )
     out = T.abstentions(spans, turns, filtered, invalid, TURN_MIN)

@@ -176,7 +176,7 @@ def merge_intervals(spark, sf):
  r AS (SELECT media_id, "start", max("end") OVER (PARTITION BY media_id ORDER BY "start"
    RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS reach FROM z),
  d AS (SELECT media_id, "start", max(reach) AS reach FROM r GROUP BY 1, 2),
- n AS (SELECT *, coalesce(lead("start") OVER (PARTITION BY media_id ORDER BY "start"), {V.DAYS_30}) AS nx FROM d)
+ n AS (SELECT d.*, coalesce(lead("start") OVER (PARTITION BY media_id ORDER BY "start"), total) AS nx FROM d JOIN v_tot USING (media_id))
  SELECT media_id, reach AS gap_start, nx AS gap_end FROM n WHERE nx > reach""",
 )
 def interval_gaps(spark, sf):
@@ -191,7 +191,7 @@ SPANS = f"""{V.SEGMENTS}, {V.VALID},
  kept AS (SELECT * FROM v_val WHERE "end" - "start" >= {FRAGMENT}),
  frag AS (SELECT * FROM v_val WHERE "end" - "start" < {FRAGMENT}),
  pts AS (SELECT media_id, "start" AS b FROM v_val UNION SELECT media_id, "end" FROM v_val
-   UNION SELECT user_id, 0 FROM events UNION SELECT user_id, {V.DAYS_30} FROM events),
+   UNION SELECT media_id, 0 FROM v_tot UNION SELECT media_id, total FROM v_tot),
  pieces AS (SELECT media_id, b AS s, lead(b) OVER (PARTITION BY media_id ORDER BY b) AS e FROM pts),
  act AS (SELECT p.media_id, p.s, p.e,
    coalesce(string_agg(DISTINCT k.speaker, ',' ORDER BY k.speaker), '') AS speakers, count(DISTINCT k.speaker) AS n
@@ -264,11 +264,11 @@ LEDGER = (
 @query(
     "coverage_ledger",
     "AG-19 DQ-04",
-    f"""WITH {LEDGER} SELECT media_id, CAST({V.DAYS_30} AS BIGINT) AS total, CAST(n AS BIGINT) AS accepted_turns,
+    f"""WITH {LEDGER} SELECT media_id, CAST(total AS BIGINT) AS total, CAST(n AS BIGINT) AS accepted_turns,
  CAST(aa AS BIGINT) AS accepted_active, CAST(ab AS BIGINT) AS accepted_bridge, CAST(st AS BIGINT) AS short_turn,
  CAST(ov AS BIGINT) AS overlap, CAST(fr AS BIGINT) AS fragment_only, CAST(ug AS BIGINT) AS unclaimed_gap,
  CAST(aa + ab + st + ov + fr + ug AS BIGINT) AS partition_sum,
- (aa + ab + st + ov + fr + ug = {V.DAYS_30} AND ug >= 0) AS is_exact FROM ledger""",
+ (aa + ab + st + ov + fr + ug = total AND ug >= 0) AS is_exact FROM ledger JOIN v_tot USING (media_id)""",
 )
 def coverage_ledger(spark, sf):
     layout, _, _, totals, spans = plan_parts(spark, sf)

@@ -21,8 +21,8 @@ def durations(spark, sf):
     return V.totals(spark, sf).withColumnRenamed("total", "duration")
 
 
-GRID = f"""grid AS (SELECT DISTINCT user_id AS media_id FROM events),
- fr AS (SELECT media_id, f, least({V.DAYS_30}, f * {FRAME} + {FRAME // 2}) AS t FROM grid, (SELECT unnest(range({V.DAYS_30 // FRAME})) AS f))"""
+GRID = f"""grid AS (SELECT media_id, total FROM v_tot),
+ fr AS (SELECT media_id, f, f * {FRAME} + {FRAME // 2} AS t FROM (SELECT media_id, unnest(range(total // {FRAME})) AS f FROM grid))"""
 
 PATTERNS = f"""{GRID},
  fa AS (SELECT fr.media_id, f, t, list_sort(list_distinct(list(s.speaker) FILTER (WHERE s.speaker IS NOT NULL))) AS r
@@ -55,7 +55,7 @@ DER = f"""WITH RECURSIVE {SEG}, {PATTERNS},
  SELECT media_id, setting, CAST(ev AS BIGINT) AS evaluated_frames, CAST(rf AS BIGINT) AS reference_frames, CAST(mi AS BIGINT) AS missed_frames,
   CAST(fa AS BIGINT) AS false_alarm_frames, CAST(co AS BIGINT) AS confusion_frames,
   array_to_string(list_transform(hs, lambda x, i: x || '=' || replace(m[i], '~', '')), ',') AS mapping,
-  round(ev / {V.DAYS_30 // FRAME}, 6) AS evaluated_fraction, round((mi + fa + co) / nullif(rf, 0), 6) AS diarization_error_rate FROM bs WHERE o = 1"""
+  round(ev / (total // {FRAME}), 6) AS evaluated_fraction, round((mi + fa + co) / nullif(rf, 0), 6) AS diarization_error_rate FROM bs JOIN v_tot USING (media_id) WHERE o = 1"""
 
 
 @query("diarization_error", "AG-14 JN-14 TL-03 SO-02", DER)
@@ -429,14 +429,14 @@ def token_sequence_comparison(spark, sf):
  l AS (SELECT media_id, count(*) AS n, array_to_string(list_sort(list(DISTINCT speaker)), ',') AS labels, max("end") AS last_end FROM v_val GROUP BY 1),
  r AS (SELECT media_id, count(*) AS n, array_to_string(list_sort(list(DISTINCT speaker)), ',') AS labels, max("end") AS last_end FROM v_hyp GROUP BY 1)
  SELECT l.media_id, l.n AS left_segments, r.n AS right_segments, l.n = r.n AS segment_count_matches, paired, same_speaker, max_start_delta, max_end_delta,
-  l.labels AS left_labels, r.labels AS right_labels, round(l.last_end / {V.DAYS_30}, 4) AS left_last_end_ratio, round(r.last_end / {V.DAYS_30}, 4) AS right_last_end_ratio
- FROM l JOIN r USING (media_id) JOIN z USING (media_id)""",
+  l.labels AS left_labels, r.labels AS right_labels, round(l.last_end / total, 4) AS left_last_end_ratio, round(r.last_end / total, 4) AS right_last_end_ratio
+ FROM l JOIN r USING (media_id) JOIN z USING (media_id) JOIN v_tot USING (media_id)""",
 )
 def segment_sequence_comparison(spark, sf):
     layout = V.events_layout(spark, sf)
     left = V.valid_segments(spark, sf)
     right = V.hypothesis(spark, sf)
-    out = C.segment_sequences(left, right, F.substring("speaker", 1, 2), F.substring("speaker_r", 3, 2), V.DAYS_30, layout)
+    out = C.segment_sequences(left, right, F.substring("speaker", 1, 2), F.substring("speaker_r", 3, 2), durations(spark, sf), layout)
     return out.withColumns({c: F.array_join(c, ",") for c in ("left_labels", "right_labels")})
 
 

@@ -71,7 +71,7 @@ def stream_sliding_peaks(spark, sf):
 
 @query("stream_regions", "STR-1")
 def stream_region_builder(spark, sf):
-    """Events as frames: the frame number is the event's minute, so the order is the time order."""
+    """Events as frames: the frame number is the event's minute; events of one minute are all taken."""
     use_rocksdb(spark)
     frames = event_stream(spark, sf).select(
         F.col("user_id").alias("media_id"),

@@ -9,7 +9,8 @@ from sonoframe.operators import scan
 from sonoframe.operators.scan import Layout, measure_layout, row_index, running, tightened  # noqa: F401
 
 HOUR = 3_600_000_000
-DAYS_30 = 720 * HOUR
+#: Recordings last a whole number of blocks, so that frame grids end where they do.
+BLOCK = 6 * HOUR
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -103,26 +104,15 @@ HYPOTHESIS = """v_hyp AS (
 
 
 def valid_segments(spark: SparkSession, sf: str) -> DataFrame:
-    """Segments clamped to the 30-day recording and non-empty."""
-    s = segments(spark, sf)
-    return s.select(
-        "media_id",
-        "seg_idx",
-        F.greatest(F.lit(0), "start").alias("start"),
-        F.least(F.lit(DAYS_30), "end").alias("end"),
-        "speaker",
-    ).where(F.col("end") > F.col("start"))
+    """Segments that are not empty, as long as they are."""
+    return segments(spark, sf).select("media_id", "seg_idx", "start", "end", "speaker").where(F.col("end") > F.col("start"))
 
 
-VALID = f"""v_val AS (
-  SELECT * FROM (SELECT media_id, seg_idx, greatest(0, "start") AS "start",
-    least({DAYS_30}, "end") AS "end", speaker FROM v_seg) WHERE "end" > "start")"""
+VALID = f"""v_val AS (SELECT media_id, seg_idx, "start", "end", speaker FROM v_seg WHERE "end" > "start"),
+ v_tot AS (SELECT media_id, (max(greatest("start", "end")) // {BLOCK} + 1) * {BLOCK} AS total FROM v_seg GROUP BY 1)"""
 
 
 def totals(spark: SparkSession, sf: str) -> DataFrame:
-    return (
-        events_us(spark, sf)
-        .select(F.col("user_id").alias("media_id"))
-        .distinct()
-        .withColumn("total", F.lit(DAYS_30).cast("bigint"))
-    )
+    """Length of each recording: whole blocks up to the last start or end of its own rows."""
+    last = F.max(F.greatest("start", "end"))
+    return segments(spark, sf).groupBy("media_id").agg(((F.floor(last / BLOCK) + 1) * BLOCK).cast("bigint").alias("total"))

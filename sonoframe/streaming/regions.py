@@ -20,8 +20,8 @@ class RegionBuilder(StatefulProcessor):
     """Keeps one open region per recording: its start, the first low frame after the last high one,
     and the last frame seen.
 
-    Frames of a recording arrive in order across micro-batches; a frame at or before the last one seen
-    is late and dropped. When no frame has come for ``idle_ms`` of event time the signal has ended and
+    Frames of a recording arrive in order across micro-batches; a frame before the last one seen is late and
+    dropped. Several scores at one frame are all taken, the lower first, so their order of arrival doesn't matter. When no frame has come for ``idle_ms`` of event time the signal has ended and
     an open region closes there.
     """
 
@@ -33,11 +33,11 @@ class RegionBuilder(StatefulProcessor):
         self.open = handle.getValueState("open", "start bigint, low bigint, seen bigint, timer bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        frames = pd.concat(list(rows)).sort_values("frame_idx")
+        frames = pd.concat(list(rows)).sort_values(["frame_idx", "prob"])
         start, low, seen, timer = self.open.get() if self.open.exists() else (NONE, NONE, NONE, NONE)
         policy, found = self.policy, []
         for index, prob in zip(frames["frame_idx"].tolist(), frames["prob"].tolist()):
-            if index <= seen:
+            if index < seen:
                 continue
             seen = index
             at = index * policy.frame
