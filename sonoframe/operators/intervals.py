@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sonoframe.operators.rangejoin import overlapping_pairs
-from sonoframe.operators.scan import Layout, as_of, islands, lag, row_index, running, running_max, settle
+from sonoframe.operators.scan import Layout, as_of, islands, lag, lead, row_index, running, running_max, running_sum, settle
 from sonoframe.session import spread
 
 MEDIA = "media_id"
@@ -37,6 +37,16 @@ def clamped_to_window(segments: DataFrame, window_start, window_end) -> DataFram
     )
 
 
+def half_counts(segments: DataFrame, recordings: DataFrame, period: int) -> DataFrame:
+    """Intervals that meet each of two repeats of ``period``, for every one of ``recordings``."""
+    halves = F.filter(
+        F.array(F.lit(0), F.lit(1)), lambda h: (F.col("start") < (h + 1) * F.lit(period)) & (F.col("end") > h * F.lit(period))
+    )
+    met = segments.select(MEDIA, F.explode(halves).alias("half")).groupBy(MEDIA, "half").agg(F.count("*").alias("intervals"))
+    every = recordings.select(MEDIA, F.explode(F.array(F.lit(0), F.lit(1))).alias("half"))
+    return every.join(met, [MEDIA, "half"], "left").fillna(0, ["intervals"])
+
+
 def crossing(segments: DataFrame, boundaries: Sequence[int]) -> DataFrame:
     """Intervals that strictly straddle a boundary, one row per (interval, boundary)."""
     cuts = F.array(*[F.lit(b).cast("bigint") for b in boundaries])
@@ -219,6 +229,37 @@ def monotonic_flags(segments: DataFrame, duration: Column, tolerance, layout: La
     )
 
 
+def overlap_counts(segments: DataFrame, layout: Layout) -> DataFrame:
+    """Per recording: segments, overlapping pairs and the time they share.
+
+    Between two neighbouring bounds with n active segments, n (n - 1) / 2 pairs share the time; a segment that starts
+    while n others are active adds n pairs. Ends come before starts, so touching segments don't overlap.
+    """
+    bounds = segments.select(
+        MEDIA,
+        F.inline(
+            F.array(
+                F.struct(F.col("start").alias("at"), F.lit(1).alias("step")),
+                F.struct(F.col("end").alias("at"), F.lit(-1).alias("step")),
+            )
+        ),
+    )
+    # Equal bounds are one row, so copies cost nothing in the ordered pass.
+    steps = bounds.groupBy(MEDIA, "at").agg(
+        F.sum(F.when(F.col("step") > 0, 1).otherwise(0)).alias("opened"), F.sum(F.when(F.col("step") < 0, 1).otherwise(0)).alias("closed")
+    )
+    swept = running(
+        steps, [MEDIA], ["at"], layout, active=running_sum(F.col("opened") - F.col("closed")), _next=lead(F.col("at"))
+    )
+    n, opened = F.col("active"), F.col("opened")
+    before = n - opened
+    return swept.groupBy(MEDIA).agg(
+        F.sum("opened").alias("segments"),
+        F.sum(opened * before + (opened * (opened - 1) / 2).cast("bigint")).alias("overlap_pairs"),
+        F.coalesce(F.sum((n * (n - 1) / 2).cast("bigint") * (F.col("_next") - F.col("at"))), F.lit(0)).alias("overlap_us"),
+    )
+
+
 def overlap_violations(windows: DataFrame, layout: Layout) -> DataFrame:
     """Windows that begin before an earlier one ended; an accepted plan has none."""
     seen = running(

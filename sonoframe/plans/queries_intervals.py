@@ -31,7 +31,7 @@ def clip_contained(spark, sf):
 
 @query(
     "window_clamped",
-    "FLT-02 CP-07",
+    "FLT-02",
     f"""{SEG} SELECT media_id, seg_idx, greatest("start", {CLIP[0]}) - {CLIP[0]} AS "start",
  least("end", {CLIP[1]}) - {CLIP[0]} AS "end", speaker FROM v_val WHERE "start" < {CLIP[1]} AND "end" > {CLIP[0]}""",
 )
@@ -39,6 +39,20 @@ def window_clamped(spark, sf):
     return I.clamped_to_window(V.valid_segments(spark, sf), *CLIP)
 
 
+PERIOD = 240 * HOUR
+
+
+@query(
+    "repeat_interval_counts",
+    "CP-07 FLT-02",
+    f"""{SEG} SELECT t.media_id, w AS half, count(v.seg_idx) AS intervals FROM v_tot t CROSS JOIN (SELECT unnest([0, 1]) AS w)
+ LEFT JOIN v_val v ON v.media_id = t.media_id AND v."start" < (w + 1) * {PERIOD} AND v."end" > w * {PERIOD} GROUP BY 1, 2""",
+)
+def repeat_interval_counts(spark, sf):
+    """Intervals that meet each half of a repeated recording; a half without any has a row too."""
+    return I.half_counts(V.valid_segments(spark, sf), V.totals(spark, sf), PERIOD)
+
+
 @query(
     "text_in_window",
     "FLT-03",
@@ -319,7 +333,7 @@ def collar_exclusion(spark, sf):
     return I.outside_collars(points, bounds, 900_000_000, layout)
 
 
-@query("greedy_boundary_matches", "JN-09 UD-05 AG-17")
+@query("greedy_boundary_matches", "JN-09 UD-05")
 def greedy_boundary_matches(spark, sf):
     layout = V.events_layout(spark, sf)
     reference = I.change_boundaries(V.valid_segments(spark, sf), layout)
@@ -467,7 +481,7 @@ def monotonic_flags(spark, sf):
 
 @query(
     "accepted_overlap_check",
-    "TL-06 DQ-11",
+    "TL-06",
     f"""{SEG} SELECT media_id, "start", "end" FROM (SELECT media_id, "start", max("end") AS "end",
    max(max("end")) OVER (PARTITION BY media_id ORDER BY "start" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach
    FROM v_val GROUP BY 1, 2) WHERE reach > "start" """,
@@ -478,6 +492,31 @@ def accepted_overlap_check(spark, sf):
     return I.overlap_violations(starts, layout)
 
 
+@query(
+    "region_problems",
+    "DQ-11",
+    f"""WITH {V.SEGMENTS}, s AS (SELECT media_id, seg_idx, "start", "end", lag("end") OVER (PARTITION BY media_id ORDER BY "start", seg_idx) AS pe FROM v_seg)
+ SELECT media_id, seg_idx, "start", "end", CASE WHEN "end" <= "start" THEN 'empty' WHEN "start" < 0 OR "end" > {DECLARED} THEN 'outside_signal'
+  WHEN pe > "start" THEN 'overlaps_previous' END AS problem FROM s WHERE "end" <= "start" OR "start" < 0 OR "end" > {DECLARED} OR pe > "start" """,
+)
+def region_problems(spark, sf):
+    regions = V.segments(spark, sf).withColumn("total_samples", F.lit(DECLARED))
+    found = quality.region_sanity(regions, V.events_layout(spark, sf), ["start", "seg_idx"])
+    return found.select("media_id", "seg_idx", "start", "end", "problem")
+
+
+@query(
+    "selection_counts",
+    "AG-17",
+    f"""{SEG} SELECT v.media_id, count(*) AS segments, CAST(sum(p.pairs) AS BIGINT) AS overlap_pairs, CAST(sum(p.shared) AS BIGINT) AS overlap_us
+ FROM v_val v, LATERAL (SELECT count(*) AS pairs, coalesce(sum(least(v."end", o."end") - o."start"), 0) AS shared FROM v_val o
+   WHERE o.media_id = v.media_id AND (o."start" > v."start" OR (o."start" = v."start" AND o.seg_idx > v.seg_idx)) AND o."start" < v."end") p GROUP BY 1""",
+)
+def selection_counts(spark, sf):
+    """Segments, overlapping pairs and the time they share, from one sweep: no pair is formed."""
+    return I.overlap_counts(V.valid_segments(spark, sf), V.events_layout(spark, sf))
+
+
 @query(
     "boundary_union",
     "SE-03",

@@ -149,7 +149,7 @@ def single_speaker_best_label(spark, sf):
     )
 
 
-@query("boundary_scores", "AG-17 JN-09 ST-02 ST-06")
+@query("boundary_scores", "JN-09 ST-02 ST-06")
 def boundary_scores(spark, sf):
     layout = V.events_layout(spark, sf)
     reference = I.change_boundaries(V.valid_segments(spark, sf), layout)

@@ -483,7 +483,7 @@ FADE_SQL = """CASE WHEN i < s OR i >= e THEN 0.0::DOUBLE WHEN e - 1 - i < w THEN
 
 @query(
     "faded_gains",
-    "RU-08 SC-12 SNK-03",
+    "RU-08 SC-12",
     f"""WITH {G.SAMPLES}, gn AS (SELECT media_id, 10 + media_id % 7 AS s, 90 + 3 * (media_id % 7) AS e, -6.0::DOUBLE AS g FROM (SELECT DISTINCT media_id FROM v_pair)
    UNION ALL SELECT media_id, 70 + media_id % 7, 200 + media_id % 7, 4.0 FROM (SELECT DISTINCT media_id FROM v_pair)),
  w AS (SELECT *, least(5, greatest(1, (e - s) // 2)) AS w FROM gn),

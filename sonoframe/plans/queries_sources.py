@@ -633,42 +633,61 @@ def interval_problems(spark, sf):
     return quality.interval_problems(rows, ["media_id"])
 
 
+# Capabilities of run documents, the arrays they fill and the segment fields they fill, with the divisors
+# by which the queries below request and fill them.
+GATED_ARRAYS = {
+    "diarization": ("turns", 2, 3),
+    "lid": ("lid_regions", 7, 14),
+    "overlapped_speech": ("overlapped_speech", 3, 6),
+    "vad": ("vad_regions", 5, 4),
+}
+GATED_FIELDS = {
+    "end": ("segment_timestamps", 5, 7),
+    "speaker": ("diarization", 2, 2),
+    "start": ("segment_timestamps", 5, 5),
+    "words": ("word_timestamps", 3, 3),
+}
+
+
 @query(
     "capability_gating",
     "DQ-05",
-    """WITH d AS (SELECT o_orderkey AS doc_id, o_orderkey % 2 = 0 AS rd, o_orderkey % 3 = 0 AS pd, o_orderkey % 5 = 0 AS rv, o_orderkey % 4 = 0 AS pv FROM orders)
- SELECT doc_id, 'turns:' || CASE WHEN pd THEN 'present_not_requested' ELSE 'requested_absent' END AS problem FROM d WHERE rd <> pd
- UNION ALL SELECT doc_id, 'vad_regions:' || CASE WHEN pv THEN 'present_not_requested' ELSE 'requested_absent' END FROM d WHERE rv <> pv""",
+    " UNION ALL ".join(
+        f"""SELECT o_orderkey AS doc_id, '{column}:' || CASE WHEN o_orderkey % {filled} = 0 THEN 'present_not_requested' ELSE 'requested_absent' END AS problem
+ FROM orders WHERE (o_orderkey % {asked} = 0) <> (o_orderkey % {filled} = 0)"""
+        for column, asked, filled in GATED_ARRAYS.values()
+    ),
 )
 def capability_gating(spark, sf):
     k = F.col("o_orderkey")
-    some = F.array(F.lit("x"))
+    requested = [F.when(k % asked == 0, capability) for capability, (_, asked, _) in GATED_ARRAYS.items()]
     documents = V.table(spark, sf, "orders").select(
         k.alias("doc_id"),
-        F.array_compact(F.array(F.when(k % 2 == 0, "diarization"), F.when(k % 5 == 0, "vad"))).alias("requested"),
-        F.when(k % 3 == 0, some).alias("turns"),
-        F.when(k % 4 == 0, some).alias("vad_regions"),
+        F.array_compact(F.array(*requested)).alias("requested"),
+        *(F.when(k % filled == 0, F.array(F.lit("x"))).alias(column) for column, _, filled in GATED_ARRAYS.values()),
     )
-    arrays = {"diarization": "turns", "vad": "vad_regions"}
-    return quality.capability_gating(documents, arrays)
+    return quality.capability_gating(documents, {c: column for c, (column, _, _) in GATED_ARRAYS.items()})
 
 
 @query(
     "segment_gating",
     "DQ-05",
-    """SELECT l_orderkey AS doc_id, l_partkey * 100000 + l_suppkey * 10 + l_linenumber AS segment_id, f || ':present_not_requested' AS problem FROM lineitem, (SELECT unnest(['speaker', 'words']) AS f)
- WHERE (f = 'speaker' AND l_orderkey % 2 <> 0 AND l_linenumber % 2 = 0) OR (f = 'words' AND l_orderkey % 3 <> 0 AND l_linenumber % 3 = 0)""",
+    " UNION ALL ".join(
+        f"""SELECT l_orderkey AS doc_id, l_partkey * 100000 + l_suppkey * 10 + l_linenumber AS segment_id, '{field}:present_not_requested' AS problem
+ FROM lineitem WHERE l_orderkey % {asked} <> 0 AND l_linenumber % {filled} = 0"""
+        for field, (_, asked, filled) in GATED_FIELDS.items()
+    ),
 )
 def segment_gating(spark, sf):
     k, n = F.col("l_orderkey"), F.col("l_linenumber")
+    asked = {capability: divisor for capability, divisor, _ in GATED_FIELDS.values()}
     rows = V.table(spark, sf, "lineitem").select(
         k.alias("doc_id"),
         (F.col("l_partkey") * 100_000 + F.col("l_suppkey") * 10 + n).alias("segment_id"),
-        F.array_compact(F.array(F.when(k % 2 == 0, "diarization"), F.when(k % 3 == 0, "word_timestamps"))).alias("requested"),
-        F.when(n % 2 == 0, "a").alias("speaker"),
-        F.when(n % 3 == 0, F.array(F.lit("w"))).alias("words"),
+        F.array_compact(F.array(*(F.when(k % d == 0, c) for c, d in asked.items()))).alias("requested"),
+        *(F.when(n % filled == 0, "a").alias(field) for field, (_, _, filled) in GATED_FIELDS.items()),
     )
-    return quality.segment_gating(rows, {"speaker": "diarization", "words": "word_timestamps"})
+    return quality.segment_gating(rows, {field: capability for field, (capability, _, _) in GATED_FIELDS.items()})
 
 
 @query(

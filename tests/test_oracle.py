@@ -10,7 +10,7 @@ SF = "/root/testdata/sf0.001"
 ORDERED = [
     "speech_regions", "region_pad_then_merge", "speaker_turns", "coverage_ledger", "interval_gaps", "cluster_bounds",
     "nearest_neighbours", "collar_exclusion", "duration_batches", "diarization_error", "repeat_drift", "order_statistics",
-    "machine_regions", "sentence_partition", "ordered_transcripts",
+    "machine_regions", "sentence_partition", "ordered_transcripts", "region_problems", "selection_counts",
 ]
 
 
