@@ -47,9 +47,17 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", least=20),
     Rule("hex", r"[0-9a-f]{24,}"),
 )
+# A private key reaches from its BEGIN line to the nearest END line. Without one it takes the header lines, all that only
+# base64 and separators part from the last long piece of base64, and a short last line.
+_KEY_END = r"[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----"
+_KEY_LINES = (
+    r"(?:[ \t\r\n]*(?:Proc-Type|DEK-Info):[^\r\n]*){0,2}"
+    r"(?:[A-Za-z0-9+/= \t\r\n\\>,\"-]*[A-Za-z0-9+/]{40,}=*)?"
+    r"(?:[ \t]*(?:\r?\n[ \t]*)+[A-Za-z0-9+/]+=*[ \t]*(?:\r?\n|$))?"
+)
 # Published formats of further credentials.
 FURTHER = (
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("private_key", rf"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:{_KEY_END}|{_KEY_LINES})"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),

@@ -69,6 +69,57 @@ def test_redaction_covers_overlapping_spans_once(spark):
     assert row["source"] == "s"
 
 
+def key_texts():
+    import random
+
+    rnd = random.Random(9)
+    line = lambda n: "".join(rnd.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=n))
+    lines = [line(64) for _ in range(25)] + [line(30) + "=="]
+    begin, end = (f"-----{w} RSA PRIVATE KEY-----" for w in ("BEGIN", "END"))
+    info = "\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123ABCD\n\n"
+    body = "\n".join(lines)
+    whole = f"{begin}\n{body}\n{end}"
+    # (text, what is to be left of it, pieces of the key)
+    return [
+        (f"before\n{whole}\nafter it", "before\n[SECRET]\nafter it", lines),
+        (f"a {whole} b {whole} c", "a [SECRET] b [SECRET] c", lines),
+        (f"a {begin}{info}{body}\n{end} c", "a [SECRET] c", lines),
+        ('{"key": "' + whole.replace("\n", "\\n") + '"}', '{"key": "[SECRET]"}', lines),
+        ("".join(f"-{x}\n" for x in whole.split("\n")), "-[SECRET]\n", lines),
+        (f"cut {begin}\n{body}\n", "cut [SECRET]", lines),
+        (f"cut {begin}{info}{body}", "cut [SECRET]", lines),
+        (f"cut {begin}\n" + "\n".join(lines[:-1]) + "\nThis is (no) key.", "cut [SECRET]\nThis is (no) key.", lines[:-1]),
+        (f"cut {begin}\n{lines[0][:20]}", "cut [SECRET]", [lines[0][:20]]),
+        (f"The line {begin} begins a key, it says.", "The line [SECRET] begins a key, it says.", []),
+        (f"long {begin}\n" + "\n".join(lines[:1] * 20_000), "long [SECRET]", lines[:1]),
+        (f"long {begin} " + "some-words here " * 20_000, "long [SECRET] " + "some-words here " * 20_000, []),
+    ]
+
+
+def test_no_key_body_is_left(spark):
+    texts = key_texts()
+    rows = [(k, t, None, None, 1, "x", "y", 1, 2, 3, 4) for k, (t, _, _) in enumerate(texts)]
+    found = find_secrets(docs(spark, rows)).collect()
+    left = {r["doc_id"]: r["text"] for r in redact(find_secrets(docs(spark, rows))).collect()}
+    for r in found:
+        own = [(s["start"], s["end"]) for s in r["spans"] if s["kind"] == "private_key"]
+        assert own == [m.span() for m in re.finditer(RULES[3].pattern, r["text"], re.ASCII)] and own
+    for k, (_, want, pieces) in enumerate(texts):
+        assert left[k] == want
+        assert not any(p in left[k] for p in pieces)
+
+
+def test_key_spans_equal_the_sql(spark, tmp_path):
+    import duckdb
+    from sonoframe.llm.queries_secrets import SQL
+
+    rows = [(k, t, None, None, 1, "x", "y", 1, 2, 3, 4) for k, (t, _, _) in enumerate(key_texts())]
+    folder = serve(spark, tmp_path, documents=docs(spark, rows))
+    base = duckdb.connect()
+    base.execute(f"CREATE VIEW documents AS SELECT doc_id, text FROM '{folder}/documents.parquet/*.parquet'")
+    assert plain(ENTRIES["op1_secret_scans"].run(spark, folder).collect()) == plain(base.sql(SQL).fetchall())
+
+
 @pytest.mark.parametrize("rule", RULES, ids=lambda r: r.kind)
 def test_trigram_queries_hold_for_every_match(rule):
     query = trigram_query(rule.pattern)
