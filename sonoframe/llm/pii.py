@@ -55,11 +55,15 @@ _DOMAIN = re.compile(r"@((?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]
 _DIGITS = re.compile(r"[+(]?\d[\d ()./-]*\d")
 _IP = re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)")
 _SSN = re.compile(r"(?<![\d-])(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![\d-])")
-_CARD = re.compile(r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d]|[.-]\d)")
+#: Groups of digits of which some may be a card; the last is not the whole part of a decimal number.
+_CARD_GROUPS = re.compile(r"(?<![\d.-])\d+(?:[ -]\d+)*(?!\d|\.\d)")
+#: Numbers as issuers give them out. Where valid numbers overlap these are taken first; others count too.
+_ISSUED = re.compile(r"4(?:\d{12}|\d{15}|\d{18})|(?:5[1-5]|2[2-7])\d{14}|3[47]\d{13}|3(?:0|6|8|9)\d{12,17}|35\d{14,17}|6\d{15,18}")
 _PHONE = re.compile(
     r"(?<![\w.(-])(?:\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w]|[.-]\d)"
 )
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+_IBAN_HEAD = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?= ?[A-Z0-9]{4})")
+_IBAN = re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _UPPER = "A-ZÀ-ÖØ-ÞА-ЯЁ"
 _WORD = rf"[{_UPPER}][a-zß-öø-ÿа-яё]+(?:[-'’][{_UPPER}]?[a-zß-öø-ÿа-яё]+)*"
 _NAMED = re.compile(rf"({_WORD})(\.?)((?: {_WORD})+)")
@@ -75,6 +79,53 @@ def _iban_check(country: str, rest: str) -> str:
     return f"{98 - number % 97:02d}"
 
 
+def _cards(text: str, low: int, high: int) -> list[tuple[int, int, str]]:
+    """(start, end, digits) of payment cards: runs of whole groups with 13 to 19 digits and a valid check digit."""
+    out: list[tuple[int, int, str]] = []
+    for run in _CARD_GROUPS.finditer(text, low, high):
+        if run.end() - run.start() < 13:
+            continue
+        groups = [(m.start(), m.end()) for m in re.finditer(r"\d+", run[0])]
+        valid = []
+        for k, (start, _) in enumerate(groups):
+            digits = ""
+            for a, b in groups[k:]:
+                digits += run[0][a:b]
+                if len(digits) > 19:
+                    break
+                if len(digits) >= 13 and luhn_valid(digits):
+                    valid.append((not _ISSUED.fullmatch(digits), -len(digits), start, b, digits))
+        taken: list[tuple[int, int, str]] = []
+        for _, _, start, end, digits in sorted(valid):
+            if all(end <= a or b <= start for a, b, _ in taken):
+                taken.append((start, end, digits))
+        out += sorted((run.start() + a, run.start() + b, digits) for a, b, digits in taken)
+    return out
+
+
+def _outside(pattern: re.Pattern, text: str, low: int, high: int, cards: list[tuple[int, int, str]]):
+    """Matches before, between and after cards."""
+    for start, end, _ in [*cards, (high, high, "")]:
+        yield from pattern.finditer(text, low, start)
+        low = end
+
+
+def _ibans(text: str):
+    """(start, end, plain form) of IBANs; of the groups that follow a head the most that have valid check digits."""
+    last = 0
+    for head in _IBAN_HEAD.finditer(text):
+        match = _IBAN.match(text, head.start()) if head.start() >= last else None
+        if not match:
+            continue
+        ends = [match.end(), *(match.start() + k for k in range(len(match[0]) - 1, 0, -1) if match[0][k] == " ")]
+        for end in ends:
+            plain = text[match.start() : end].replace(" ", "")
+            if 15 <= len(plain) <= 34 and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1:
+                yield match.start(), end, plain
+                last = end
+                break
+
+
 def _names(text: str):
     match = _NAMED.search(text)
     while match:
@@ -115,20 +166,18 @@ def find_entities(text: str) -> list[tuple[int, int, str, str]]:
         if run.end() - run.start() < 7:
             continue
         low, high = max(0, run.start() - 3), min(len(text), run.end() + 3)
-        for kind, pattern in (("ip", _IP), ("ssn", _SSN), ("card", _CARD), ("phone", _PHONE)):
-            for match in pattern.finditer(text, low, high):
+        cards = _cards(text, low, high)
+        found += [(start, end, "card", digits) for start, end, digits in cards]
+        issued = [c for c in cards if _ISSUED.fullmatch(c[2])]
+        for kind, pattern in (("ip", _IP), ("ssn", _SSN), ("phone", _PHONE)):
+            for match in _outside(pattern, text, low, high, issued):
                 digits = re.sub(r"\D", "", match[0])
-                if kind == "card" and not luhn_valid(digits):
-                    continue
                 if kind == "phone":
                     if not 8 <= len(digits) <= 15:
                         continue
                     digits = digits[1:] if len(digits) == 11 and digits[0] == "1" else digits
                 found.append((match.start(), match.end(), kind, match[0] if kind == "ip" else digits))
-    for match in _IBAN.finditer(text):
-        plain = match[0].replace(" ", "")
-        if 15 <= len(plain) <= 34 and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1:
-            found.append((match.start(), match.end(), "iban", plain))
+    found += [(start, end, "iban", plain) for start, end, plain in _ibans(text)]
     found += _names(text)
     order = {k: i for i, k in enumerate(("mail", "ip", "ssn", "card", "phone", "iban"))}
     found.sort(key=lambda e: (e[0], order.get(e[2], 9), -e[1]))

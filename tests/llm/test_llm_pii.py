@@ -1,5 +1,6 @@
 """Surrogates: kept formats, one per entity, no clashes."""
 
+import pytest
 from cases import awkward_rows, docs
 
 from sonoframe.llm import pii
@@ -29,6 +30,26 @@ def test_kinds_found():
     ]
 
 
+def kinds_of(text):
+    return [(e[2], text[e[0] : e[1]]) for e in find_entities(text)]
+
+
+@pytest.mark.parametrize("before", ["", "12 ", "12/27 ", "123 ", "2024-", "(559) 555-3817 ", "+1 559 555 3817 ", "5 10 "])
+@pytest.mark.parametrize("card", [CARD, CARD.replace(" ", "-"), CARD.replace(" ", ""), "3782 822463 10005"])
+@pytest.mark.parametrize("after", ["", " 12/27", " 123", " 12", " 12.50", "-123", " 5500 0000 0000 0004", " 2 3 4 5"])
+def test_cards_beside_other_numbers(before, card, after):
+    text = f"pay {before}{card}{after} now"
+    assert ("card", card) in kinds_of(text)
+    assert ("card", "5500 0000 0000 0004") in kinds_of(text) or "5500" not in after
+
+
+@pytest.mark.parametrize("before", ["", "CD34 ", "CD34 CDEF ", "2024 ", "KONTO "])
+@pytest.mark.parametrize("iban", ["BE68 5390 0754 7034", "BE68539007547034", "NO93 8601 1117 947", IBAN])
+@pytest.mark.parametrize("after", ["", " 2024", " EUR", " EUR 2024", " KONTO", " 12 EUR"])
+def test_ibans_beside_other_words(before, iban, after):
+    assert ("iban", iban) in kinds_of(f"to {before}{iban}{after} now")
+
+
 def test_format_gender_script_and_coreference(spark):
     text, again = replaced(spark, [TEXT, "Only Frau Weber here, card 4111-1111-1111-1111."])
     found = find_entities(text)
