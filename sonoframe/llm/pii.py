@@ -139,13 +139,15 @@ def _names(text: str):
             at = match.start(1)
         else:
             at = match.start(3) + 1
-        for k, word in enumerate(words[:3]):
+        # The next title begins the next person; a given name after a surname does so by itself.
+        words = words[: next((k for k, word in enumerate(words) if word in TITLE_OF), len(words))]
+        for k, word in enumerate(words):
             gender = GENDER_OF.get(word)
             # The last word of several is a surname, whatever else it may be.
-            given = gender is not None and k < len(words) - 1
+            given = gender is not None and (k < len(words) - 1 or k == 0 and title is None)
             yield at, at + len(word), f"given_{gender}" if given else "surname", word
             at += len(word) + 1
-        match = _NAMED.search(text, match.end())
+        match = _NAMED.search(text, at - 1 if words else at)
 
 
 def find_entities(text: str) -> list[tuple[int, int, str, str]]:

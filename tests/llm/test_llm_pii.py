@@ -50,6 +50,27 @@ def test_ibans_beside_other_words(before, iban, after):
     assert ("iban", iban) in kinds_of(f"to {before}{iban}{after} now")
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "Anna+f Maria+f Clara+f Weber+s",
+        "Dr Juan+m Carlos+m Garcia+s Lopez+s",
+        "Dr. Juan+m Carlos+m Garcia+s Lopez+s Perez+s Ruiz+s",
+        "Mr John+m Smith+s Mrs Mary+f Jones+s",
+        "Mr John+m Smith+s Mrs. Mary+f Jones+s",
+        "Anna+f Weber+s Peter+m Klein+s",
+        "Anna+f Weber+s Peter+m Klein+s Frau Keller+s Dr Vogel+s",
+        "Herr Prof. Dr. Hans+m Peter+m Keller+s",
+        "Frau Dr Weber+s",
+        "Иван+m Петров+s Анна+f Сергеева+s Новикова+s",
+    ],
+)
+def test_whole_names_and_names_in_a_row(text):
+    words = [w.split("+") for w in text.split()]
+    want = [({"f": "given_f", "m": "given_m", "s": "surname"}[w[1]], w[0]) for w in words if len(w) == 2]
+    assert kinds_of("so " + " ".join(w[0] for w in words) + " came.") == want
+
+
 def test_format_gender_script_and_coreference(spark):
     text, again = replaced(spark, [TEXT, "Only Frau Weber here, card 4111-1111-1111-1111."])
     found = find_entities(text)
