@@ -1,7 +1,8 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-A text's words are cut into blocks of BLOCK words, a new block every STRIDE words. A block holds a template if it has
-at least `need` of the template's distinct words. The join is exact: words of all templates are ordered by how often
+For each template a text's words are cut into blocks: a new block every STRIDE words, or every so many words as the
+template has if those are more, and each twice as long as that. So a copy of the template lies within one block wherever
+it begins. A block holds a template if it has at least `need` of the template's distinct words. The join is exact: words of all templates are ordered by how often
 the corpus has them, a template is indexed under the first size - need + 1 of its words in that order (a block that
 has none of them can't reach `need`), blocks with fewer than `need` template words are out by length, and a
 candidate met at prefix position i is out if the words from i on are too few. What remains is counted.
@@ -26,7 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK, STRIDE = 64, 32
+from sonoframe.llm.license_texts import APACHE_2, BSD_3, MIT
+
+STRIDE = 32
 #: Words of templates sent to the tasks at once.
 INDEX_WORDS = 50_000
 
@@ -58,7 +61,12 @@ NOTICES = (
     Template("grant-mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
     Template("warranty", "the software is provided as is without warranty of any kind express or implied"),
 )
-TEMPLATES = PHRASES + NOTICES
+WHOLE = (
+    Template("text-mit", MIT),
+    Template("text-bsd-3", BSD_3),
+    Template("text-apache-2", APACHE_2),
+)
+TEMPLATES = PHRASES + NOTICES + WHOLE
 
 #: ASCII other than digits and lower-case letters separates words; A-Z is lower-cased.
 _TABLE = bytes(
@@ -103,6 +111,10 @@ class Held:
     sequence: tuple[bytes, ...]
     phrase: bool
 
+    @property
+    def stride(self) -> int:
+        return max(STRIDE, len(self.sequence))
+
 
 def index_of(templates: tuple[Template, ...], order: dict[bytes, int]) -> tuple[list[Held], dict[bytes, list[tuple[int, int]]]]:
     """Templates, and per prefix word (template, position in its ordered words)."""
@@ -137,20 +149,21 @@ def matches(words: list[bytes], held: list[Held], index: dict[bytes, list[tuple[
     prefix = index.keys() & set(words)
     if not prefix:
         return {}
-    touched: dict[int, dict[int, int]] = {}
+    strides = [template.stride for template in held]
+    touched: dict[tuple[int, int], dict[int, int]] = {}
     for at, word in enumerate(words):
         if word in prefix:
-            # A block starts every STRIDE words, so a word lies in at most BLOCK / STRIDE of them.
-            last = at // STRIDE
-            for block in range(max(0, last - BLOCK // STRIDE + 1), last + 1):
-                for k, position in index[word]:
-                    own = touched.setdefault(block, {})
+            for k, position in index[word]:
+                # A block is two strides long, so a word lies in at most two of them.
+                last = at // strides[k]
+                for block in range(max(0, last - 1), last + 1):
+                    own = touched.setdefault((strides[k], block), {})
                     own[k] = min(position, own.get(k, position))
     best: dict[int, tuple[float, list[int]]] = {}
     places: dict[int, set[int]] = {}
-    for block, candidates in touched.items():
-        start = block * STRIDE
-        block_words = set(words[start : start + BLOCK])
+    for (stride, block), candidates in touched.items():
+        start = block * stride
+        block_words = set(words[start : start + 2 * stride])
         for k, position in candidates.items():
             template = held[k]
             if len(block_words) < template.need or len(template.words) - position < template.need:
@@ -160,7 +173,7 @@ def matches(words: list[bytes], held: list[Held], index: dict[bytes, list[tuple[
                 continue
             share = common / len(template.words)
             if template.phrase:
-                stop = min(start + BLOCK - len(template.sequence) + 1, len(words))
+                stop = min(start + 2 * stride - len(template.sequence) + 1, len(words))
                 places.setdefault(k, set()).update(_places(words, template.sequence, start, stop))
                 if not places[k]:
                     continue

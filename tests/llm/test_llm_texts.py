@@ -12,7 +12,7 @@ from cases import WORD, awkward_rows, docs, plain, serve, sha
 
 from sonoframe.llm import ENTRIES
 from sonoframe.llm.byte_bpe import ByteEncoder, PerfectHash, decode, encode
-from sonoframe.llm.licenses import TEMPLATES, Template, scan_licenses, words_of
+from sonoframe.llm.licenses import TEMPLATES, Template, index_of, matches, scan_licenses, words_of
 from sonoframe.llm.quality import judge, thresholds, with_features
 from sonoframe.llm.secrets import BASE, RULES, find_secrets, redact
 from sonoframe.llm.trigrams import ANYTHING, trigram_query
@@ -240,3 +240,28 @@ def test_license_join_finds_every_block_and_no_other(spark):
                 if len(own & block) * 100 >= t.percent * len(own):
                     want[t.label] = max(want.get(t.label, 0), round(share, 9))
         assert got[k] == want
+
+
+@pytest.mark.parametrize("size,percent", [(54, 80), (34, 100), (60, 80), (60, 100), (200, 80), (200, 100)])
+def test_long_templates_are_found_at_every_offset(size, percent):
+    template = Template("long", " ".join(f"word{k}" for k in range(size)), percent)
+    order = {w: k for k, w in enumerate(words_of(template.text))}
+    index = index_of((template,), order)
+    for offset in range(2 * size + 1):
+        words = [b"filler"] * offset + words_of(template.text) + [b"filler"] * 300
+        assert matches(words, *index)[0][0] == 1.0
+        # One word too few.
+        need = -(-percent * size // 100)
+        assert not matches([b"filler"] * offset + words_of(template.text)[: need - 1] + [b"filler"] * 300, *index)
+
+
+def test_whole_licenses_are_found(spark, tmp_path):
+    from cases import prose
+
+    whole = {t.label: t.text for t in TEMPLATES if t.label.startswith("text-")}
+    assert len(whole) == 3
+    rows = [(k, prose(k, 211) + " " + t + " " + prose(50 + k, 400), None, None, 1, "x", "y", 1, 2, 3, 4) for k, t in enumerate(whole.values())]
+    rows.append((99, " ".join(whole["text-mit"].split()[:60]), None, None, 1, "x", "y", 1, 2, 3, 4))
+    folder = serve(spark, tmp_path, documents=docs(spark, rows))
+    got = {r["doc_id"]: r["labels"].split(",") for r in ENTRIES["op8_license_scans"].run(spark, folder).collect()}
+    assert [[x for x in got[k] if x.startswith("text-")] for k in (*range(3), 99)] == [*([x] for x in whole), []]
