@@ -14,7 +14,7 @@ from sonoframe.plans.queries_regions import POLICY
 from sonoframe.plans.queries_signal import signal_layout
 from sonoframe.plans.registry import query
 from sonoframe.streaming.regions import stream_regions, use_rocksdb
-from sonoframe.streaming.replay import drain, read_growing
+from sonoframe.streaming.replay import drain, drain_whole, read_growing
 from sonoframe.streaming.windows import session_turns, window_peaks
 
 GAP = 3_600_000_000
@@ -79,7 +79,8 @@ def stream_region_builder(spark, sf):
         F.least(F.col("value") / 100.0, F.lit(1.0)).alias("prob"),
         "ts",
     )
-    return drain(stream_regions(frames, POLICY, "1 hour", 6 * 3_600_000))
+    closing = spark.sql(f"SELECT {-(2**62)}L AS media_id, 0L AS frame_idx, 0D AS prob, timestamp'2261-01-01 00:00:00' AS ts")
+    return drain_whole(frames, lambda f: stream_regions(f, POLICY, "1 hour", 6 * 3_600_000), closing)
 
 
 @query(
