@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sonoframe.llm.common import query, settle, table
+from sonoframe.llm.common import query, scratch, settle, table
 from sonoframe.llm.frames import digests, fill_in_middle, write_frames
 
 SQL = r"""
@@ -34,5 +34,6 @@ FROM parts
 
 @query("op11_fill_in_middle", SQL)
 def middle_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    store = settle(write_frames(table(spark, sf_dir, "documents")), "text-frames")
-    return digests(fill_in_middle(store))
+    with scratch(spark) as keep:
+        store = settle(write_frames(table(spark, sf_dir, "documents")), "text-frames")
+        return keep(settle(digests(fill_in_middle(store)), "middle-digests"))
