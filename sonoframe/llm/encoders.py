@@ -1,8 +1,9 @@
 """Word-level caching in front of the public tokenizer library.
 
 The vocabulary with word ends drops white space and never merges across it, so a text's ids are those of its
-white-space separated chunks in order. Chunks repeat, so each worker keeps the ids of the first ones it meets; the
-library encodes the rest. Texts holding a character that Python but not the library takes as white space go to the
+white-space separated chunks in order. Chunks repeat, so a task keeps the ids of the first ones it meets; the
+library encodes the rest. What is kept is bounded, some 50 MB, and dropped at the end of the task, so that an idle
+worker holds no more than the vocabulary. Texts holding a character that Python but not the library takes as white space go to the
 library whole.
 """
 
@@ -14,8 +15,8 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Chunks and words kept by a worker; more are encoded again when they come again. Longer ones are never kept.
-KEPT_CHUNKS, KEPT_WORDS, KEPT_CHARS = 400_000, 200_000, 48
+#: Chunks and words kept by a task; more are encoded again when they come again. Longer ones are never kept.
+KEPT_CHUNKS, KEPT_WORDS, KEPT_CHARS = 200_000, 100_000, 32
 #: Code points that str.split() splits at and the library doesn't.
 ODD_SPACES = ("\x1c", "\x1d", "\x1e", "\x1f")
 #: The library's own pre-tokens for a chunk of printable ASCII in lower case.
@@ -39,6 +40,9 @@ class ChunkEncoder:
         self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        self.chunks, self.words = {}, {}
+
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -103,9 +107,12 @@ def encoded_rows(batches, path: str, end_id: int, rows: int = 256):
     """(doc_id, ids with the end id) of each row of Arrow batches with columns doc_id and text, in order."""
     encoder = chunk_encoder(path)
     end = np.array([end_id], "<u4").tobytes()
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            part = batch.slice(at, rows)
-            texts = [t or "" for t in part.column(1).to_pylist()]
-            for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(texts), strict=True):
-                yield doc_id, ids + end
+    try:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(texts), strict=True):
+                    yield doc_id, ids + end
+    finally:
+        encoder.forget()

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from sonoframe.llm.common import scratch, settle, small
 from sonoframe.llm.components import components
-from sonoframe.llm.shingles import frequency_classes, ordered_keys, shingle_set
+from sonoframe.llm.shingles import frequency_classes, kept_words, ordered_keys, shingle_set
 
 SHINGLE, SIMILARITY = 5, (80, 100)
 #: Members verified with a pivot in one task.
@@ -44,6 +44,10 @@ def _prefix_worker(size: int, classes, share: int, whole: int):
 
     def run(batches):
         table = classes.value
+        with kept_words():
+            yield from made(batches, table)
+
+    def made(batches, table):
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
@@ -72,6 +76,10 @@ def _set_worker(size: int):
     """Columns after the text are kept."""
 
     def run(batches):
+        with kept_words():
+            yield from made(batches)
+
+    def made(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)

@@ -10,7 +10,7 @@ from sonoframe.llm.secrets import BASE, RULES, find_secrets
 
 
 def _sql_kind(rule) -> str:
-    pattern = rule.java.replace("'", "''")
+    pattern = rule.linear.replace("'", "''")
     return f"""
   SELECT doc_id, '{rule.kind}' AS kind, {RULES.index(rule)} AS rank, i,
          list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda m: length(m))), 0) AS start,

@@ -32,8 +32,14 @@ class Rule:
 
     @property
     def java(self) -> str:
+        """Groups of varying length are repeated possessively, or the depth of the stack would follow the text."""
         return ("(?i)" if self.any_case else "") + self.pattern
 
+    @property
+    def linear(self) -> str:
+        """The same for engines that never go back and know no possessive repeats."""
+        return self.java.replace(")*+", ")*")
+
 
 # The patterns of the base kinds, in the order that their spans are listed in.
 BASE = (
@@ -47,17 +53,20 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", least=20),
     Rule("hex", r"[0-9a-f]{24,}"),
 )
-# A private key reaches from its BEGIN line to the nearest END line. Without one it takes the header lines, all that only
-# base64 and separators part from the last long piece of base64, and a short last line.
-_KEY_END = r"[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----"
-_KEY_LINES = (
-    r"(?:[ \t\r\n]*(?:Proc-Type|DEK-Info):[^\r\n]*){0,2}"
-    r"(?:[A-Za-z0-9+/= \t\r\n\\>,\"-]*[A-Za-z0-9+/]{40,}=*)?"
-    r"(?:[ \t]*(?:\r?\n[ \t]*)+[A-Za-z0-9+/]+=*[ \t]*(?:\r?\n|$))?"
-)
+# A private key reaches from its BEGIN line over header lines and pieces of base64 to the END line, if only separators and
+# one short piece lie before it. Without an END line it takes all long pieces and a short one that is alone on its line.
+# Nothing but these may lie between, so a BEGIN line that is quoted in prose, or stands before another one, is taken alone.
+_GAP = r"[ \t\r\n\\>,\"-]+(?:[rn+]{1,2}[ \t\r\n\\>,\"-]+){0,3}"
+_LONG = rf"(?:{_GAP}[A-Za-z0-9+/]{{16,}}={{0,2}})"
+_KEY_HEADERS = r"(?:[ \t\r\n\\n>,\"-]*(?:Proc-Type|DEK-Info):[^\r\n]*){0,2}"
+_KEY_END = rf"(?:{_GAP}[A-Za-z0-9+/]{{1,15}}={{0,2}})?(?:{_GAP})?n?-----END [A-Z ]*PRIVATE KEY-----"
+_SHORT_LINE = r"[ \t]*[\r\n][ \t\r\n]*[A-Za-z0-9+/]{1,15}={0,2}[ \t]*(?:\r?\n|$)"
 # Published formats of further credentials.
 FURTHER = (
-    Rule("private_key", rf"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:{_KEY_END}|{_KEY_LINES})"),
+    Rule(
+        "private_key",
+        rf"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:{_KEY_HEADERS}(?:{_LONG}{_LONG}*+(?:{_KEY_END}|{_SHORT_LINE}|[ \t\r\n]*$)?|{_KEY_END}))?",
+    ),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
@@ -100,17 +109,21 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
 
 
 def _lengths(rule: Rule, k: int) -> Column:
-    """Per match of rule k: characters skipped before it, its own, and those of the group that counts."""
-
-    def one(match: Column, i: Column) -> Column:
-        value = F.get(F.col(f"_s_values{k}"), i) if rule.group else match
-        return F.struct(
-            F.length(F.get(F.col(f"_s_gaps{k}"), i)).alias("skip"),
-            F.length(match).alias("size"),
-            F.length(value).alias("value"),
-        )
-
-    return F.transform(f"_s_found{k}", one)
+    """Per match of rule k: characters skipped before it, its own, and those of the group that counts.
+
+    The arrays are zipped first: an array that a lambda picks from by position may be computed anew for each position.
+    """
+    found = F.col(f"_s_found{k}")
+    value = F.col(f"_s_values{k}") if rule.group else found
+    zipped = F.arrays_zip(
+        F.slice(F.col(f"_s_gaps{k}"), 1, F.size(found)).alias("gap"), found.alias("match"), value.alias("value")
+    )
+    return F.transform(
+        zipped,
+        lambda m: F.struct(
+            F.length(m["gap"]).alias("skip"), F.length(m["match"]).alias("size"), F.length(m["value"]).alias("value")
+        ),
+    )
 
 
 def _spans(rule: Rule, k: int) -> Column:
@@ -185,28 +198,33 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 def redact(found: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """Replaces what the spans cover, overlapping ones as one, by a mark; spans is dropped."""
-    none = F.array().cast("array<struct<start:int,end:int>>")
-
-    def merge(acc: Column, span: Column) -> Column:
-        last = F.get(acc, F.size(acc) - 1)
-        own = F.array(F.struct(span["start"].alias("start"), span["end"].alias("end")))
-        joined = F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], span["end"]).alias("end")))
-        return F.when(
-            (F.size(acc) > 0) & (span["start"] < last["end"]), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), joined)
-        ).otherwise(F.concat(acc, own))
-
-    merged = found.withColumn("_s_merged", F.aggregate(F.array_sort("spans"), none, merge))
+    none = F.array().cast("array<int>")
 
-    def kept(start: Column, end: Column) -> Column:
-        return F.substring(F.col("text"), start + 1, end - start)
-
-    before = F.transform(
-        "_s_merged",
-        lambda s, i: kept(F.coalesce(F.get("_s_merged", i - 1)["end"], F.lit(0)), s["start"]),
-    )
-    tail = kept(F.get("_s_merged", F.size("_s_merged") - 1)["end"], F.length("text"))
-    clean = F.when(F.size("_s_merged") == 0, F.col("text")).otherwise(
-        F.concat(F.array_join(before, mark), F.lit(mark), tail)
-    )
-    return merged.withColumn("text", clean).drop("_s_merged", "spans")
+    def last(ends: Column) -> Column:
+        return F.get(ends, F.size(ends) - 1)
 
+    def block(blocks: Column, b: Column) -> Column:
+        base = F.coalesce(last(F.coalesce(last(blocks), none)), F.lit(0))
+        part = F.slice(F.col("_s_sorted"), b * STEP + 1, F.lit(STEP))
+        ends = F.aggregate(
+            part, none, lambda acc, s: F.concat(acc, F.array(F.greatest(s["end"], F.coalesce(last(acc), base))))
+        )
+        return F.concat(blocks, F.array(ends))
+
+    # How far the spans up to each one reach; a span that starts before that is no piece of its own.
+    count = F.size("_s_sorted")
+    blocks = F.sequence(F.lit(0), F.floor((count - 1) / STEP).cast("int"))
+    reach = F.when(count > 0, F.flatten(F.aggregate(blocks, F.array().cast("array<array<int>>"), block))).otherwise(none)
+    reached = found.withColumn("_s_sorted", F.array_sort("spans")).withColumn("_s_reach", reach)
+    before = F.concat(F.array(F.lit(0)), F.slice("_s_reach", F.lit(1), F.greatest(count - 1, F.lit(0))))
+    zipped = F.arrays_zip(F.col("_s_sorted").alias("span"), before.alias("before"))
+
+    def piece(x: Column) -> Column:
+        start = x["span"]["start"]
+        text = F.substring(F.col("text"), x["before"] + 1, start - x["before"])
+        return F.when(start >= x["before"], F.concat(text, F.lit(mark))).otherwise("")
+
+    whole = F.array_join(F.transform(zipped, piece), "")
+    tail = F.substring(F.col("text"), last(F.col("_s_reach")) + 1, F.length("text"))
+    clean = F.when(count == 0, F.col("text")).otherwise(F.concat(whole, tail))
+    return reached.withColumn("text", clean).drop("_s_sorted", "_s_reach", "spans")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -13,8 +15,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words whose hash a worker keeps.
-KEPT_WORDS = 400_000
+#: Words whose hash a task keeps, some 25 MB; they are dropped at its end. Longer ones are never kept.
+KEPT_WORDS, KEPT_BYTES = 150_000, 32
 #: Counters of the frequency table, parts it is summed in, and parts added up by one task at a time.
 COUNTERS, SLICES, FAN_IN = 1 << 22, 64, 64
 #: Classes of frequency; the first is for everything not clearly above the mean.
@@ -27,7 +29,7 @@ _M1, _M2, _GOLDEN = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh3_64_intdigest(word)
-        if len(self) < KEPT_WORDS:
+        if len(self) < KEPT_WORDS and len(word) <= KEPT_BYTES:
             self[word] = value
         return value
 
@@ -37,6 +39,15 @@ def _word_hashes() -> _WordHashes:
     return _WordHashes()
 
 
+@contextmanager
+def kept_words() -> Iterator[None]:
+    """Around the work of a task: drops at its end what shingle_hashes keeps."""
+    try:
+        yield
+    finally:
+        _word_hashes().clear()
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * _M1
     x = (x ^ (x >> np.uint64(27))) * _M2
@@ -63,28 +74,30 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
 
 def _count_worker(size: int):
     def run(batches):
-        counts = np.zeros(COUNTERS, np.int64)
+        # A task's shingles are far fewer than 2 ** 32.
+        counts = np.zeros(COUNTERS, np.uint32)
         held: list[np.ndarray] = []
         waiting = 0
 
         def add():
             nonlocal waiting
             if held:
-                slots = (np.concatenate(held) & np.uint64(COUNTERS - 1)).astype(np.int64)
-                np.add(counts, np.bincount(slots, minlength=COUNTERS), out=counts)
+                slots, many = np.unique((np.concatenate(held) & np.uint64(COUNTERS - 1)).astype(np.uint32), return_counts=True)
+                counts[slots] += many.astype(np.uint32)
             held.clear()
             waiting = 0
 
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                held.append(shingle_hashes(text, size))
-                waiting += len(held[-1])
-                if waiting > 1_000_000:
-                    add()
+        with kept_words():
+            for batch in batches:
+                for text in batch.column(0).to_pylist():
+                    held.append(shingle_hashes(text, size))
+                    waiting += len(held[-1])
+                    if waiting > 1_000_000:
+                        add()
         add()
         if not counts.any():
             return
-        parts = [zlib.compress(p.tobytes(), 1) for p in counts.reshape(SLICES, -1)]
+        parts = [zlib.compress(p.astype(np.int64).tobytes(), 1) for p in counts.reshape(SLICES, -1)]
         task = TaskContext.get().partitionId()
         yield pa.RecordBatch.from_pydict(
             {

@@ -90,6 +90,15 @@ def key_texts():
         (f"cut {begin}{info}{body}", "cut [SECRET]", lines),
         (f"cut {begin}\n" + "\n".join(lines[:-1]) + "\nThis is (no) key.", "cut [SECRET]\nThis is (no) key.", lines[:-1]),
         (f"cut {begin}\n{lines[0][:20]}", "cut [SECRET]", [lines[0][:20]]),
+        (f"cut {begin}\n{body}\nabcd\nThe end", "cut [SECRET]The end", lines),
+        ("x " + whole.replace("\n", "\\r\\n") + " y", "x [SECRET] y", lines),
+        ("x " + whole.replace("\n", '\\n" +\n    "') + " y", "x [SECRET] y", lines),
+        (f"A key begins with {begin} and more prose follows, " + "many words. " * 500 + end, f"A key begins with [SECRET] and more prose follows, " + "many words. " * 500 + end, []),
+        (f"{begin}\nplain\nwords\n{whole}", "[SECRET]\nplain\nwords\n[SECRET]", lines),
+        (f"blank {begin}" + "\n" * 100_000 + "x", "blank [SECRET]" + "\n" * 100_000 + "x", []),
+        (f"blank {begin}" + "\n" * 100_000 + end + " x", "blank [SECRET] x", []),
+        (f"{begin} \n" * 10_000, "[SECRET] \n" * 10_000, []),
+        (f"{begin}\n" + "-\n" * 50_000 + "\\n" * 50_000, "[SECRET]\n" + "-\n" * 50_000 + "\\n" * 50_000, []),
         (f"The line {begin} begins a key, it says.", "The line [SECRET] begins a key, it says.", []),
         (f"long {begin}\n" + "\n".join(lines[:1] * 20_000), "long [SECRET]", lines[:1]),
         (f"long {begin} " + "some-words here " * 20_000, "long [SECRET] " + "some-words here " * 20_000, []),
