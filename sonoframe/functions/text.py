@@ -26,7 +26,8 @@ def casefold(texts: pd.Series) -> pd.Series:
 
 # Token shapes and placeholders of the scoring rules.
 HAN = r"\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{2FA1F}"
-WORD = r"[A-Za-z0-9]+(?:['’-][A-Za-z0-9]+)*"
+# Repeats are possessive, which changes no match but keeps the engine's stack flat on words of any length.
+WORD = r"[A-Za-z0-9]++(?:['’-][A-Za-z0-9]++)*+"
 LANGUAGE_TAG = r"(?U)@[A-Za-z]+\b"
 SILENCED = r"(?i)(?<![A-Za-z0-9])xxx(?![A-Za-z0-9])"
 ANNOTATION_TOKEN = r"&[A-Za-z]+[0-9]+"
