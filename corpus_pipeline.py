@@ -29,22 +29,41 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each group of near copies (five words, similarity 0.8).
+    """One document of each group of near copies (five words, similarity 0.8): that with the least doc_id, then the
+    least digest of its text.
 
-    Of rows that share a doc_id the one with the least text stays; rows without doc_id stay.
+    Rows without doc_id stay. Different texts under one doc_id are documents of their own; of equal ones one stays.
     """
     docs = docs.select(COLUMNS)
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    repeated = settle(repeated, "pipeline-repeated")
+    if not repeated.isEmpty():
+        return _near_duplicates_by_text(docs, repeated)
     found = settle(jaccard_components(docs), "pipeline-components")
-    copies = found.where("doc_id <> component_id").select(F.col("doc_id").alias("copy_id")).distinct()
-    repeated = found.where("doc_id is not null").groupBy(F.col("doc_id").alias("copy_id")).count().where("count > 1").select("copy_id")
-    copies, repeated = settle(copies, "pipeline-copies"), settle(repeated, "pipeline-repeated")
-    kept = docs.join(small(copies), docs["doc_id"] == copies["copy_id"], "left_anti")
-    if repeated.isEmpty():
-        return kept
-    once = Window.partitionBy("doc_id").orderBy("text", *COLUMNS[2:])
-    same = kept["doc_id"] == repeated["copy_id"]
-    least = kept.join(repeated, same, "left_semi").withColumn("r", F.row_number().over(once)).where("r = 1").drop("r")
-    return kept.join(small(repeated), same, "left_anti").unionByName(least)
+    copies = found.where("doc_id <> component_id").select(F.col("doc_id").alias("copy_id"))
+    return docs.join(small(copies), docs["doc_id"] == F.col("copy_id"), "left_anti")
+
+
+def _near_duplicates_by_text(docs: DataFrame, repeated: DataFrame) -> DataFrame:
+    """The same where doc_ids repeat: each text of such an id gets a key of its own below all doc_ids."""
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest")
+    below = min(0, docs.agg(F.min("doc_id")).first()[0]) - 1
+    texts = docs.join(small(repeated), "doc_id", "left_semi").select("doc_id", digest).distinct()
+    own = settle(settle(texts, "pipeline-texts").withColumn("key", F.lit(below) - F.monotonically_increasing_id()), "pipeline-keys")
+    keyed = settle(
+        docs.withColumn("digest", digest)
+        .join(small(own), ["doc_id", "digest"], "left")
+        .withColumn("key", F.coalesce("key", "doc_id")),
+        "pipeline-keyed",
+    )
+    found = settle(jaccard_components(keyed.select(F.col("key").alias("doc_id"), "text")), "pipeline-components")
+    ids = keyed.where("key is not null").select("key", "doc_id", "digest").distinct()
+    first = F.min(F.struct("doc_id", "digest", "key"))["key"].alias("key")
+    groups = found.where("doc_id is not null").select(F.col("doc_id").alias("key"), "component_id").distinct()
+    kept = settle(groups.join(ids, "key").groupBy("component_id").agg(first).select("key"), "pipeline-kept")
+    once = Window.partitionBy("key").orderBy(*COLUMNS)
+    stay = keyed.join(kept, "key", "left_semi").withColumn("r", F.row_number().over(once)).where("r = 1")
+    return stay.select(COLUMNS).unionByName(keyed.where("key is null").select(COLUMNS))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,7 +11,8 @@ them may be the query itself), so a code that a third of all rows share costs no
 have at most MOST_BITS bits, so a query has at most 2 ** MOST_BITS probes a segment.
 
 Defined results: rows with a null vector have no code and are left out; a null or missing component is a 0 bit;
-components beyond the 64th are not used; ties are taken by least id; fewer than k other rows give fewer neighbours; rows
+a vector of more than 64
+components is an error, since a code of its first ones would make the search inexact; ties are taken by least id; fewer than k other rows give fewer neighbours; rows
 that share an id count as one if their codes are equal; other columns are ignored.
 """
 
@@ -30,9 +31,9 @@ BITS, MOST_BITS = 64, 16
 
 def sign_codes(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
     """id, code: bit i is set if component i is positive."""
-    code = F.expr(
-        f"aggregate(transform(slice({vector_column}, 1, {BITS}), (x, i) -> if(x > 0, shiftleft(1L, i), 0L)), 0L, (a, b) -> a | b)"
-    )
+    wide = f"size({vector_column}) > {BITS}"
+    bits = f"aggregate(transform({vector_column}, (x, i) -> if(x > 0, shiftleft(1L, i), 0L)), 0L, (a, b) -> a | b)"
+    code = F.expr(f"if({wide}, raise_error('a vector has more than {BITS} components'), {bits})")
     return vectors.where(F.col(vector_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), code.alias("code"))
 
 

@@ -147,10 +147,10 @@ class JaccardJoin:
         return settle(self.rows.mapInArrow(worker, "doc_id long, n long, same binary, prefix array<long>"), "jaccard-sets")
 
     def copies(self, sets: DataFrame) -> DataFrame:
-        """rep, doc_id of every document whose set equals that of a document with a smaller id, written once."""
+        """rep, doc_id, n, same of every set that equals one of a document with a smaller id, written once."""
         known = sets.where(F.col("doc_id").isNotNull() & (F.col("n") > 0)).select("doc_id", "n", "same")
         least = known.groupBy("n", "same").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("met")).where("met > 1")
-        found = known.join(least, ["n", "same"]).where("rep <> doc_id").select("rep", "doc_id").distinct()
+        found = known.join(least, ["n", "same"]).where("rep <> doc_id").select("rep", "doc_id", "n", "same").distinct()
         return settle(found, "jaccard-copies")
 
     def members(self, sets: DataFrame, copies: DataFrame) -> DataFrame:
@@ -159,7 +159,8 @@ class JaccardJoin:
         The weight says how often the corpus has these shingles: in a group of near copies most for the text they come from.
         """
         able = sets.where(F.col("doc_id").isNotNull() & (F.size("prefix") > 0))
-        single = able.join(small(copies.select("doc_id")), "doc_id", "left_anti").withColumnRenamed("doc_id", "rep")
+        # Of an id with several texts those that are nobody's copy stay.
+        single = able.join(small(copies.drop("rep")), ["doc_id", "n", "same"], "left_anti").withColumnRenamed("doc_id", "rep")
         postings = settle(single.select("rep", F.explode("prefix").alias("token")), "jaccard-postings")
         shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("met")).where("met > 1")
         # A prefix is as long as a share of one document.

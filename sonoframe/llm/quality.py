@@ -2,12 +2,14 @@
 
 Each document gets word and line counts. Two base rules are fixed: too few words, or too many repeated words. The
 other limits come from the corpus: per (language, source) one quantile sketch of each ratio, sketches of a language
-merged from those of its sources. A document passes a ratio if it does not lie above both the fence of its group
-and that of its language, so a small or an odd group is never judged by a few rows of its own alone. A fence is
+merged from those of its sources. A fence is
 
     median + REACH * max(median - lower quartile, least spread of the ratio)
 
-The lower half of a distribution sets the width, so up to half of a source may be junk without widening it.
+The lower half of a distribution sets the width, so up to half of it may be junk without widening it. The limit of a
+group with fewer than OWN_DOCS documents is the fence of its language. A larger one may have a limit of its own where
+its fence is wider, but no further from its language's median than FAR times its language's fence: a source that is
+junk for the most part has a wide fence and is held by its language's.
 
 Defined results: null or empty text has no words and fails; a null language or source counts as the empty string;
 repeated rows are judged each; an empty table gives no rows; other columns are kept by `with_features` and `judge`,
@@ -19,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sonoframe.llm.common import small
+from sonoframe.llm.common import settle, small
 
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOL = r"[^#*$%&|<>]+"
@@ -27,6 +29,8 @@ UPPER = r"[^A-Z]+"
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
 REACH = 6.0
+#: Documents that a group needs for a fence of its own, and how far that may lie beyond its language's.
+OWN_DOCS, FAR = 50, 2.0
 #: Least spread of each ratio: below it a group counts as uniform.
 LEAST_SPREAD = {
     "symbol_ratio": 0.01,
@@ -104,13 +108,22 @@ def with_features(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def _fence(sketch: Column, ratio: str) -> Column:
+def _fence(sketch: Column, ratio: str, reach: float = REACH) -> Column:
     middle, lower = (F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in (0.5, 0.25))
-    return middle + REACH * F.greatest(middle - lower, F.lit(LEAST_SPREAD[ratio]))
+    return middle + reach * F.greatest(middle - lower, F.lit(LEAST_SPREAD[ratio]))
+
+
+def _limit(ratio: str) -> Column:
+    own, merged = F.col(f"{ratio}_sketch"), F.col(f"{ratio}_merged")
+    wider = F.least(F.greatest(_fence(own, ratio), _fence(merged, ratio)), _fence(merged, ratio, REACH * FAR))
+    return F.when(F.col("_q_docs") >= OWN_DOCS, wider).otherwise(_fence(merged, ratio))
 
 
 def thresholds(features: DataFrame) -> DataFrame:
-    """Per (_q_lang, _q_source): _q_docs and `_q_<ratio>`, from documents that pass the base rules."""
+    """Per (_q_lang, _q_source): _q_docs and `_q_<ratio>`, from documents that pass the base rules, written once.
+
+    Beyond SKETCH_K values a sketch draws at random, so limits that are computed again may differ.
+    """
     keyed = features.where(~F.col("base_failed")).select(
         F.coalesce("lang", F.lit("")).alias("_q_lang"), F.coalesce("source", F.lit("")).alias("_q_source"), *LEAST_SPREAD
     )
@@ -122,15 +135,13 @@ def thresholds(features: DataFrame) -> DataFrame:
     by_language = by_group.groupBy("_q_lang").agg(
         *(F.kll_merge_agg_double(f"{r}_sketch", F.lit(SKETCH_K)).alias(f"{r}_merged") for r in LEAST_SPREAD)
     )
-    return by_group.join(by_language, "_q_lang").select(
+    limits = by_group.join(by_language, "_q_lang").select(
         "_q_lang",
         "_q_source",
         "_q_docs",
-        *(
-            F.greatest(_fence(F.col(f"{r}_sketch"), r), _fence(F.col(f"{r}_merged"), r)).alias(f"_q_{r}")
-            for r in LEAST_SPREAD
-        ),
+        *(_limit(r).alias(f"_q_{r}") for r in LEAST_SPREAD),
     )
+    return settle(limits, "quality-limits")
 
 
 def judge(features: DataFrame, limits: DataFrame) -> DataFrame:

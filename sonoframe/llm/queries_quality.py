@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from sonoframe.llm.common import query, settle, table
-from sonoframe.llm.quality import LEAST_SPREAD, REACH, judge, thresholds, with_features
+from sonoframe.llm.common import query, scratch, settle, table
+from sonoframe.llm.quality import FAR, LEAST_SPREAD, OWN_DOCS, REACH, judge, thresholds, with_features
 
 _RATIOS = {
     "symbol_ratio": "n_symbols / nullif(word_chars, 0)",
@@ -17,9 +16,15 @@ _RATIOS = {
 }
 
 
-def _fence(values: str, ratio: str) -> str:
+def _fence(values: str, ratio: str, reach: float = REACH) -> str:
     rank = lambda q: f"{values}[greatest(1, ceil({q} * len({values})))::INT]"
-    return f"({rank(0.5)} + {REACH} * greatest({rank(0.5)} - {rank(0.25)}, {LEAST_SPREAD[ratio]}))"
+    return f"({rank(0.5)} + {reach} * greatest({rank(0.5)} - {rank(0.25)}, {LEAST_SPREAD[ratio]}))"
+
+
+def _limit(ratio: str) -> str:
+    own, merged = f"{ratio}_own", f"{ratio}_all"
+    wider = f"least(greatest({_fence(own, ratio)}, {_fence(merged, ratio)}), {_fence(merged, ratio, REACH * FAR)})"
+    return f"CASE WHEN docs >= {OWN_DOCS} THEN {wider} ELSE {_fence(merged, ratio)} END"
 
 
 # Sketches of this size are exact on tables of up to a few thousand rows, where this statement is compared.
@@ -48,13 +53,13 @@ ratios AS (
          n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed
   FROM counts),
 by_group AS (
-  SELECT lang, source, {", ".join(f"list_sort(list({r})) AS {r}_own" for r in _RATIOS)}
+  SELECT lang, source, count(*) AS docs, {", ".join(f"list_sort(list({r})) AS {r}_own" for r in _RATIOS)}
   FROM ratios WHERE NOT base_failed GROUP BY lang, source),
 by_language AS (
   SELECT lang, {", ".join(f"list_sort(list({r})) AS {r}_all" for r in _RATIOS)}
   FROM ratios WHERE NOT base_failed GROUP BY lang),
 fences AS (
-  SELECT lang, source, {", ".join(f"greatest({_fence(f'{r}_own', r)}, {_fence(f'{r}_all', r)}) AS {r}_limit" for r in _RATIOS)}
+  SELECT lang, source, {", ".join(f"{_limit(r)} AS {r}_limit" for r in _RATIOS)}
   FROM by_group JOIN by_language USING (lang))
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
        n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
@@ -66,7 +71,7 @@ FROM ratios LEFT JOIN fences USING (lang, source)
 @query("op5_quality_rules", SQL)
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    features = settle(with_features(docs).drop("text"), "quality")
-    return judge(features, thresholds(features)).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("kept")
-    )
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    with scratch(spark) as keep:
+        features = settle(with_features(docs).drop("text"), "quality")
+        return keep(settle(judge(features, thresholds(features)).select(columns), "quality-verdicts"))

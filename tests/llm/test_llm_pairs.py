@@ -69,6 +69,23 @@ def test_components_equal_brute_force(spark, size, share):
     assert plain(got) == plain(brute_components(rows, size, share, 100))
 
 
+def test_repeated_ids_keep_their_links(spark):
+    a, b = prose(1, 200), prose(2, 200)
+    rows = [(3, a), (8, a), (8, b), (9, b + " word"), (10, b), (11, prose(3, 200)), (11, a), (12, prose(3, 200))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = plain(jaccard_components(frame).collect())
+    assert got == plain(brute_components(rows, 5, 80, 100))
+    assert {r[2] for r in got} == {3}
+
+
+def test_wide_vectors_are_an_error(spark):
+    from sonoframe.llm.hamming import sign_codes
+
+    frame = spark.createDataFrame([(1, [1.0] * 65)], "id long, v array<double>")
+    with pytest.raises(Exception, match="more than 64 components"):
+        sign_codes(frame, "id", "v").collect()
+
+
 def test_awkward_documents(spark, tmp_path):
     folder = serve(spark, tmp_path, documents=docs(spark))
     got = ENTRIES["op3_ngram_jaccard_join"].run(spark, folder).collect()

@@ -97,7 +97,7 @@ def key_texts():
         (f"{begin}\nplain\nwords\n{whole}", "[SECRET]\nplain\nwords\n[SECRET]", lines),
         (f"blank {begin}" + "\n" * 100_000 + "x", "blank [SECRET]" + "\n" * 100_000 + "x", []),
         (f"blank {begin}" + "\n" * 100_000 + end + " x", "blank [SECRET] x", []),
-        (f"{begin} \n" * 10_000, "[SECRET] \n" * 10_000, []),
+        (f"{begin} \n" * 2_000, "[SECRET] \n" * 2_000, []),
         (f"{begin}\n" + "-\n" * 50_000 + "\\n" * 50_000, "[SECRET]\n" + "-\n" * 50_000 + "\\n" * 50_000, []),
         (f"The line {begin} begins a key, it says.", "The line [SECRET] begins a key, it says.", []),
         (f"long {begin}\n" + "\n".join(lines[:1] * 20_000), "long [SECRET]", lines[:1]),
@@ -118,6 +118,19 @@ def test_no_key_body_is_left(spark):
         assert not any(p in left[k] for p in pieces)
 
 
+def test_many_headers_take_linear_time(spark):
+    import time
+
+    begin = "-----BEGIN RSA PRIVATE KEY-----\n"
+    seconds = []
+    for many in (20, 2_000, 20_000):
+        started = time.time()
+        rows = find_secrets(docs(spark, [(1, begin * many, None, None, 1, "x", "y", 1, 2, 3, 4)])).collect()
+        seconds.append(time.time() - started)
+        assert len(rows[0]["spans"]) == many
+    assert seconds[2] < 20 * seconds[1] + 10
+
+
 def test_key_spans_equal_the_sql(spark, tmp_path):
     import duckdb
     from sonoframe.llm.queries_secrets import SQL
@@ -169,6 +182,21 @@ def test_quality_verdict_depends_on_language_and_source(spark):
     assert not kept[200] and not kept[201]
 
 
+def test_small_and_spoilt_sources_are_held_by_their_language(spark):
+    from cases import prose
+
+    junk = lambda seed: " ".join(w + "###" for w in prose(seed, 200).split())
+    row = lambda i, text, source: (i, text, "en", source, 1, "x", "y", 1, 2, 3, 4)
+    rows = [row(k, prose(k, 200), f"news{k % 3}") for k in range(300)]
+    rows += [row(400, junk(400), "tiny"), row(401, prose(401, 200), "small"), row(402, junk(402), "news0")]
+    rows += [row(500 + k, junk(500 + k) if k % 5 else prose(500 + k, 200), "spoilt") for k in range(100)]
+    features = with_features(docs(spark, rows)).drop("kept")
+    kept = {r["doc_id"]: r["kept"] for r in judge(features, thresholds(features)).collect()}
+    assert all(kept[k] for k in range(300)) and kept[401]
+    assert not kept[400] and not kept[402]
+    assert [kept[500 + k] for k in range(100)] == [k % 5 == 0 for k in range(100)]
+
+
 @pytest.fixture(scope="module")
 def reference():
     with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
