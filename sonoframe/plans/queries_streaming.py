@@ -14,10 +14,12 @@ from sonoframe.plans.queries_regions import POLICY
 from sonoframe.plans.queries_signal import signal_layout
 from sonoframe.plans.registry import query
 from sonoframe.streaming.regions import stream_regions, use_rocksdb
-from sonoframe.streaming.replay import drain, drain_whole, read_growing
+from sonoframe.streaming.replay import drain_whole, read_growing
 from sonoframe.streaming.windows import session_turns, window_peaks
 
 GAP = 3_600_000_000
+#: The row that closes a stream at its end: a key that no recording has, later than any gap or delay reaches.
+NO_KEY, FAR_FUTURE = f"{-(2**62)}L", "timestamp'2261-01-01 00:00:00'"
 
 
 def event_stream(spark, sf):
@@ -27,14 +29,20 @@ def event_stream(spark, sf):
     return raw.withColumn("us", us).withColumn("ts", F.timestamp_micros(us))
 
 
+def whole_peaks(spark, sf, width, slide=None):
+    """Peaks of all windows, those that are open at the end of the input included."""
+    rows = event_stream(spark, sf).select("ts", "event_type", "value")
+    closing = spark.sql(f"SELECT {FAR_FUTURE} AS ts, '' AS event_type, 0D AS value")
+    return drain_whole(rows, lambda r: window_peaks(r, F.col("value"), "event_type", width, "1 hour", slide=slide), closing)
+
+
 @query(
     "stream_session_turns",
     "STR-2",
     f"""WITH {V.SEGMENTS}, g AS (SELECT media_id, speaker, "start", greatest("end", "start") AS e, value FROM v_seg),
  m AS (SELECT *, CASE WHEN "start" <= max(e + {GAP}) OVER (PARTITION BY media_id, speaker ORDER BY "start", e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS n FROM g),
  i AS (SELECT *, sum(n) OVER (PARTITION BY media_id, speaker ORDER BY "start", e) AS k FROM m)
- SELECT media_id, speaker, min("start") AS start_us, max(e) AS end_us, count(*) AS segments, CAST(sum(e - "start") AS BIGINT) AS active_us FROM i GROUP BY media_id, speaker, k
- HAVING max(e) + {GAP} <= (SELECT max("start") // 1000 * 1000 - 3600000000 FROM g)""",
+ SELECT media_id, speaker, min("start") AS start_us, max(e) AS end_us, count(*) AS segments, CAST(sum(e - "start") AS BIGINT) AS active_us FROM i GROUP BY media_id, speaker, k""",
 )
 def stream_session_turns(spark, sf):
     segments = event_stream(spark, sf).select(
@@ -43,30 +51,28 @@ def stream_session_turns(spark, sf):
         "ts",
         F.greatest(F.lit(0), F.floor(F.col("value") * 600000).cast("bigint") * 1000).alias("length_us"),
     )
-    return drain(session_turns(segments, GAP, "1 hour"))
+    closing = spark.sql(f"SELECT {NO_KEY} AS media_id, '' AS speaker, {FAR_FUTURE} AS ts, 0L AS length_us")
+    return drain_whole(segments, lambda s: session_turns(s, GAP, "1 hour"), closing)
 
 
 @query(
     "stream_window_peaks",
     "STR-3",
     """WITH e AS (SELECT *, epoch_us(ts) - 1704067200000000 AS us FROM events)
- SELECT us // 21600000000 * 21600000000 AS window_us, event_type, max(value) AS peak, count(*) AS samples FROM e GROUP BY 1, 2
- HAVING us // 21600000000 * 21600000000 + 21600000000 <= (SELECT max(us) // 1000 * 1000 - 3600000000 FROM e)""".replace("GROUP BY 1, 2", "GROUP BY us // 21600000000 * 21600000000, event_type"),
+ SELECT us // 21600000000 * 21600000000 AS window_us, event_type, max(value) AS peak, count(*) AS samples FROM e GROUP BY 1, 2""",
 )
 def stream_window_peaks(spark, sf):
-    return drain(window_peaks(event_stream(spark, sf), F.col("value"), "event_type", "6 hours", "1 hour"))
+    return whole_peaks(spark, sf, "6 hours")
 
 
 @query(
     "stream_sliding_peaks",
     "STR-3",
     """WITH e AS (SELECT *, epoch_us(ts) - 1704067200000000 AS us FROM events), w AS (SELECT (us // 21600000000 - k) * 21600000000 AS window_us, event_type, value FROM e, (SELECT unnest([0, 1, 2, 3]) AS k))
- SELECT window_us, event_type, max(value) AS peak, count(*) AS samples FROM w GROUP BY 1, 2 HAVING window_us + 86400000000 <= (SELECT max(us) // 1000 * 1000 - 3600000000 FROM e)""",
+ SELECT window_us, event_type, max(value) AS peak, count(*) AS samples FROM w GROUP BY 1, 2""",
 )
 def stream_sliding_peaks(spark, sf):
-    return drain(
-        window_peaks(event_stream(spark, sf), F.col("value"), "event_type", "24 hours", "1 hour", slide="6 hours")
-    )
+    return whole_peaks(spark, sf, "24 hours", "6 hours")
 
 
 @query("stream_regions", "STR-1")
@@ -79,7 +85,7 @@ def stream_region_builder(spark, sf):
         F.least(F.col("value") / 100.0, F.lit(1.0)).alias("prob"),
         "ts",
     )
-    closing = spark.sql(f"SELECT {-(2**62)}L AS media_id, 0L AS frame_idx, 0D AS prob, timestamp'2261-01-01 00:00:00' AS ts")
+    closing = spark.sql(f"SELECT {NO_KEY} AS media_id, 0L AS frame_idx, 0D AS prob, {FAR_FUTURE} AS ts")
     return drain_whole(frames, lambda f: stream_regions(f, POLICY, "1 hour", 6 * 3_600_000), closing)
 
 
