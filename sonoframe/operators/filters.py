@@ -1,8 +1,10 @@
 """Recursive filters over chunked signals.
 
 A recursive filter is linear, so a chunk can be filtered from rest and corrected afterwards with the
-state it should have started from. Chunks are filtered independently; only their short end states are
-composed in order, and the exact incoming state is joined back to every chunk.
+state it should have started from. Chunks are filtered independently. What a chunk does to a state is an affine map,
+its number of samples and its end state from rest; maps of neighbours compose to one, so the incoming states are a
+prefix over maps, taken in blocks of a fixed number of chunks, then over the blocks, and so on. The exact incoming
+state is joined back to every chunk.
 """
 
 from __future__ import annotations
@@ -15,8 +17,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sonoframe.session import cut
+
 MEDIA = "media_id"
 BLOCK = 64
+#: Maps that one task composes in order.
+FAN = 1024
 
 Section = tuple[tuple[float, float, float], tuple[float, float]]
 
@@ -125,11 +131,52 @@ class Cascade:
         return np.concatenate(out), state
 
 
-def filter_signal(samples: DataFrame, sections: Sequence[Section]) -> DataFrame:
-    """Filter both channels of every recording from rest, exactly, chunk-parallel.
+MAP = f"{MEDIA} bigint, position bigint, n bigint, e0 array<double>, e1 array<double>"
+STATE = f"{MEDIA} bigint, position bigint, s0 array<double>, s1 array<double>"
+
+
+def incoming_states(maps: DataFrame, cascade: Cascade, fan: int = FAN) -> DataFrame:
+    """The state before each map (media_id, position, n samples, end states from rest) of a recording, from rest.
 
-    The ordered pass sees one short state per chunk and streams in constant memory.
+    A task sees at most ``fan`` maps of a recording; the number of levels grows with the logarithm of its length.
     """
+    zero = np.zeros(cascade.order)
+
+    def advance(powers: dict[int, np.ndarray], state: np.ndarray, n: int, end: Sequence[float] | None) -> np.ndarray:
+        if n not in powers:
+            powers[n] = cascade.power(n)
+        return powers[n] @ state + (zero if end is None else np.asarray(end))
+
+    def composed(key, rows):
+        powers: dict[int, np.ndarray] = {}
+        states = [zero, zero]
+        for n, *ends in rows.sort_values("position")[["n", "e0", "e1"]].itertuples(index=False):
+            states = [advance(powers, s, n, e) for s, e in zip(states, ends)]
+        return pd.DataFrame([(*key, int(rows["n"].sum()), *(s.tolist() for s in states))], columns=[MEDIA, "position", "n", "e0", "e1"])
+
+    def spread_out(key, rows):
+        powers: dict[int, np.ndarray] = {}
+        rows, out = rows.sort_values("position"), []
+        states = [np.asarray(rows[s].iloc[0]) for s in ("s0", "s1")]
+        for position, n, *ends in rows[["position", "n", "e0", "e1"]].itertuples(index=False):
+            out.append((key[0], position, *(s.tolist() for s in states)))
+            states = [advance(powers, s, n, e) for s, e in zip(states, ends)]
+        return pd.DataFrame(out, columns=[MEDIA, "position", "s0", "s1"])
+
+    block = F.floor(F.col("position") / fan).cast("bigint").alias("_block")
+    last = maps.agg(F.max("position")).first()[0] or 0
+    rest = F.array(*[F.lit(0.0)] * cascade.order)
+    if last < fan:
+        started = maps.withColumns({"_block": F.lit(0).cast("bigint"), "s0": rest, "s1": rest})
+    else:
+        blocks = cut(maps.groupBy(MEDIA, block).applyInPandas(composed, MAP))
+        before = incoming_states(blocks, cascade, fan).withColumnRenamed("position", "_block")
+        started = maps.withColumn("_block", block).join(before, [MEDIA, "_block"])
+    return started.groupBy(MEDIA, "_block").applyInPandas(spread_out, STATE)
+
+
+def filter_signal(samples: DataFrame, sections: Sequence[Section], fan: int = FAN) -> DataFrame:
+    """Filter both channels of every recording from rest, exactly, chunk-parallel."""
     cascade = Cascade(sections)
     zero = np.zeros(cascade.order)
 
@@ -137,37 +184,12 @@ def filter_signal(samples: DataFrame, sections: Sequence[Section]) -> DataFrame:
         for batch in batches:
             rows = []
             for media, chunk, *channels in zip(batch[MEDIA], batch["chunk_id"], batch["ch0"], batch["ch1"]):
-                states = [
-                    [] if ch is None else cascade.run(ch, zero)[1].tolist() for ch in channels
-                ]
+                states = [None if ch is None else cascade.run(ch, zero)[1].tolist() for ch in channels]
                 rows.append((media, chunk, len(channels[0]), *states))
-            yield pd.DataFrame(rows, columns=[MEDIA, "chunk_id", "n", "e0", "e1"])
-
-    end_schema = f"{MEDIA} bigint, chunk_id bigint, n int, e0 array<double>, e1 array<double>"
-    local = samples.select(MEDIA, "chunk_id", "ch0", "ch1").mapInPandas(ends, end_schema)
-
-    def compose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, states = None, [zero, zero]
-        powers: dict[int, np.ndarray] = {}
-        for batch in batches:
-            rows = []
-            for media, chunk, n, *local_ends in zip(*[batch[c] for c in (MEDIA, "chunk_id", "n", "e0", "e1")]):
-                if media != current:
-                    current, states = media, [zero, zero]
-                rows.append((media, chunk, states[0].tolist(), states[1].tolist()))
-                if n not in powers:
-                    powers[n] = cascade.power(n)
-                states = [
-                    powers[n] @ s + (np.asarray(e) if len(e) else zero) for s, e in zip(states, local_ends)
-                ]
-            yield pd.DataFrame(rows, columns=[MEDIA, "chunk_id", "s0", "s1"])
+            yield pd.DataFrame(rows, columns=[MEDIA, "position", "n", "e0", "e1"])
 
-    state_schema = f"{MEDIA} bigint, chunk_id bigint, s0 array<double>, s1 array<double>"
-    incoming = (
-        local.repartition(MEDIA)
-        .sortWithinPartitions(MEDIA, "chunk_id")
-        .mapInPandas(compose, state_schema)
-    )
+    maps = cut(samples.select(MEDIA, "chunk_id", "ch0", "ch1").mapInPandas(ends, MAP))
+    incoming = incoming_states(maps, cascade, fan).withColumnRenamed("position", "chunk_id")
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

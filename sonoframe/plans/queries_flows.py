@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sonoframe.functions import text as X
-from sonoframe.operators import enhance, loudness, partial
+from sonoframe.operators import enhance, filters, loudness, partial
 from sonoframe.operators import levels as M
 from sonoframe.plans import inspection
 from sonoframe.plans import signals as G
 from sonoframe.plans import views as V
-from sonoframe.plans.queries_signal import loud_regions, loud_signal, signal_layout
+from sonoframe.plans.queries_signal import db, loud_regions, loud_signal, r6, signal_layout
+from sonoframe.plans.queries_spectrum import blended_sql
 from sonoframe.plans.registry import query
 from sonoframe.session import cut
 from sonoframe.sources.profiles import profile
@@ -46,12 +47,17 @@ def voice_enhancement(spark, sf):
     return decided.join(after, "media_id")
 
 
-@query("band_adjustment", "RU-09 SC-18")
+@query(
+    "band_adjustment",
+    "RU-09 SC-18",
+    f"""{blended_sql([filters.peaking(-6.0, 600.0**0.5, 600.0**0.5 / 10.0, G.RATE)], "SELECT media_id, s, e FROM v_sp", 3).replace(G.SAMPLES, f"{G.SAMPLES}, {G.SPEECH}", 1)}
+ SELECT media_id, round({db("sum(l * l + r * r)", "(2 * count(*))")}, 6) AS rms_dbfs, round(20 * log10(greatest(max(greatest(abs(l), abs(r))), 1e-12)), 6) AS peak_dbfs FROM v_b GROUP BY 1""",
+)
 def band_adjustment(spark, sf):
     samples = G.samples(spark, sf)
     intervals = G.speech(spark, sf).select("media_id", "start", "end")
     out = enhance.adjust_band(samples, intervals, -6.0, 20.0, 30.0, G.RATE, G.CHUNK, 3)
-    return M.whole_measures(out).select("media_id", "rms_dbfs", "peak_dbfs")
+    return r6(M.whole_measures(out).select("media_id", "rms_dbfs", "peak_dbfs"), "rms_dbfs", "peak_dbfs")
 
 
 @query("compensation_loop", "RU-12")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sonoframe.functions import text as X
 from sonoframe.operators import comparison as C
 from sonoframe.operators import intervals as I
-from sonoframe.operators import repeats, scoring
+from sonoframe.operators import repeats, scoring, transcripts
 from sonoframe.operators import statistics as S
 from sonoframe.plans import views as V
 from sonoframe.plans.registry import query
@@ -189,6 +189,55 @@ def transcript_errors(spark, sf):
     return scoring.rolled_up_errors(scored, ["conv_id"])
 
 
+def _sql_tokens(text: str) -> str:
+    plain = f"regexp_replace(regexp_replace({text}, '@[A-Za-z]+(\\b)', '\\1', 'g'), '(?i)\\bxxx\\b', '', 'g')"
+    return f"regexp_extract_all(lower({plain}), '[a-z0-9]+(?:[''’-][a-z0-9]+)*')"
+
+
+#: A second reading of each turn: words left out, doubled and spelt otherwise, a quarter of a turn late.
+SECOND = "replace(replace(replace(text, ' and ', ' '), ' of ', ' of of '), 'th', 't')"
+
+#: One anti-diagonal of all edit tables at a time: a is the distance and x the deletions of a cell, b and y those one diagonal before.
+REPORT = f"""WITH RECURSIVE d AS (SELECT conv_id AS media_id, CAST(max(turn) + 1 AS DOUBLE) AS dur FROM conversations GROUP BY 1),
+ w AS (SELECT DISTINCT media_id, s, s + win AS e FROM (SELECT media_id, least(3.0::DOUBLE, dur) AS win,
+    unnest([0.0::DOUBLE, greatest(0, (dur - least(3.0::DOUBLE, dur)) / 2), greatest(0, dur - least(3.0::DOUBLE, dur))]) AS s FROM d)
+  UNION ALL SELECT media_id, -1.0::DOUBLE, NULL FROM d),
+ rs AS (SELECT w.media_id, s, flatten(list({_sql_tokens("text")} ORDER BY turn)) AS k FROM w JOIN conversations c ON conv_id = media_id
+  AND (s < 0 OR (turn + 1 > s AND turn < e)) GROUP BY 1, 2),
+ hs AS (SELECT w.media_id, s, flatten(list({_sql_tokens(SECOND)} ORDER BY turn)) AS k FROM w JOIN conversations c ON conv_id = media_id
+  AND (s < 0 OR (turn + 1.25 > s AND turn + 0.25 < e)) GROUP BY 1, 2),
+ v AS (SELECT media_id, t, row_number() OVER (PARTITION BY media_id) AS c FROM (SELECT DISTINCT media_id, unnest(k) AS t FROM (FROM rs UNION ALL FROM hs))),
+ q AS (SELECT x.media_id, x.s, string_agg(chr(19968 + CAST(c AS INT)), '' ORDER BY i) AS k FROM (SELECT media_id, s, unnest(k) AS t, unnest(range(1, len(k) + 1)) AS i FROM rs) x JOIN v USING (media_id, t) GROUP BY 1, 2),
+ p AS (SELECT x.media_id, x.s, string_agg(chr(19968 + CAST(c AS INT)), '' ORDER BY i) AS k FROM (SELECT media_id, s, unnest(k) AS t, unnest(range(1, len(k) + 1)) AS i FROM hs) x JOIN v USING (media_id, t) GROUP BY 1, 2),
+ g AS MATERIALIZED (SELECT media_id, s, e, coalesce(q.k, '') AS r, coalesce(p.k, '') AS h, length(coalesce(q.k, '')) AS n, length(coalesce(p.k, '')) AS m
+  FROM w LEFT JOIN q USING (media_id, s) LEFT JOIN p USING (media_id, s)),
+ dp AS (SELECT media_id, s, 0::BIGINT AS d, 0::BIGINT AS i, 0::BIGINT AS a, 0::BIGINT AS x, NULL::BIGINT AS b, NULL::BIGINT AS y FROM g
+  UNION ALL
+  SELECT media_id, s, d, i, CASE WHEN i = 0 THEN d WHEN i = d THEN d WHEN same THEN ca ELSE least(ua, la, ca) + 1 END,
+   CASE WHEN i = 0 THEN 0 WHEN i = d THEN d WHEN same THEN cx WHEN ua <= la AND ua <= ca THEN ux + 1 WHEN la <= ca THEN lx ELSE cx END, la, lx
+  FROM (SELECT c.*, substr(r, CAST(i AS INT), 1) = substr(h, CAST(d - i AS INT), 1) AS same FROM (
+    SELECT media_id, s, d + 1 AS d, i + o AS i, max(CASE WHEN o = 1 THEN a END) AS ua, max(CASE WHEN o = 1 THEN x END) AS ux,
+     max(CASE WHEN o = 0 THEN a END) AS la, max(CASE WHEN o = 0 THEN x END) AS lx, max(CASE WHEN o = 1 THEN b END) AS ca, max(CASE WHEN o = 1 THEN y END) AS cx
+    FROM dp, (SELECT unnest([0, 1]) AS o) GROUP BY media_id, s, dp.d, i + o) c JOIN g USING (media_id, s)
+   WHERE i <= n AND d - i <= m))
+ SELECT media_id, CASE WHEN s >= 0 THEN s END AS window_start, e AS window_end, n AS reference_tokens, m AS hypothesis_tokens, a AS distance, x AS deletions,
+  x + m - n AS insertions, a - 2 * x - m + n AS substitutions, round(a / nullif(n, 0), 6) AS mixed_error_rate
+ FROM dp JOIN g USING (media_id, s) WHERE d = n + m AND i = n"""
+
+
+@query("transcript_windows", "AG-16 RG-14 FLT-03", REPORT)
+def transcript_windows(spark, sf):
+    """Two readings of each conversation, a turn being a segment of length 1: over all turns and over three windows."""
+    turns = V.table(spark, sf, "conversations").select(F.col("conv_id").alias("media_id"), "turn", "text")
+    lengths = turns.groupBy("media_id").agg((F.max("turn") + 1).cast("double").alias("duration"))
+    at = F.col("turn").cast("double")
+    first = turns.withColumns({"start": at, "end": at + 1})
+    second = turns.withColumns({"start": at + 0.25, "end": at + 1.25, "text": F.expr(SECOND)})
+    layout = V.measure_layout(turns, ["media_id"], F.col("turn"), 1000)
+    report = transcripts.transcript_report(first, second, scoring.scoring_windows(lengths, 3.0), ["turn"], layout)
+    return report.withColumn("mixed_error_rate", F.round("mixed_error_rate", 6))
+
+
 @query(
     "edit_distance_names",
     "SC-05 SC-06",

@@ -10,7 +10,7 @@ from sonoframe.operators import loudness as P
 from sonoframe.operators import spectrum as S
 from sonoframe.operators.scan import SINGLE
 from sonoframe.plans import signals as G
-from sonoframe.plans.queries_signal import gain_table, r6, signal_layout
+from sonoframe.plans.queries_signal import FADE_SQL, db, gain_table, r6, signal_layout
 from sonoframe.plans.registry import query
 
 RATE = 400
@@ -65,11 +65,27 @@ def program_loudness(spark, sf):
     return P.program_loudness(samples, G.RATE, signal_layout(samples))
 
 
-@query("recursive_filter", "UD-02 RU-09")
+SECTIONS = [B.highpass(2.0, G.RATE), B.notch(12.0, G.RATE), B.peaking(3.0, 20.0, 0.9, G.RATE)]
+
+
+def blended_sql(sections, intervals: str, fade: int) -> str:
+    """v_b: the filtered signal inside faded intervals (media_id, s, e), the original elsewhere."""
+    return f"""WITH RECURSIVE {G.SAMPLES}, {G.filtered_sql(sections)}, gi AS ({intervals}),
+ gw AS (SELECT *, least({fade}, greatest(1, (e - s) // 2)) AS w FROM gi),
+ gm AS (SELECT v_s.media_id, i, max({FADE_SQL}) AS m FROM v_s JOIN gw AS w ON w.media_id = v_s.media_id GROUP BY 1, 2),
+ v_b AS (SELECT media_id, i, (l * (1 - gm.m) + fl * gm.m)::FLOAT::DOUBLE AS l, (r * (1 - gm.m) + fr * gm.m)::FLOAT::DOUBLE AS r FROM v_s JOIN gm USING (media_id, i) JOIN v_f USING (media_id, i))"""
+
+
+@query(
+    "recursive_filter",
+    "UD-02 RU-09",
+    f"""{blended_sql(SECTIONS, "SELECT DISTINCT media_id, 70 + media_id % 7 AS s, 200 + media_id % 7 AS e FROM v_pair", 5)}
+ SELECT media_id, round({db("sum(l * l + r * r)", "(2 * count(*))")}, 6) AS rms_dbfs, round(20 * log10(greatest(max(greatest(abs(l), abs(r))), 1e-12)), 6) AS peak_dbfs,
+  round(avg((l + r) / 2), 6) AS dc_offset FROM v_b GROUP BY 1""",
+)
 def recursive_filter(spark, sf):
     samples = G.samples(spark, sf)
-    sections = [B.highpass(2.0, G.RATE), B.notch(12.0, G.RATE), B.peaking(3.0, 20.0, 0.9, G.RATE)]
-    filtered = B.filter_signal(samples, sections)
+    filtered = B.filter_signal(samples, SECTIONS)
     treated = gain_table(spark, sf).where("gain_db > 0").select("media_id", "start", "end")
     mixed = B.blend_signals(samples, filtered, treated, 5, G.CHUNK)
-    return M.whole_measures(mixed).select("media_id", "rms_dbfs", "peak_dbfs", "dc_offset")
+    return r6(M.whole_measures(mixed).select("media_id", "rms_dbfs", "peak_dbfs", "dc_offset"), "rms_dbfs", "peak_dbfs", "dc_offset")

@@ -60,3 +60,18 @@ def speech(spark: SparkSession, sf: str) -> DataFrame:
 
 SPEECH = """v_sp AS (SELECT media_id, 'speech_001' AS region_id, 20 + 4 * (media_id % 5) AS s, 60 + 4 * (media_id % 5) AS e FROM (SELECT DISTINCT media_id FROM v_pair)
   UNION ALL SELECT media_id, 'speech_002', 120 + 3 * (media_id % 5), 170 + 6 * (media_id % 5) FROM (SELECT DISTINCT media_id FROM v_pair))"""
+
+
+def filtered_sql(sections) -> str:
+    """v_f: both channels through recursive sections, one sample of every recording at a time, in single precision."""
+    steps = "SELECT z.*, c.i AS here, c.v AS u0 FROM z JOIN v_c c ON c.media_id = z.media_id AND c.ch = z.ch AND c.i = z.i + 1"
+    names, zeros, moved = [], [], []
+    for k, ((b0, b1, b2), (a1, a2)) in enumerate(sections, 1):
+        steps = f"SELECT *, {b0!r}::DOUBLE * u{k - 1} + p{k} AS u{k} FROM ({steps})"
+        names += [f"p{k}", f"q{k}"]
+        zeros += ["0.0::DOUBLE"] * 2
+        moved += [f"{b1!r}::DOUBLE * u{k - 1} - {a1!r}::DOUBLE * u{k} + q{k}", f"{b2!r}::DOUBLE * u{k - 1} - {a2!r}::DOUBLE * u{k}"]
+    return f"""v_c AS MATERIALIZED (SELECT media_id, 0 AS ch, i, l AS v FROM v_s UNION ALL SELECT media_id, 1, i, r FROM v_s),
+ z AS (SELECT DISTINCT media_id, ch, -1::BIGINT AS i, 0.0::DOUBLE AS y, {", ".join(f"{z} AS {n}" for z, n in zip(zeros, names))} FROM v_c
+  UNION ALL SELECT media_id, ch, here, u{len(sections)}, {", ".join(moved)} FROM ({steps})),
+ v_f AS (SELECT media_id, i, max(y) FILTER (WHERE ch = 0)::FLOAT::DOUBLE AS fl, max(y) FILTER (WHERE ch = 1)::FLOAT::DOUBLE AS fr FROM z WHERE i >= 0 GROUP BY 1, 2)"""

@@ -1,6 +1,7 @@
 import itertools
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from sonoframe.operators import intervals as I
 from sonoframe.operators import scoring as S
 from sonoframe.operators import statistics as St
-from sonoframe.operators.assignment import best_mapping, first_minimum_assignment, frame_totals, apply_mapping
+from sonoframe.operators.assignment import apply_mapping, best_mapping, frame_totals
 from sonoframe.operators.scan import SINGLE, Layout
 
 SCHEMA = "media_id long, seg_idx long, start long, end long, speaker string"
@@ -97,15 +98,56 @@ def test_mapping_is_the_first_minimum(shape):
         assert sum(frame_totals(ref, apply_mapping(hyp, other, n_ref), weight)) >= sum(errors)
 
 
+def first_of(overlap):
+    """Targets of rows that share so many frames with each column, one label a side in every frame."""
+    rows, columns = overlap.shape
+    pairs = [(i, j) for i in range(rows) for j in range(columns)]
+    hyp, ref = np.eye(rows, dtype=int)[[p[0] for p in pairs]], np.eye(columns, dtype=int)[[p[1] for p in pairs]]
+    return best_mapping(ref, hyp, overlap.ravel())[0]
+
+
 def test_assignment_ties_take_the_first_columns():
-    cost = np.ones((4, 6))
-    assert first_minimum_assignment(cost) == (4.0, [0, 1, 2, 3])
+    assert first_of(np.ones((4, 6), int)) == (0, 1, 2, 3)
     rng = np.random.default_rng(1)
     for _ in range(30):
-        cost = rng.integers(0, 4, (3, 5)).astype(float)
-        best, chosen = first_minimum_assignment(cost)
-        options = [(sum(cost[i, j] for i, j in enumerate(p)), p) for p in itertools.permutations(range(5), 3)]
-        assert (best, tuple(chosen)) == min(options)
+        overlap = rng.integers(0, 4, (3, 5))
+        options = [(-sum(overlap[i, j] for i, j in enumerate(p)), p) for p in itertools.permutations(range(5), 3)]
+        assert first_of(overlap) == min(options)[1]
+
+
+def test_mappings_equal_enumeration():
+    rng = np.random.default_rng(1)
+    for _ in range(300):
+        n_ref, n_hyp, n = (int(rng.integers(0, k)) for k in (5, 6, 12))
+        share = rng.choice([0.2, 0.5, 0.8])
+        ref, hyp = (rng.random((n, n_ref)) < share).astype(int), (rng.random((n, n_hyp)) < share).astype(int)
+        weight = rng.integers(1, rng.choice([2, 4, 50]), n)
+        orders = sorted(set(itertools.permutations([*range(n_ref)] + [n_ref] * max(0, n_hyp - n_ref), n_hyp)))
+        targets = [tuple(None if t == n_ref else t for t in order) for order in orders]
+        wanted = min(targets, key=lambda m: sum(frame_totals(ref, apply_mapping(hyp, m, n_ref), weight)))
+        assert best_mapping(ref, hyp, weight)[0] == wanted
+
+
+def test_forty_labels_against_twenty():
+    """Each of twenty speakers is found as two labels, with some overlap and some noise."""
+    rng = np.random.default_rng(1)
+    ref, hyp = np.zeros((2000, 20), int), np.zeros((2000, 40), int)
+    for k in range(2000):
+        for speaker in rng.integers(0, 20, 1 + (rng.random() < 0.1)):
+            ref[k, speaker] = 1
+            hyp[k, speaker + 20 * rng.integers(0, 2)] = 1
+            if rng.random() < 0.02:
+                hyp[k, rng.integers(0, 40)] = 1
+    weight = rng.integers(1, 100, 2000)
+    started = time.process_time()
+    mapping, errors = best_mapping(ref, hyp, weight)
+    assert time.process_time() - started < 1
+    assert sorted(t for t in mapping if t is not None) == list(range(20))
+    both = hyp.T @ (ref * weight[:, None])
+    greedy = [None] * 40
+    for speaker in range(20):
+        greedy[max((speaker, speaker + 20), key=lambda h: both[h, speaker])] = speaker
+    assert sum(errors) <= sum(frame_totals(ref, apply_mapping(hyp, greedy, 20), weight))
 
 
 def test_activity_counts(spark):

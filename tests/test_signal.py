@@ -46,6 +46,10 @@ def test_filters_match_the_direct_recurrence_across_chunks(spark):
     assert np.allclose(joined(out), direct(np.float32(signals[0][0]), sections), atol=1e-6)
     assert np.allclose(joined(out, channel="ch1"), direct(np.float32(signals[0][1]), sections), atol=1e-6)
     assert np.allclose(joined(out, media=1), direct(np.float32(signals[1][0]), sections), atol=1e-6)
+    # The same through a prefix of several levels: no task sees more than two chunks of a recording.
+    small = filters.filter_signal(table(spark, signals, 40), sections, fan=2)
+    assert np.allclose(joined(small), direct(np.float32(signals[0][0]), sections), atol=1e-6)
+    assert np.allclose(joined(small, media=1), direct(np.float32(signals[1][0]), sections), atol=1e-6)
 
 
 def weights(spark, intervals, length, fade, outside=False):
