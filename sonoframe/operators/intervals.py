@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
-from collections.abc import Iterator, Sequence
-from itertools import islice
+from collections import deque
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import chain, groupby, islice, takewhile
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -270,19 +270,12 @@ def overlap_violations(windows: DataFrame, layout: Layout) -> DataFrame:
 
 def _sorted_groups(
     batches: Iterator[pd.DataFrame], key: Sequence[str], values: Sequence[str]
-) -> Iterator[tuple[tuple, list[tuple]]]:
-    """Consecutive rows with equal keys from sorted batches, one group in memory at a time."""
-    current, rows = None, []
-    for batch in batches:
-        keys = zip(*[batch[c].tolist() for c in key])
-        for at, row in zip(keys, zip(*[batch[c].tolist() for c in values])):
-            if at != current:
-                if rows:
-                    yield current, rows
-                current, rows = at, []
-            rows.append(row)
-    if rows:
-        yield current, rows
+) -> Iterator[tuple[tuple, Iterator[tuple]]]:
+    """Consecutive rows with equal keys from sorted batches; a group's rows are read as they come."""
+    width = len(key)
+    rows = chain.from_iterable(zip(*[batch[c].tolist() for c in (*key, *values)]) for batch in batches)
+    for at, group in groupby(rows, key=lambda row: row[:width]):
+        yield at, (row[width:] for row in group)
 
 
 def _framed(rows: Iterator[tuple], columns: Sequence[str], size: int = 10_000) -> Iterator[pd.DataFrame]:
@@ -290,35 +283,39 @@ def _framed(rows: Iterator[tuple], columns: Sequence[str], size: int = 10_000) -
         yield pd.DataFrame(block, columns=columns)
 
 
-def _greedy(rows: list[tuple], tolerance: float) -> list[tuple[float, int]]:
+def _greedy(rows: Iterable[tuple], tolerance: float) -> Iterator[tuple[float, int]]:
     """Each hypothesis boundary, in order, takes the nearest free reference boundary within reach.
 
-    Rows are distinct (position, references, hypotheses), sorted; only positions within reach are
-    looked at. Returns (error, matches) pairs.
+    Rows are distinct (position, references, hypotheses), sorted. A hypothesis is decided when the rows have gone beyond
+    its reach, so only positions within twice the tolerance are held. Gives (error, matches) pairs.
     """
-    positions = [r[0] for r in rows]
-    free = [r[1] for r in rows]
-    matches: list[tuple[float, int]] = []
-    low = 0
-    for at, _, wanted in rows:
-        while low < len(positions) and at - positions[low] > tolerance:
-            low += 1
-        if not wanted:
-            continue
-        reach = []
-        i = low
-        while i < len(positions) and positions[i] - at <= tolerance:
-            if free[i]:
-                reach.append((abs(positions[i] - at), i))
-            i += 1
-        for error, i in sorted(reach):
-            taken = min(wanted, free[i])
-            free[i] -= taken
-            wanted -= taken
-            matches.append((error, taken))
-            if not wanted:
-                break
-    return matches
+    held: deque[list] = deque()
+    waiting: deque[tuple] = deque()
+
+    def decide(before: float) -> Iterator[tuple[float, int]]:
+        while waiting and waiting[0][0] + tolerance < before:
+            at, wanted = waiting.popleft()
+            while held and at - held[0][0] > tolerance:
+                held.popleft()
+            near = takewhile(lambda h: h[0] - at <= tolerance, held)
+            for error, place in sorted(((abs(h[0] - at), h) for h in near if h[1]), key=lambda e: (e[0], e[1][0])):
+                taken = min(wanted, place[1])
+                place[1] -= taken
+                wanted -= taken
+                yield error, taken
+                if not wanted:
+                    break
+        if not waiting:
+            while held and before - held[0][0] > tolerance:
+                held.popleft()
+
+    for at, references, wanted in rows:
+        yield from decide(at)
+        if references:
+            held.append([at, references])
+        if wanted:
+            waiting.append((at, wanted))
+    yield from decide(float("inf"))
 
 
 def match_boundaries(
@@ -364,34 +361,45 @@ def match_boundaries(
     )
 
 
-def _greedy_intervals(rows: list[tuple], tolerance: float) -> int:
+def _greedy_intervals(rows: Iterable[tuple], tolerance: float) -> int:
     """References in order take the free hypothesis with the smallest summed bound error.
 
-    Rows are (side, start, end), sorted by start, side 0 being the reference.
+    Rows are (side, start, end), sorted by start, side 0 being the reference. Hypotheses are held while a reference can
+    reach them.
     """
-    hyps = [r[1:] for r in rows if r[0] == 1]
-    starts = [h[0] for h in hyps]
-    free = [True] * len(hyps)
+    held: deque[list] = deque()
+    waiting: deque[tuple] = deque()
     matched = 0
+
+    def decide(before: float) -> int:
+        found = 0
+        while waiting and waiting[0][0] + tolerance < before:
+            start, end = waiting.popleft()
+            while held and start - held[0][0] > tolerance:
+                held.popleft()
+            near = takewhile(lambda h: h[0] - start <= tolerance, held)
+            fits = [h for h in near if h[2] and abs(h[1] - end) <= tolerance]
+            if fits:
+                min(fits, key=lambda h: abs(h[0] - start) + abs(h[1] - end))[2] = False
+                found += 1
+        if not waiting:
+            while held and before - held[0][0] > tolerance:
+                held.popleft()
+        return found
+
     for side, start, end in rows:
+        matched += decide(start)
         if side:
-            continue
-        best = None
-        for i in range(bisect_left(starts, start - tolerance), bisect_right(starts, start + tolerance)):
-            if free[i] and abs(hyps[i][1] - end) <= tolerance:
-                cost = abs(starts[i] - start) + abs(hyps[i][1] - end)
-                if best is None or cost < best[0]:
-                    best = (cost, i)
-        if best:
-            free[best[1]] = False
-            matched += 1
-    return matched
+            held.append([start, end, True])
+        else:
+            waiting.append((start, end))
+    return matched + decide(float("inf"))
 
 
 def match_intervals(
     reference: DataFrame, hypothesis: DataFrame, tolerances: Sequence[int], layout: Layout
 ) -> DataFrame:
-    """Matched same-label interval pairs per tolerance: ``(media_id, tolerance, matched)``.
+    """Matched same-label interval pairs of every recording per tolerance: ``(media_id, tolerance, matched)``.
 
     Stretches of starts closer than the tolerance are independent, as for boundaries.
     """
@@ -399,9 +407,8 @@ def match_intervals(
     both = reference.select(*columns, F.lit(0).alias("side")).unionByName(
         hypothesis.select(*columns, F.lit(1).alias("side"))
     )
-    laddered = both.withColumn(
-        "tolerance", F.explode(F.array(*[F.lit(t).cast("bigint") for t in tolerances]))
-    )
+    ladder = F.explode(F.array(*[F.lit(t).cast("bigint") for t in tolerances]))
+    laddered = both.withColumn("tolerance", ladder)
     keys = [MEDIA, "speaker", "tolerance"]
     order = ["start", "end", "side", "seg_idx"]
     seen = running(laddered, keys, order, layout, _previous=lag(F.col("start")))
@@ -425,4 +432,6 @@ def match_intervals(
         .sortWithinPartitions(*keys, "stretch", *order)
         .mapInPandas(match, f"{MEDIA} bigint, tolerance bigint, matched bigint")
     )
-    return matched.groupBy(MEDIA, "tolerance").agg(F.sum("matched").alias("matched"))
+    every = both.select(MEDIA).distinct().withColumn("tolerance", ladder)
+    counted = matched.groupBy(MEDIA, "tolerance").agg(F.sum("matched").alias("matched"))
+    return every.join(counted, [MEDIA, "tolerance"], "left").fillna(0, ["matched"])

@@ -333,7 +333,26 @@ def collar_exclusion(spark, sf):
     return I.outside_collars(points, bounds, 900_000_000, layout)
 
 
-@query("greedy_boundary_matches", "JN-09 UD-05")
+def turn_starts(source: str) -> str:
+    """Starts of segments whose speaker differs from the previous one's, numbered in order."""
+    return f"""SELECT media_id, "start" AS p, row_number() OVER (PARTITION BY media_id ORDER BY "start") AS k FROM (
+   SELECT media_id, "start", speaker, lag(speaker) OVER (PARTITION BY media_id ORDER BY "start", "end", seg_idx) AS q FROM {source}) WHERE q <> speaker"""
+
+
+#: One hypothesis boundary of every recording at a time: the nearest reference boundary that none has taken.
+GREEDY = f"""WITH RECURSIVE {V.SEGMENTS}, {V.VALID}, {V.HYPOTHESIS}, br AS MATERIALIZED ({turn_starts("v_val")}), bh AS MATERIALIZED ({turn_starts("v_hyp")}),
+ gs AS (SELECT DISTINCT media_id, 0::BIGINT AS k, []::BIGINT[] AS used, NULL::BIGINT AS err FROM bh
+  UNION ALL SELECT media_id, k, CASE WHEN b IS NULL THEN used ELSE list_append(used, b.j) END, b.e FROM (
+   SELECT gs.media_id, bh.k, any_value(used) AS used, min(CASE WHEN br.k IS NOT NULL THEN {{'e': abs(br.p - bh.p), 'j': br.k}} END) AS b
+   FROM gs JOIN bh ON bh.media_id = gs.media_id AND bh.k = gs.k + 1
+   LEFT JOIN br ON br.media_id = gs.media_id AND abs(br.p - bh.p) <= 120000000 AND NOT list_contains(used, br.k) GROUP BY 1, 2))"""
+
+
+@query(
+    "greedy_boundary_matches",
+    "JN-09 UD-05",
+    f"""{GREEDY} SELECT media_id, count(*) AS matched, max(err) AS largest_error FROM gs WHERE err IS NOT NULL GROUP BY 1""",
+)
 def greedy_boundary_matches(spark, sf):
     layout = V.events_layout(spark, sf)
     reference = I.change_boundaries(V.valid_segments(spark, sf), layout)
@@ -343,7 +362,20 @@ def greedy_boundary_matches(spark, sf):
     )
 
 
-@query("greedy_interval_matches", "JN-10")
+@query(
+    "greedy_interval_matches",
+    "JN-10 UD-05",
+    f"""WITH RECURSIVE {V.SEGMENTS}, {V.VALID}, {V.HYPOTHESIS}, tl AS (SELECT unnest([60000000, 180000000])::BIGINT AS tol),
+ ir AS MATERIALIZED (SELECT media_id, substr(speaker, 1, 2) AS sp, "start" AS s, "end" AS e, row_number() OVER (PARTITION BY media_id, substr(speaker, 1, 2) ORDER BY "start", "end", seg_idx) AS k FROM v_val),
+ ih AS MATERIALIZED (SELECT media_id, substr(speaker, 3, 2) AS sp, "start" AS s, "end" AS e, row_number() OVER (PARTITION BY media_id, substr(speaker, 3, 2) ORDER BY "start", "end", seg_idx) AS k FROM v_hyp),
+ gs AS (SELECT DISTINCT media_id, sp, tol, 0::BIGINT AS k, []::BIGINT[] AS used, false AS met FROM ir, tl
+  UNION ALL SELECT media_id, sp, tol, k, CASE WHEN b IS NULL THEN used ELSE list_append(used, b.j) END, b IS NOT NULL FROM (
+   SELECT gs.media_id, gs.sp, tol, ir.k, any_value(used) AS used, min(CASE WHEN ih.k IS NOT NULL THEN {{'c': abs(ih.s - ir.s) + abs(ih.e - ir.e), 'j': ih.k}} END) AS b
+   FROM gs JOIN ir ON ir.media_id = gs.media_id AND ir.sp = gs.sp AND ir.k = gs.k + 1
+   LEFT JOIN ih ON ih.media_id = gs.media_id AND ih.sp = gs.sp AND abs(ih.s - ir.s) <= tol AND abs(ih.e - ir.e) <= tol AND NOT list_contains(used, ih.k) GROUP BY 1, 2, 3, 4))
+ SELECT m.media_id, tol AS tolerance, count(*) FILTER (WHERE gs.met) AS matched FROM (SELECT media_id FROM v_val UNION SELECT media_id FROM v_hyp) m CROSS JOIN tl
+  LEFT JOIN gs USING (media_id, tol) GROUP BY 1, 2""",
+)
 def greedy_interval_matches(spark, sf):
     layout = V.events_layout(spark, sf)
     reference = V.valid_segments(spark, sf).withColumn("speaker", F.substring("speaker", 1, 2))

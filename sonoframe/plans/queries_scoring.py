@@ -10,6 +10,7 @@ from sonoframe.operators import intervals as I
 from sonoframe.operators import repeats, scoring, transcripts
 from sonoframe.operators import statistics as S
 from sonoframe.plans import views as V
+from sonoframe.plans.queries_intervals import GREEDY
 from sonoframe.plans.registry import query
 from sonoframe.plans.views import HOUR
 
@@ -149,13 +150,22 @@ def single_speaker_best_label(spark, sf):
     )
 
 
-@query("boundary_scores", "JN-09 ST-02 ST-06")
+@query(
+    "boundary_scores",
+    "JN-09 ST-02 ST-06",
+    f"""{GREEDY}, er AS (SELECT media_id, err, row_number() OVER (PARTITION BY media_id ORDER BY err) - 1 AS r, count(*) OVER (PARTITION BY media_id) AS n FROM gs WHERE err IS NOT NULL),
+ st AS (SELECT media_id, any_value(n) AS matched, median(err) AS median_error, max(err) FILTER (WHERE r = CAST(ceil(n * 0.95::DOUBLE) AS BIGINT) - 1) AS p95_error FROM er GROUP BY 1),
+ nr AS (SELECT media_id, count(*) AS reference_count FROM br GROUP BY 1), nh AS (SELECT media_id, count(*) AS hypothesis_count FROM bh GROUP BY 1),
+ cn AS (SELECT media_id, coalesce(reference_count, 0) AS reference_count, coalesce(hypothesis_count, 0) AS hypothesis_count, coalesce(matched, 0) AS matched, median_error, p95_error
+  FROM nr FULL JOIN nh USING (media_id) LEFT JOIN st USING (media_id))
+ SELECT *, {rates("matched", "(hypothesis_count - matched)", "(reference_count - matched)")} FROM cn""",
+)
 def boundary_scores(spark, sf):
     layout = V.events_layout(spark, sf)
     reference = I.change_boundaries(V.valid_segments(spark, sf), layout)
     found = I.change_boundaries(V.hypothesis(spark, sf), layout)
     matches = I.match_boundaries(reference, found, 120_000_000, layout)
-    return scoring.boundary_scores(matches, reference, found, layout)
+    return rounded(scoring.boundary_scores(matches, reference, found, layout))
 
 
 def repeat_halves(spark, sf):
