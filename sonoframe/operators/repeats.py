@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sonoframe.operators.intervals import ordered_text
+from sonoframe.operators.digests import CHUNK, sequence_digests
 from sonoframe.operators.scan import SINGLE, Layout, row_index, running
 from sonoframe.session import cut
 
@@ -29,22 +29,15 @@ def repeat_windows(segments: DataFrame, period: int, repeats: int) -> DataFrame:
     )
 
 
-def window_fingerprints(windowed: DataFrame, layout: Layout) -> DataFrame:
+def window_fingerprints(windowed: DataFrame, layout: Layout, chunk: int = CHUNK) -> DataFrame:
     """Per (recording, window): segment count, digest of the rebased segments, digest of the texts."""
-    keys = [MEDIA, "window_idx"]
+    columns = {
+        "segments_sha256": F.to_json(F.struct("end", "speaker", "start", "text")),
+        "texts_sha256": F.to_json(F.struct("text")),
+    }
     order = ["start", "end", "seg_idx"]
-    described = windowed.select(
-        *keys, *order, F.to_json(F.struct("end", "speaker", "start", "text")).alias("_item"), "text"
-    )
-    items = ordered_text(described.withColumn("text", F.col("_item")), keys, order, ",", layout)
-    texts = ordered_text(
-        described.withColumn("text", F.to_json(F.struct("text"))), keys, order, ",", layout
-    )
-    counts = described.groupBy(*keys).agg(F.count("*").alias("segment_count"))
-    return (
-        counts.join(items.select(*keys, F.sha2("text", 256).alias("segments_sha256")), keys)
-        .join(texts.select(*keys, F.sha2("text", 256).alias("texts_sha256")), keys)
-    )
+    found = sequence_digests(windowed, [MEDIA, "window_idx"], order, columns, layout, chunk)
+    return found.withColumnRenamed("items", "segment_count")
 
 
 def fingerprints_agree(fingerprints: DataFrame) -> DataFrame:

@@ -478,6 +478,84 @@ def token_sequence_comparison(spark, sf):
     return C.token_sequences(turns.join(other, ["conv_id", "turn"]), ["conv_id"])
 
 
+def delta_sql(bound: str) -> str:
+    """count, mean, upper median, capped rounded p95 and maximum of a column x ranked by r among n."""
+    pick = lambda rank: f"round_even(max(x) FILTER (WHERE bound = '{bound}' AND r = {rank}), 4)"
+    return f"""max(n) FILTER (WHERE bound = '{bound}') AS {bound}_count, round_even(avg(x) FILTER (WHERE bound = '{bound}'), 4) AS {bound}_mean,
+   {pick("n // 2")} AS {bound}_median, {pick("least(n - 1, CAST(round_even((n - 1) * 0.95::DOUBLE, 0) AS BIGINT))")} AS {bound}_p95,
+   round_even(max(x) FILTER (WHERE bound = '{bound}'), 4) AS {bound}_max"""
+
+
+@query(
+    "word_bound_deltas",
+    "CP-03 AG-20",
+    rf"""WITH w AS (SELECT conv_id, turn, len(regexp_split_to_array(text, '\s+')) AS n FROM conversations),
+ p AS (SELECT conv_id, turn, unnest(range(n)) AS k FROM w WHERE turn % 4 <> 3),
+ d AS (SELECT conv_id, 'start' AS bound, (k * (turn + 2)) % 37 * 10 AS x FROM p UNION ALL SELECT conv_id, 'end', (k * (turn + 2)) % 37 * 10 + 5 * (k % 3) FROM p),
+ o AS (SELECT *, row_number() OVER (PARTITION BY conv_id, bound ORDER BY x) - 1 AS r, count(*) OVER (PARTITION BY conv_id, bound) AS n FROM d)
+ SELECT conv_id, {delta_sql("start")}, {delta_sql("end")} FROM o GROUP BY 1""",
+)
+def word_bound_deltas(spark, sf):
+    """Words of each turn, and a second alignment of them that is late; of every fourth turn it lacks a word."""
+    turns = V.table(spark, sf, "conversations")
+    places = F.sequence(F.lit(0).cast("bigint"), F.size(F.split("text", r"\s+")).cast("bigint") - 1)
+    late = lambda k: (k * (F.col("turn") + 2)) % 37 * 10
+    pairs = turns.select("conv_id", "turn", places.alias("k")).select(
+        "conv_id",
+        F.transform("k", lambda k: k * 400).alias("starts"),
+        F.transform("k", lambda k: k * 400 + 300).alias("ends"),
+        F.transform("k", lambda k: k * 400 + late(k)).alias("s"),
+        F.transform("k", lambda k: k * 400 + 300 + late(k) + 5 * (k % 3)).alias("e"),
+        (F.col("turn") % 4 == 3).alias("short"),
+    )
+    less = lambda c: F.when(F.col("short"), F.slice(c, 2, F.size(c))).otherwise(F.col(c))
+    both = pairs.select("conv_id", "starts", "ends", less("s").alias("other_starts"), less("e").alias("other_ends"))
+    layout = V.measure_layout(turns, ["conv_id"], F.col("turn"), 1)
+    return C.word_bound_deltas(both, ["conv_id"], layout)
+
+
+@query(
+    "segment_text_comparison",
+    "CP-04 SC-15 AG-20",
+    f"""WITH a AS (SELECT conv_id AS media_id, turn AS seg_idx, turn * 1000 AS "start", turn * 1000 + 900 AS "end", role AS speaker, text FROM conversations),
+ b AS (SELECT media_id, seg_idx, "start" + CASE WHEN media_id % 2 = 0 THEN seg_idx % 4 * 10 ELSE 0 END AS "start", "end" + CASE WHEN media_id % 2 = 0 THEN seg_idx % 3 * 20 ELSE 0 END AS "end",
+   speaker, CASE WHEN media_id % 3 = 0 AND seg_idx % 3 = 1 THEN text || '.' ELSE text END AS text FROM a WHERE media_id % 5 <> 4 OR seg_idx <> 2),
+ x AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY "start", "end", seg_idx) AS i, sha256(to_json({{'end': "end", 'speaker': speaker, 'start': "start", 'text': text}})) AS h FROM a),
+ y AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY "start", "end", seg_idx) AS i, sha256(to_json({{'end': "end", 'speaker': speaker, 'start': "start", 'text': text}})) AS h FROM b),
+ xs AS (SELECT media_id, count(*) AS left_segments, sha256(string_agg(h, '' ORDER BY i)) AS left_sha256 FROM x GROUP BY 1),
+ ys AS (SELECT media_id, count(*) AS right_segments, sha256(string_agg(h, '' ORDER BY i)) AS right_sha256 FROM y GROUP BY 1),
+ z AS (SELECT x.media_id, abs(x."start" - y."start") AS s, abs(x."end" - y."end") AS e, x.text = y.text AS t, x.speaker = y.speaker AS k FROM x JOIN y USING (media_id, i)),
+ m AS (SELECT media_id, count(*) AS paired, count(*) FILTER (WHERE t) AS identical_text, count(*) FILTER (WHERE k) AS identical_speaker FROM z GROUP BY 1),
+ d AS (SELECT media_id, 'start' AS bound, s AS x FROM z UNION ALL SELECT media_id, 'end', e FROM z),
+ o AS (SELECT *, row_number() OVER (PARTITION BY media_id, bound ORDER BY x) - 1 AS r, count(*) OVER (PARTITION BY media_id, bound) AS n FROM d),
+ q AS (SELECT media_id, {delta_sql("start")}, {delta_sql("end")} FROM o GROUP BY 1)
+ SELECT *, left_segments = right_segments AS segment_count_matches, left_sha256 = right_sha256 AS digest_matches,
+  left_segments = right_segments AND identical_text = paired AS text_sequences_identical FROM xs JOIN ys USING (media_id) JOIN m USING (media_id) JOIN q USING (media_id)""",
+)
+def segment_text_comparison(spark, sf):
+    """Conversations as segmentations, and a second one of each: every second one late, some with other texts, some short."""
+    media, k = F.col("media_id"), F.col("seg_idx")
+    turns = V.table(spark, sf, "conversations")
+    first = turns.select(
+        F.col("conv_id").alias("media_id"),
+        F.col("turn").alias("seg_idx"),
+        (F.col("turn") * 1000).alias("start"),
+        (F.col("turn") * 1000 + 900).alias("end"),
+        F.col("role").alias("speaker"),
+        "text",
+    )
+    late = media % 2 == 0
+    second = first.where((media % 5 != 4) | (k != 2)).withColumns(
+        {
+            "start": F.col("start") + F.when(late, k % 4 * 10).otherwise(0),
+            "end": F.col("end") + F.when(late, k % 3 * 20).otherwise(0),
+            "text": F.when((media % 3 == 0) & (k % 3 == 1), F.concat("text", F.lit("."))).otherwise(F.col("text")),
+        }
+    )
+    layout = V.measure_layout(first, ["media_id"], F.col("start"), 100_000)
+    return C.segment_texts(first, second, layout)
+
+
 @query(
     "segment_sequence_comparison",
     "CP-04 AG-26",

@@ -16,7 +16,8 @@ def parse_eaf(documents: DataFrame) -> DataFrame:
     """Aligned annotations of ``(path, xml)`` documents with their slot times in milliseconds.
 
     Slots resolve inside the document, so nothing is shuffled. Of a repeated slot the last value counts, and ``error``
-    marks the annotations that use it; it also marks unresolved slots, and one row stands for a document without tiers.
+    marks the annotations that use it; it also marks unresolved slots and intervals that a tier holds more than once, and
+    one row stands for a document without tiers.
     """
     parsed = documents.withColumn("_d", F.from_xml("xml", EAF))
     usable = F.reverse(
@@ -31,48 +32,51 @@ def parse_eaf(documents: DataFrame) -> DataFrame:
         F.transform(usable, lambda s: s["_TIME_SLOT_ID"]).alias("_ids"),
         F.explode(F.coalesce("_d.TIER", F.array(F.lit(None)))).alias("_t"),
     ).withColumn("_ids_forward", F.reverse("_ids"))
-    notes = tiers.select(
-        "*",
-        F.col("_t._TIER_ID").alias("tier"),
-        F.explode(
-            F.when(F.col("_t").isNull(), F.array(F.lit(None))).otherwise(F.col("_t.ANNOTATION.ALIGNABLE_ANNOTATION"))
-        ).alias("_a"),
-    ).where("_a IS NOT NULL OR _t IS NULL")
 
-    def slot(reference: str) -> Column:
-        return F.get("_slots", F.array_position("_ids", F.col(reference)) - 1)["_TIME_VALUE"]
+    def slot(reference: Column) -> Column:
+        return F.get("_slots", F.array_position("_ids", reference) - 1)["_TIME_VALUE"]
 
-    def repeated(reference: str) -> Column:
+    def repeated(reference: Column) -> Column:
         # First from the front and first from the back are the same place unless the slot is repeated.
-        places = F.array_position("_ids", F.col(reference)) + F.array_position("_ids_forward", F.col(reference))
+        places = F.array_position("_ids", reference) + F.array_position("_ids_forward", reference)
         return F.coalesce(places != F.size("_ids") + 1, F.lit(False))
 
-    start, end = "_a._TIME_SLOT_REF1", "_a._TIME_SLOT_REF2"
+    def placed(a: Column) -> Column:
+        start, end = a["_TIME_SLOT_REF1"], a["_TIME_SLOT_REF2"]
+        return F.struct(
+            F.struct(slot(start).alias("start_ms"), slot(end).alias("end_ms")).alias("at"),
+            (repeated(start) | repeated(end)).alias("repeated"),
+            a["_ANNOTATION_ID"].alias("annotation_id"),
+            F.trim(F.coalesce(a["ANNOTATION_VALUE"], F.lit(""))).alias("value"),
+        )
+
+    # Intervals that a tier holds more than once stand beside their equals when sorted.
+    notes = F.transform("_t.ANNOTATION.ALIGNABLE_ANNOTATION", placed)
+    sorted_ = tiers.withColumn("_notes", notes).withColumn("_sorted", F.sort_array("_notes.at"))
+    paired = F.arrays_zip(
+        F.slice("_sorted", F.lit(1), F.greatest(F.size("_sorted") - 1, F.lit(0))).alias("a"),
+        F.slice("_sorted", F.lit(2), F.greatest(F.size("_sorted") - 1, F.lit(0))).alias("b"),
+    )
+    twice = F.array_distinct(F.transform(F.filter(paired, lambda p: p["a"] == p["b"]), lambda p: p["a"]))
+    each = (
+        sorted_.withColumn("_twice", twice)
+        .withColumn("_a", F.explode(F.when(F.col("_t").isNull(), F.array(F.lit(None))).otherwise(F.col("_notes"))))
+        .where("_a IS NOT NULL OR _t IS NULL")
+    )
     error = (
         F.when(F.col("_t").isNull(), "unparseable_document")
-        .when(F.col("start_ms").isNull() | F.col("end_ms").isNull(), "unresolved_time_slot")
-        .when(repeated(start) | repeated(end), "repeated_time_slot")
-    )
-    return (
-        notes.withColumns({"start_ms": slot(start), "end_ms": slot(end)})
-        .withColumn("error", error)
-        .select(
-            "path",
-            "tier",
-            F.col("_a._ANNOTATION_ID").alias("annotation_id"),
-            "start_ms",
-            "end_ms",
-            F.trim(F.coalesce("_a.ANNOTATION_VALUE", F.lit(""))).alias("value"),
-            "error",
-        )
+        .when(F.col("_a.at.start_ms").isNull() | F.col("_a.at.end_ms").isNull(), "unresolved_time_slot")
+        .when(F.col("_a.repeated"), "repeated_time_slot")
+        .when(F.array_contains("_twice", F.col("_a.at")), "duplicate_interval")
     )
-
-
-def duplicate_intervals(annotations: DataFrame) -> DataFrame:
-    return (
-        annotations.groupBy("path", "tier", "start_ms", "end_ms")
-        .agg(F.count("*").alias("copies"))
-        .where("copies > 1")
+    return each.select(
+        "path",
+        F.col("_t._TIER_ID").alias("tier"),
+        "_a.annotation_id",
+        "_a.at.start_ms",
+        "_a.at.end_ms",
+        F.when(F.col("_a").isNull(), F.lit("")).otherwise(F.col("_a.value")).alias("value"),
+        error.alias("error"),
     )
 
 

@@ -59,9 +59,9 @@ EAF = """<ANNOTATION_DOCUMENT><TIME_ORDER><TIME_SLOT TIME_SLOT_ID="t1" TIME_VALU
 def test_eaf(spark):
     out = N.parse_eaf(spark.createDataFrame([("x", EAF)], "path string, xml string"))
     rows = {r.annotation_id: r for r in out.collect()}
-    assert (rows["a1"].start_ms, rows["a1"].end_ms, rows["a1"].value, rows["a1"].error) == (10, 20, "你好", None)
+    assert (rows["a1"].start_ms, rows["a1"].end_ms, rows["a1"].value, rows["a1"].error) == (10, 20, "你好", "duplicate_interval")
     assert rows["a2"].error == "unresolved_time_slot" and rows["a3"].value == ""
-    assert [r.copies for r in N.duplicate_intervals(out).collect()] == [2]
+    assert sorted(r.annotation_id for r in out.collect() if r.error == "duplicate_interval") == ["a1", "a3"]
 
 
 GRID = '''File type = "ooTextFile"
