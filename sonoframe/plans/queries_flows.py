@@ -10,7 +10,7 @@ from sonoframe.operators import levels as M
 from sonoframe.plans import inspection
 from sonoframe.plans import signals as G
 from sonoframe.plans import views as V
-from sonoframe.plans.queries_signal import db, loud_regions, loud_signal, r6, signal_layout
+from sonoframe.plans.queries_signal import LOUD_MACHINE, db, loud_regions, loud_signal, r6, signal_layout
 from sonoframe.plans.queries_spectrum import blended_sql
 from sonoframe.plans.registry import query
 from sonoframe.session import cut
@@ -30,6 +30,35 @@ def inspect_recordings(spark, sf):
     return inspection.evaluations(*analysed(spark, sf))
 
 
+@query(
+    "inspection_observations",
+    "RU-01 AG-01 AG-08 AG-27 AG-28",
+    f"""WITH RECURSIVE {LOUD_MACHINE}, {G.spectrum_sql(G.RATE, 32, 48)}, {G.loudness_sql(filters.weighting(G.RATE), 8)},
+ v_wm AS (SELECT media_id, {db("sum(l * l)", "count(*)")} AS lr, {db("sum(r * r)", "count(*)")} AS rr, corr(l, r) AS co FROM v_s GROUP BY 1),
+ v_du AS (SELECT media_id, count(*) AS c, sum(e - s) / {G.RATE} AS d FROM v_sp GROUP BY 1)
+ SELECT media_id, 'channel_001' AS observation_id, 'channel_level_difference' AS type, round(lr, 3) AS left_rms_dbfs, round(rr, 3) AS right_rms_dbfs, round(lr - rr, 3) AS difference_db,
+  round(co, 6) AS correlation FROM v_wm
+ UNION ALL BY NAME SELECT media_id, 'environment_001' AS observation_id, 'speech_environment_spectrum' AS type, round(subbass_ratio, 6) AS subbass_power_ratio,
+  round(hum_excess_db, 3) AS maximum_hum_excess_db, round(dc_offset, 9) AS dc_offset, round(nf, 3) AS estimated_noise_floor_dbfs FROM v_en JOIN v_th USING (media_id)
+ UNION ALL BY NAME SELECT media_id, 'speech_001' AS observation_id, 'speech_program_level' AS type, 'speech_program' AS region_id, round(sl, 3) AS measured_rms_dbfs,
+  round(greatest(nf + 15, sl + 3, -55), 3) AS non_speech_program_detection_threshold_dbfs, c AS detected_region_count, round(d, 6) AS detected_duration_seconds FROM v_th JOIN v_du USING (media_id)
+ UNION ALL BY NAME SELECT media_id, 'program_001' AS observation_id, 'program_loudness' AS type, round(integrated_lufs, 3) AS integrated_loudness_lufs, round(loudness_range, 3) AS loudness_range_lu,
+  round(true_peak, 3) AS true_peak_dbtp FROM v_ld
+ UNION ALL BY NAME SELECT media_id, 'level_' || substr(region_id, 15) AS observation_id, 'regional_level_difference' AS type, region_id, round(s / {G.RATE}, 6) AS "start", round(e / {G.RATE}, 6) AS "end",
+  round(lv, 3) AS measured_rms_dbfs, round(difference_db, 3) AS difference_db, overlaps_speech AS overlaps_reference FROM v_m""",
+)
+def inspection_observations(spark, sf):
+    measures, regions, programme = analysed(spark, sf)
+    return inspection.observation_rows(measures, regions, G.speech(spark, sf), programme, G.RATE)
+
+
+@query("inspection_reports", "RU-01 SC-15 SNK-01")
+def inspection_reports(spark, sf):
+    measures, regions, programme = analysed(spark, sf)
+    reports = inspection.inspection_reports(measures, regions, G.speech(spark, sf), programme, G.RATE)
+    return reports.select("media_id", "sha256", F.size("report.observations").alias("observations"), F.size("report.regions").alias("regions"))
+
+
 @query("stage_decisions", "RU-03 RU-04 RU-05 RU-07 RU-11 RU-15 FLT-10")
 def stage_decisions(spark, sf):
     return inspection.stage_decisions(*analysed(spark, sf))

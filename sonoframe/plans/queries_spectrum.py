@@ -16,11 +16,17 @@ from sonoframe.plans.registry import query
 RATE = 400
 
 
-@query("speech_spectrum", "AG-27")
+@query(
+    "speech_spectrum",
+    "AG-27",
+    f"""WITH {G.SAMPLES}, {G.SPEECH}, {G.spectrum_sql(RATE, 40, 48)}
+ SELECT media_id, round(subbass_ratio, 6) AS subbass_ratio, round(hum_excess_db, 6) AS hum_excess_db, round(dc_offset, 6) AS dc_offset FROM v_en""",
+)
 def speech_spectrum(spark, sf):
     samples = G.samples(spark, sf)
     layout = signal_layout(samples)
-    return S.speech_spectrum(samples, G.speech(spark, sf), RATE, G.CHUNK, layout, segment=32, minimum=48)
+    found = S.speech_spectrum(samples, G.speech(spark, sf), RATE, G.CHUNK, layout, segment=40, minimum=48)
+    return r6(found, "subbass_ratio", "hum_excess_db", "dc_offset")
 
 
 @query(
@@ -59,10 +65,16 @@ def gated_loudness(spark, sf):
     return r6(P.integrated(P.block_power(frames, 8, 4)), "integrated_lufs", "threshold_lufs")
 
 
-@query("program_loudness", "AG-28")
+@query(
+    "program_loudness",
+    "AG-28",
+    f"""WITH RECURSIVE {G.SAMPLES}, {G.loudness_sql(B.weighting(G.RATE), 8)} SELECT media_id, round(integrated_lufs, 5) AS integrated_lufs, round(threshold_lufs, 5) AS threshold_lufs,
+ round(loudness_range, 5) AS loudness_range, round(true_peak, 5) AS true_peak FROM v_ld""",
+)
 def program_loudness(spark, sf):
     samples = G.samples(spark, sf)
-    return P.program_loudness(samples, G.RATE, signal_layout(samples))
+    found = P.program_loudness(samples, G.RATE, signal_layout(samples))
+    return found.withColumns({c: F.round(c, 5) for c in found.columns if c != "media_id"})
 
 
 SECTIONS = [B.highpass(2.0, G.RATE), B.notch(12.0, G.RATE), B.peaking(3.0, 20.0, 0.9, G.RATE)]
