@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -15,10 +16,11 @@ from sonoframe.operators import comparison, quality, rules, telemetry
 from sonoframe.operators.scan import lag, running
 from sonoframe.plans import views as V
 from sonoframe.plans.registry import query
+from sonoframe.session import checkpoint_root
 from sonoframe.sources import adjustments as A
 from sonoframe.sources import annotations as N
 from sonoframe.sources import catalog as K
-from sonoframe.sources import media, sinks
+from sonoframe.sources import media, pcm, sinks
 
 
 @query(
@@ -44,25 +46,30 @@ def stereo_wav(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-@query(
-    "pcm_ingest",
-    "SRC-02",
-    """WITH p AS (SELECT a.vec_id, unnest(a.embedding) AS x, unnest(b.embedding) AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 AND a.vec_id % 2 = 0)
+PCM_SUMS = """WITH p AS (SELECT a.vec_id, unnest(a.embedding) AS x, unnest(b.embedding) AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 AND a.vec_id % 2 = 0)
  SELECT 'wav/' || vec_id AS path, CASE WHEN vec_id % 14 = 0 THEN 'short_read' END AS error, CASE WHEN vec_id % 14 <> 0 THEN 64 END AS samples,
  CASE WHEN vec_id % 14 <> 0 THEN CAST(sum(round_even(x * 32767.0::FLOAT, 0)) AS BIGINT) END AS left_sum,
- CASE WHEN vec_id % 14 <> 0 THEN CAST(sum(round_even(y * 32767.0::FLOAT, 0)) AS BIGINT) END AS right_sum FROM p GROUP BY vec_id""",
-)
+ CASE WHEN vec_id % 14 <> 0 THEN CAST(sum(round_even(y * 32767.0::FLOAT, 0)) AS BIGINT) END AS right_sum FROM p GROUP BY vec_id"""
+
+
+@query("pcm_ingest", "SRC-02", PCM_SUMS)
 def pcm_ingest(spark, sf):
+    return sample_sums(media.parse_wav(wave_files(spark, sf), chunk_seconds=0.25))
+
+
+def wave_files(spark, sf):
+    """A stereo file of each pair of vectors; every seventh one is cut short."""
     vectors = V.table(spark, sf, "embeddings").select("vec_id", "embedding")
     right = vectors.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
     paired = vectors.where("vec_id % 2 = 0").join(right, "vec_id")
     content = stereo_wav("embedding", "other")
-    files = paired.select("vec_id", content.alias("content")).select(
+    return paired.select("vec_id", content.alias("content")).select(
         F.concat(F.lit("wav/"), "vec_id").alias("path"),
         F.when(F.col("vec_id") % 14 == 0, F.expr("substring(content, 1, 100)")).otherwise(F.col("content")).alias("content"),
     )
-    chunks = media.parse_wav(files, chunk_seconds=0.25)
 
+
+def sample_sums(chunks):
     def level(channel):
         return F.aggregate(
             channel, F.lit(0).cast("bigint"), lambda a, x: a + F.round(x.cast("double") * 32768).cast("bigint")
@@ -73,6 +80,16 @@ def pcm_ingest(spark, sf):
     ).select("path", "error", F.when(F.col("error").isNull(), F.col("_n")).alias("samples"), "left_sum", "right_sum")
 
 
+@query("pcm_file_ranges", "SRC-02", PCM_SUMS)
+def pcm_file_ranges(spark, sf):
+    """The same files written to the shared folder and read back in ranges of 100 bytes."""
+    folder = f"{checkpoint_root(spark)}/waves-{uuid.uuid4().hex}"
+    named = wave_files(spark, sf).select(F.concat(F.substring_index("path", "/", -1), F.lit(".wav")).alias("name"), "content")
+    sinks.write_files(named, folder)
+    sums = sample_sums(pcm.read_pcm(spark, folder, "*.wav", chunk_seconds=0.25, range_bytes=100))
+    return sums.withColumn("path", F.regexp_extract("path", r"([^/]*)\.wav$", 1)).withColumn("path", F.concat(F.lit("wav/"), "path"))
+
+
 @query(
     "probe_facts",
     "SRC-03 SRC-04",

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sonoframe.functions.fingerprint import canonical
+from sonoframe.session import cut
+from sonoframe.sources.pcm import located
 
 
 def report_json(document: str, schema: T.DataType) -> Column:
@@ -34,3 +40,25 @@ def write_jsonl(segments: DataFrame, path: str, replace: bool = False) -> None:
     """One segment object per line in (recording, start) order, range-partitioned over the files."""
     mode = "overwrite" if replace else "errorifexists"
     segments.orderBy("media_id", "start").write.mode(mode).json(path)
+
+
+def write_files(files: DataFrame, folder: str) -> DataFrame:
+    """Files of ``(name, content)`` rows below a folder every executor reaches; returns ``(name, bytes)``, one row each.
+
+    A file is written under a name of its own attempt and then renamed, so a task that runs again leaves the same files.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = located(folder)
+        system.create_dir(root, recursive=True)
+        for batch in batches:
+            sizes = []
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                draft = f"{root}/.{uuid.uuid4().hex}"
+                with system.open_output_stream(draft) as out:
+                    out.write(content.as_buffer())
+                system.move(draft, f"{root}/{name}")
+                sizes.append(len(content.as_buffer()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], ["name", "bytes"])
+
+    return cut(files.select("name", "content").mapInArrow(write, "name string, bytes bigint"))

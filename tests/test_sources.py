@@ -13,7 +13,7 @@ from sonoframe.operators.scan import SINGLE, Layout
 from sonoframe.sources import adjustments as A
 from sonoframe.sources import annotations as N
 from sonoframe.sources import catalog as K
-from sonoframe.sources import media, sinks
+from sonoframe.sources import media, pcm, sinks
 
 
 def wav(values, rate=16_000, channels=1, width=2):
@@ -50,6 +50,36 @@ def test_wav_files_from_disk(spark, tmp_path):
     assert media.inventory(files).where("length(sha256) = 64").count() == 5
 
 
+def test_ranges_of_files_give_the_rows_of_whole_files(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    for k, (n, channels) in enumerate([(0, 1), (1, 1), (999, 1), (5000, 2), (16_000, 2)]):
+        (tmp_path / f"f{k}.wav").write_bytes(wav(rng.integers(-9999, 9999, n * channels), rate=1000 * (k + 1), channels=channels))
+    listed = wav(range(100))
+    extra = listed[:12] + b"LIST" + (5).to_bytes(4, "little") + b"abcde\0" + listed[12:] + b"tail" + (2).to_bytes(4, "little") + b"zz"
+    (tmp_path / "list.wav").write_bytes(extra)
+    (tmp_path / "bytes.wav").write_bytes(wav([1, 2, 3], width=1))
+    (tmp_path / "cut.wav").write_bytes(wav(range(900))[:500])
+    (tmp_path / "text.wav").write_bytes(b"version https://pointer")
+    (tmp_path / "empty.wav").write_bytes(b"")
+
+    def plain(df):
+        return sorted((tuple(map(lambda v: tuple(v) if isinstance(v, list) else v, r)) for r in df.collect()), key=repr)
+
+    whole = plain(media.parse_wav(media.read_files(spark, str(tmp_path), "*.wav"), 0.25))
+    for size in (37, 1000, 1 << 20):
+        assert plain(pcm.read_pcm(spark, str(tmp_path), "*.wav", 0.25, range_bytes=size)) == whole
+    assert len({r[0] for r in whole if r[-1]}) == 3 and len(whole) > 10
+    wrong = pcm.read_pcm(spark, str(tmp_path), "f4.wav", rate=8000, range_bytes=100).collect()
+    assert [r.error for r in wrong] == ["unexpected_sample_rate"]
+
+
+def test_written_files_read_back(spark, tmp_path):
+    files = spark.createDataFrame([(f"{k}.bin", bytearray(range(k)) * 100) for k in range(5)], "name string, content binary")
+    folder = str(tmp_path / "out")
+    assert {(r["name"], r["bytes"]) for r in sinks.write_files(files, folder).collect()} == {(f"{k}.bin", 100 * k) for k in range(5)}
+    assert {p.name: p.stat().st_size for p in (tmp_path / "out").glob("*.bin")} == {f"{k}.bin": 100 * k for k in range(5)}
+
+
 EAF = """<ANNOTATION_DOCUMENT><TIME_ORDER><TIME_SLOT TIME_SLOT_ID="t1" TIME_VALUE="10"/><TIME_SLOT TIME_SLOT_ID="t2" TIME_VALUE="20"/>
 <TIME_SLOT TIME_SLOT_ID="t3"/></TIME_ORDER><TIER TIER_ID="A"><ANNOTATION><ALIGNABLE_ANNOTATION ANNOTATION_ID="a1" TIME_SLOT_REF1="t1" TIME_SLOT_REF2="t2">
 <ANNOTATION_VALUE> 你好 </ANNOTATION_VALUE></ALIGNABLE_ANNOTATION></ANNOTATION><ANNOTATION><ALIGNABLE_ANNOTATION ANNOTATION_ID="a2" TIME_SLOT_REF1="t1" TIME_SLOT_REF2="t3">
