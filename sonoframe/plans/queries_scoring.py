@@ -15,6 +15,7 @@ from sonoframe.plans.registry import query
 from sonoframe.plans.views import HOUR
 
 FRAME = HOUR
+HALF = 360 * HOUR
 SEG = f"{V.SEGMENTS}, {V.VALID}, {V.HYPOTHESIS}"
 
 
@@ -169,7 +170,7 @@ def boundary_scores(spark, sf):
 
 
 def repeat_halves(spark, sf):
-    half = 360 * HOUR
+    half = HALF
     segs = V.valid_segments(spark, sf)
     first = I.clamped_to_window(segs, 0, half)
     second = I.clamped_to_window(segs, half, 2 * half).withColumn("speaker", F.concat(F.lit("x"), "speaker"))
@@ -177,10 +178,37 @@ def repeat_halves(spark, sf):
     return first, second, lengths
 
 
-@query("repeat_agreement", "AG-15")
+#: Every bijection of the labels heard in both halves, on distinct pairs of label sets.
+AGREEMENT = f"""WITH RECURSIVE {V.SEGMENTS}, {V.VALID},
+ ha AS (SELECT media_id, speaker, greatest("start", 0) AS s, least("end", {HALF}) AS e FROM v_val WHERE "start" < {HALF} AND "end" > 0),
+ hb AS (SELECT media_id, 'x' || speaker AS speaker, greatest("start", {HALF}) - {HALF} AS s, least("end", {2 * HALF}) - {HALF} AS e FROM v_val WHERE "start" < {2 * HALF} AND "end" > {HALF}),
+ md AS (SELECT media_id FROM ha UNION SELECT media_id FROM hb),
+ fr AS (SELECT media_id, f, f * {FRAME} + {FRAME // 2} AS t FROM md, (SELECT unnest(range({HALF // FRAME})) AS f)),
+ fa AS (SELECT fr.media_id, f, list_sort(list_distinct(list(speaker) FILTER (WHERE speaker IS NOT NULL))) AS r FROM fr LEFT JOIN ha ON ha.media_id = fr.media_id AND s <= t AND t < e GROUP BY 1, 2),
+ fb AS (SELECT fr.media_id, f, list_sort(list_distinct(list(speaker) FILTER (WHERE speaker IS NOT NULL))) AS h FROM fr LEFT JOIN hb ON hb.media_id = fr.media_id AND s <= t AND t < e GROUP BY 1, 2),
+ pt AS (SELECT media_id, coalesce(r, []) AS r, coalesce(h, []) AS h, count(*) AS n FROM fa JOIN fb USING (media_id, f) GROUP BY 1, 2, 3),
+ rl AS (SELECT DISTINCT media_id, unnest(r) AS l FROM pt), hl AS (SELECT media_id, list(l ORDER BY l) AS hs FROM (SELECT DISTINCT media_id, unnest(h) AS l FROM pt) GROUP BY 1),
+ nn AS (SELECT media_id, (SELECT count(*) FROM rl WHERE rl.media_id = md.media_id) AS nr, coalesce(hs, []) AS hs FROM md LEFT JOIN hl USING (media_id)),
+ cand AS (SELECT media_id, []::VARCHAR[] AS m FROM nn WHERE nr = len(hs)
+  UNION ALL SELECT c.media_id, list_append(c.m, rl.l) FROM cand c JOIN nn ON nn.media_id = c.media_id AND len(c.m) < nn.nr JOIN rl ON rl.media_id = c.media_id AND NOT list_contains(c.m, rl.l)),
+ mp AS (SELECT p.media_id, m, hs, n, r, list_transform(h, lambda x: m[list_position(hs, x)]) AS g FROM pt p JOIN cand c ON c.media_id = p.media_id JOIN nn ON nn.media_id = c.media_id AND len(m) = nr),
+ dn AS (SELECT *, len(r) + len(g) - 2 * len(list_intersect(r, g)) AS d FROM mp),
+ er AS (SELECT media_id, m, any_value(hs) AS hs, sum(n) AS tf, sum(n * d) AS ef, sum(n * len(r)) AS rf, sum(n) FILTER (WHERE d = 0) AS xf, sum(n) FILTER (WHERE len(r) + len(g) > 0) AS vf,
+   sum(n) FILTER (WHERE d = 0 AND len(r) > 0) AS vx, sum(n) FILTER (WHERE (len(r) > 0) = (len(g) > 0)) AS sa FROM dn GROUP BY 1, 2),
+ bs AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY ef, m) AS o FROM er)
+ SELECT media_id, 'ok' AS status, array_to_string(list_transform(hs, lambda x, i: x || '=' || m[i]), ',') AS mapping, CAST(tf AS BIGINT) AS total_frames, CAST(ef AS BIGINT) AS error_frames,
+  CAST(rf AS BIGINT) AS reference_frames, CAST(coalesce(xf, 0) AS BIGINT) AS exact_frames, CAST(coalesce(vf, 0) AS BIGINT) AS voiced_frames, CAST(coalesce(vx, 0) AS BIGINT) AS voiced_exact_frames,
+  CAST(coalesce(sa, 0) AS BIGINT) AS speech_agree_frames, round(ef / nullif(rf, 0), 6) AS frame_error_rate, round(coalesce(xf, 0) / tf, 6) AS exact_fraction,
+  round(coalesce(vx, 0) / nullif(coalesce(vf, 0), 0), 6) AS voiced_exact_fraction, round(coalesce(sa, 0) / tf, 6) AS speech_agreement FROM bs WHERE o = 1
+ UNION ALL BY NAME SELECT media_id, 'different_label_counts' AS status, {HALF // FRAME}::BIGINT AS total_frames FROM nn WHERE nr <> len(hs)"""
+
+
+@query("repeat_agreement", "AG-15", AGREEMENT)
 def repeat_agreement(spark, sf):
     layout = V.events_layout(spark, sf)
-    return scoring.repeat_agreement(*repeat_halves(spark, sf), FRAME, layout)
+    found = scoring.repeat_agreement(*repeat_halves(spark, sf), FRAME, layout)
+    rates = ("frame_error_rate", "exact_fraction", "voiced_exact_fraction", "speech_agreement")
+    return found.withColumns({c: F.round(c, 6) for c in rates})
 
 
 def turn_pairs(spark, sf):

@@ -783,7 +783,12 @@ def sentinel_speakers(spark, sf):
     return quality.sentinel_speakers(rows)
 
 
-@query("canonical_digests", "SC-15 SNK-01")
+@query(
+    "canonical_digests",
+    "SC-15 SNK-01",
+    """SELECT o_orderkey, report, sha256(report) AS sha256 FROM (SELECT o_orderkey,
+ '{"o_custkey":' || o_custkey || ',"o_orderstatus":"' || o_orderstatus || '","o_totalprice":' || CAST(o_totalprice AS VARCHAR) || '}' AS report FROM orders)""",
+)
 def canonical_digests(spark, sf):
     orders = V.table(spark, sf, "orders").select(
         "o_orderkey", F.struct("o_totalprice", "o_orderstatus", "o_custkey").alias("report")
@@ -796,7 +801,13 @@ def canonical_digests(spark, sf):
     )
 
 
-@query("operations_fingerprints", "SC-16")
+@query(
+    "operations_fingerprints",
+    "SC-16",
+    """SELECT o_orderkey, true AS agree, sha256('{"adjustments":[{"gain_db":' || o_orderkey % 5 || '}],"profile":{"name":"transcription","target_lufs":-23.0},"source_sha256":"'
+  || sha256(CAST(o_orderkey AS VARCHAR)) || '","stages":[{"name":"program-loudness","operations":[{"gain_db":' || o_orderkey % 7
+  || ',"type":"gain"}],"reason":"program_outside_profile_target","status":"applied"}]}') AS dry_sha256 FROM orders""",
+)
 def operations_fingerprints(spark, sf):
     """Same plan, with and without the codec correction only a render knows: the digests agree."""
     k = F.col("o_orderkey")
