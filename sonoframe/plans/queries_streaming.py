@@ -10,7 +10,7 @@ from sonoframe.operators import regions as R
 from sonoframe.operators import scorers
 from sonoframe.plans import signals as G
 from sonoframe.plans import views as V
-from sonoframe.plans.queries_regions import POLICY
+from sonoframe.plans.queries_regions import PADDED, POLICY, RAW_REGIONS
 from sonoframe.plans.queries_signal import signal_layout
 from sonoframe.plans.registry import query
 from sonoframe.streaming.regions import stream_regions, use_rocksdb
@@ -75,7 +75,20 @@ def stream_sliding_peaks(spark, sf):
     return whole_peaks(spark, sf, "24 hours", "6 hours")
 
 
-@query("stream_regions", "STR-1")
+#: Several scores at one minute are taken in their order; what is open at the end closes after its recording's last minute.
+STREAMED = (
+    RAW_REGIONS.removeprefix(V.SCORES)
+    .replace("ORDER BY frame_idx)", "ORDER BY frame_idx, prob ROWS UNBOUNDED PRECEDING)")
+    .replace("count(*) * 512 AS total", "(max(frame_idx) + 1) * 512 AS total")
+)
+
+
+@query(
+    "stream_regions",
+    "STR-1",
+    f"""WITH v_scores AS (SELECT user_id AS media_id, (epoch_us(ts) - 1704067200000000) // 60000000 AS frame_idx, least(value / 1e2, 1.0::DOUBLE) AS prob FROM events){STREAMED}
+ SELECT media_id, CAST(s AS BIGINT) AS "start", CAST(e AS BIGINT) AS "end" FROM v_raw""",
+)
 def stream_region_builder(spark, sf):
     """Events as frames: the frame number is the event's minute; events of one minute are all taken."""
     use_rocksdb(spark)
@@ -101,13 +114,21 @@ def pluggable_scorer(spark, sf):
     return frames.withColumn("prob", F.round("prob", 5))
 
 
-@query("scored_regions", "UD-01 RG-01 RG-03")
+SCORED = PADDED.removeprefix(V.SCORES).replace("512", "8").replace("4800", "24").replace("1600", "8").replace("1920", "4")
+
+
+@query(
+    "scored_regions",
+    "UD-01 RG-01 RG-03",
+    f"""WITH {G.SAMPLES}, f AS (SELECT media_id, i // 8 AS frame_idx, 20 * log10(sqrt(avg(m * m) + 1e-12)) AS lv FROM v_s GROUP BY 1, 2),
+ v_scores AS (SELECT media_id, frame_idx, 1 / (1 + exp(-(lv + 18) / 2)) AS prob FROM f){SCORED} SELECT media_id, CAST(s AS BIGINT) AS "start", CAST(e AS BIGINT) AS "end" FROM v_pad""",
+)
 def scored_regions(spark, sf):
     samples = G.samples(spark, sf)
     frames = scorers.score_frames(samples, scorers.energy_scorer(8, -18.0, 2.0), 8)
     policy = R.RegionPolicy(frame=8, min_speech=8, min_silence=24, pad=4, sample_rate=G.RATE)
     dense = V.tightened(signal_layout(samples), 8)
-    return R.speech_regions(frames, policy, dense, M.signal_sizes(samples))
+    return R.speech_regions(frames, policy, dense, M.signal_sizes(samples)).select("media_id", "start", "end")
 
 
 @query(
