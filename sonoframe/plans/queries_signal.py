@@ -162,16 +162,33 @@ def regional_measurements(spark, sf):
     return out.withColumns({n: F.round(n, 5) for n in names})
 
 
-@query("treatment_intervals", "RG-07 JN-04 JN-07")
+@query(
+    "treatment_intervals",
+    "RG-07 JN-04 JN-07",
+    f"""WITH {LOUD_MACHINE}, tz AS (SELECT media_id, max(i) + 1 AS n FROM v_s GROUP BY 1),
+ f2 AS (SELECT media_id, i // 2 AS f, 20 * log10(sqrt(sum(m * m) / 2 + 1e-12)) AS lv FROM v_s GROUP BY 1, 2),
+ ac AS (SELECT media_id, f FROM f2 JOIN v_th USING (media_id) WHERE f2.lv >= greatest(nf + 6, sl - 12)),
+ cg AS (SELECT *, CASE WHEN f - lag(f) OVER (PARTITION BY media_id ORDER BY f) - 1 <= 20 THEN 0 ELSE 1 END AS n FROM ac),
+ ci AS (SELECT media_id, f, sum(n) OVER (PARTITION BY media_id ORDER BY f) AS g FROM cg),
+ cl AS (SELECT media_id, min(f) * 2 AS s, least(any_value(n), (max(f) + 1) * 2) AS e FROM ci JOIN tz USING (media_id) GROUP BY media_id, g),
+ rg AS (SELECT media_id, region_id, s, e, n, (SELECT min(cl.s) FROM cl WHERE cl.media_id = r.media_id AND cl.s < r.e AND cl.e > r.s) AS fs,
+   (SELECT max(cl.e) FROM cl WHERE cl.media_id = r.media_id AND cl.s < r.e AND cl.e > r.s) AS le, (SELECT max(v_m.e) FROM v_m WHERE v_m.media_id = r.media_id AND v_m.e <= r.s) AS pe,
+   (SELECT min(v_m.s) FROM v_m WHERE v_m.media_id = r.media_id AND v_m.s >= r.e) AS ns FROM v_sp r JOIN tz USING (media_id)),
+ gr AS (SELECT *, CASE WHEN fs IS NULL THEN s / 80 ELSE greatest(s / 80 - 2, fs / 80) END AS a, CASE WHEN fs IS NULL THEN e / 80 ELSE least(e / 80 + 2, le / 80) END AS b FROM rg),
+ gd AS (SELECT *, CASE WHEN fs IS NULL THEN s / 80 ELSE least(s / 80, a - 0.08) END AS ts, CASE WHEN fs IS NULL THEN e / 80 ELSE greatest(e / 80, b + 0.08) END AS te FROM gr)
+ SELECT media_id, region_id, round(s / 80, 6) AS region_start, round(e / 80, 6) AS region_end, round(a, 6) AS acoustic_start, round(b, 6) AS acoustic_end,
+  round(greatest(0, least(greatest(ts, pe / 80 + 0.04), s / 80)), 6) AS treatment_start, round(least(n / 80, greatest(least(te, ns / 80 - 0.04), e / 80)), 6) AS treatment_end FROM gd""",
+)
 def treatment_intervals(spark, sf):
     samples, layout, regions = loud_regions(spark, sf)
     speech = G.speech(spark, sf)
     measures = M.noise_floor(M.frame_levels(samples, FRAME), layout).join(
         M.speech_levels(samples, speech, G.CHUNK, layout), "media_id"
     )
-    return M.treatment_intervals(
+    found = M.treatment_intervals(
         samples, speech, regions.select("media_id", "start", "end"), measures, profile("product-demo"), G.RATE, layout
     )
+    return r6(found, *(c for c in found.columns if c not in ("media_id", "region_id")))
 
 
 @query(
