@@ -366,7 +366,16 @@ def filler_counts(spark, sf):
     )
 
 
-@query("repetitions", "SC-09 AG-24")
+#: Neighbouring words that are equal but for case, with one to three separators between; of a longer run every second pair.
+REPEATED = r"""WITH t AS (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{M}\p{N}_'']+') AS w, regexp_split_to_array(text, '[\p{L}\p{M}\p{N}_'']+') AS s FROM documents),
+ p AS (SELECT doc_id, i, w[i] AS x, w[i + 1] AS y, s[i + 1] AS g FROM (SELECT doc_id, w, s, unnest(range(1, len(w))) AS i FROM t)),
+ k AS (SELECT doc_id, i, x || g || y AS span, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS run FROM p
+  WHERE lower(x) = lower(y) AND regexp_full_match(x, '[a-zA-Z'']+') AND regexp_full_match(g, '[\s\x{0b}\x{85}\x{a0},.’‘-]{1,3}')),
+ m AS (SELECT doc_id, span, i - min(i) OVER (PARTITION BY doc_id, run) AS o FROM k)
+ SELECT doc_id, count(*) AS repetitions, min(span) AS first_span FROM m WHERE o % 2 = 0 GROUP BY 1"""
+
+
+@query("repetitions", "SC-09 AG-24", REPEATED)
 def repetitions(spark, sf):
     spans = F.explode(X.repetitions(F.col("text"))).alias("span")
     return V.table(spark, sf, "documents").select("doc_id", spans).groupBy("doc_id").agg(
