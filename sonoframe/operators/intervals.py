@@ -37,13 +37,20 @@ def clamped_to_window(segments: DataFrame, window_start, window_end) -> DataFram
     )
 
 
-def half_counts(segments: DataFrame, recordings: DataFrame, period: int) -> DataFrame:
-    """Intervals that meet each of two repeats of ``period``, for every one of ``recordings``."""
-    halves = F.filter(
-        F.array(F.lit(0), F.lit(1)), lambda h: (F.col("start") < (h + 1) * F.lit(period)) & (F.col("end") > h * F.lit(period))
+def repeat_counts(segments: DataFrame, recordings: DataFrame, period: int, repeats: int = 2) -> DataFrame:
+    """Intervals that meet each of ``repeats`` repeats of ``period``, for every one of ``recordings``."""
+    numbers = F.sequence(F.lit(0), F.lit(repeats - 1))
+    first = F.greatest(F.lit(0), F.floor(F.col("start") / period))
+    # Only the repeats that an interval reaches are listed; one that ends where a repeat begins does not meet it.
+    last = F.least(F.lit(repeats - 1), F.ceil(F.col("end") / period) - 1)
+    reached = segments.withColumns({"_first": first.cast("int"), "_last": last.cast("int")}).where("_last >= _first")
+    met = (
+        reached.select(MEDIA, "start", "end", F.explode(F.sequence("_first", "_last")).alias("half"))
+        .where((F.col("start") < (F.col("half") + 1) * F.lit(period)) & (F.col("end") > F.col("half") * F.lit(period)))
+        .groupBy(MEDIA, "half")
+        .agg(F.count("*").alias("intervals"))
     )
-    met = segments.select(MEDIA, F.explode(halves).alias("half")).groupBy(MEDIA, "half").agg(F.count("*").alias("intervals"))
-    every = recordings.select(MEDIA, F.explode(F.array(F.lit(0), F.lit(1))).alias("half"))
+    every = recordings.select(MEDIA, F.explode(numbers).alias("half"))
     return every.join(met, [MEDIA, "half"], "left").fillna(0, ["intervals"])
 
 

@@ -50,7 +50,7 @@ PERIOD = 240 * HOUR
 )
 def repeat_interval_counts(spark, sf):
     """Intervals that meet each half of a repeated recording; a half without any has a row too."""
-    return I.half_counts(V.valid_segments(spark, sf), V.totals(spark, sf), PERIOD)
+    return I.repeat_counts(V.valid_segments(spark, sf), V.totals(spark, sf), PERIOD)
 
 
 @query(
