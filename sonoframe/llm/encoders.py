@@ -2,8 +2,8 @@
 
 The vocabulary with word ends drops white space and never merges across it, so a text's ids are those of its
 white-space separated chunks in order. Chunks repeat, so a task keeps the ids of the first ones it meets; the
-library encodes the rest. What a task keeps is bounded, some 70 MB. At its end all but the first and so mostly the
-commonest is dropped, so that an idle worker holds some 25 MB beside the vocabulary. Texts holding a character that Python but not the library takes as white space go to the
+library encodes the rest. What a task keeps is bounded, some 100 MB. At its end all but the first and so mostly the
+commonest is dropped, so that an idle worker holds some 40 MB beside the vocabulary. Texts holding a character that Python but not the library takes as white space go to the
 library whole.
 """
 
@@ -17,9 +17,9 @@ from itertools import islice
 import numpy as np
 
 #: Chunks and words kept by a task; more are encoded again when they come again. Longer ones are never kept.
-KEPT_CHUNKS, KEPT_WORDS, KEPT_CHARS = 200_000, 100_000, 32
+KEPT_CHUNKS, KEPT_WORDS, KEPT_CHARS = 300_000, 150_000, 32
 #: Of each so many are left for the next task.
-LEFT = 60_000
+LEFT = 100_000
 #: Code points that str.split() splits at and the library doesn't.
 ODD_SPACES = ("\x1c", "\x1d", "\x1e", "\x1f")
 #: The library's own pre-tokens for a chunk of printable ASCII in lower case.
