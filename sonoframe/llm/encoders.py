@@ -3,8 +3,8 @@
 The vocabulary with word ends drops white space and never merges across it, so a text's ids are those of its
 white-space separated chunks in order. Chunks repeat, so a task keeps the ids of the first ones it meets; the
 library encodes the rest. What a task keeps is bounded, some 100 MB. At its end all but the first and so mostly the
-commonest is dropped, so that an idle worker holds some 40 MB beside the vocabulary. Texts holding a character that Python but not the library takes as white space go to the
-library whole.
+commonest is dropped, so that an idle worker holds some 40 MB beside the vocabulary. Texts holding a character that
+Python but not the library takes as white space go to the library whole.
 """
 
 from __future__ import annotations
