@@ -19,6 +19,7 @@ the replacements are drawn: the shared folder needs the protection that the corp
 
 from __future__ import annotations
 
+import hashlib
 import hmac
 import re
 
@@ -288,6 +289,11 @@ def _draw_worker(key: bytes):
     return run
 
 
+def keyed_name(key: bytes, canon: str) -> str:
+    """Stands for an entity in tables that outlive the job that made them."""
+    return hashlib.sha256(key + b"\0" + canon.encode()).hexdigest()
+
+
 def _replace_worker(key: bytes):
     def run(batches):
         known: dict[tuple[str, str, int], str] = {}
@@ -296,11 +302,11 @@ def _replace_worker(key: bytes):
                 part = batch.slice(at, 500)
                 texts, counts = [], []
                 for text, later in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                    tries = {(o["kind"], o["canon"]): o["attempt"] for o in later or ()}
+                    tries = {(o["kind"], o["named"]): o["attempt"] for o in later or ()}
                     entities = find_entities(text or "")
                     pieces, last = [], 0
                     for start, end, kind, canon in entities:
-                        name = (kind, canon, tries.get((kind, canon), 0))
+                        name = (kind, canon, tries.get((kind, keyed_name(key, canon)), 0) if tries else 0)
                         if name not in known:
                             if len(known) > 100_000:
                                 known.clear()
@@ -342,11 +348,13 @@ def with_surrogates(docs: DataFrame, key: bytes) -> DataFrame:
     with scratch(docs.sparkSession) as keep:
         mentions = settle(rows.mapInArrow(_mention_worker, "doc_id long, kind string, canon string"), "pii-mentions")
         later = attempts(settle(mentions.select("kind", "canon").distinct(), "pii-entities"), key)
+        # The result reads this table later, so it stays, without the entities themselves.
+        named = F.sha2(F.concat(F.unhex(F.lit((key + b"\0").hex())), F.encode("canon", "UTF-8")), 256)
         by_doc = (
             mentions.distinct()
             .join(later, ["kind", "canon"])
             .groupBy(F.col("doc_id").alias("later_id"))
-            .agg(F.collect_list(F.struct("kind", "canon", "attempt")).alias("later"))
+            .agg(F.collect_list(F.struct("kind", named.alias("named"), "attempt")).alias("later"))
         )
         by_doc = keep(settle(by_doc, "pii-later"))
     joined = rows.join(small(by_doc), F.col("doc_id").eqNullSafe(F.col("later_id")), "left").select("doc_id", "text", "later")
