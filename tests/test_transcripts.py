@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from sonoframe.functions import text as X
 from sonoframe.functions.text import edit_counts_of
+from sonoframe.operators import transcripts
 from sonoframe.operators.scan import SINGLE, Layout
 from sonoframe.operators.scoring import scoring_windows
-from sonoframe.operators.transcripts import aligned, token_tiles, transcript_report
+from sonoframe.operators.transcripts import Tile, aligned, token_tiles, transcript_report
 
 SEGMENT = "media_id long, start double, `end` double, text string, k long"
 
@@ -76,3 +77,21 @@ def test_one_long_pair_is_many_tiles(spark):
 
 def test_a_word_of_any_length_is_one_token(spark):
     assert tokens(spark, ["a-" * 50_000 + "a", "a'" * 50_000]) == [["a-" * 50_000 + "a"], ["a'" * 49_999 + "a"]]
+
+
+@pytest.mark.parametrize("kept", [3, 512])
+def test_way_back_through_one_tile_is_the_plain_alignment(monkeypatch, kept):
+    monkeypatch.setattr(transcripts, "KEPT", kept)
+    rnd = random.Random(kept)
+    for _ in range(500):
+        left, right = (rnd.choices("abcde"[: rnd.randint(1, 5)], k=rnd.randint(1, 14)) for _ in range(2))
+        i, j, edits, deletions = Tile(left, right).way_back(len(left), len(right))
+        assert (edits + i + j, deletions + i) == edit_counts_of(left, right)[:2]
+
+
+def test_segments_go_to_tiles_in_slices_and_not_in_tokens(spark):
+    """One row for each tile that a segment reaches, so the rows of the shuffle don't grow with the tokens."""
+    rows = spark.createDataFrame([(1, k, "a b " * 500) for k in range(4)], "media_id long, k long, text string")
+    tiles = token_tiles(rows, ["media_id"], ["k"], Layout(4), 1500)
+    assert [len(r["tokens"]) for r in tiles.orderBy("tile").collect()] == [1500, 1500, 1000]
+    assert "posexplode" not in tiles._jdf.queryExecution().optimizedPlan().toString()
