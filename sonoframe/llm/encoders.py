@@ -13,6 +13,7 @@ import os
 import re
 from functools import lru_cache
 from itertools import islice
+from struct import pack
 
 import numpy as np
 
@@ -50,13 +51,17 @@ class ChunkEncoder:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _word(self, word: str) -> bytes:
-        ids = np.array([t.id for t in self.model.tokenize(word)], "<u4").tobytes()
+        found = [t.id for t in self.model.tokenize(word)]
+        ids = pack(f"<{len(found)}I", *found)
         if len(self.words) < KEPT_WORDS and len(word) <= KEPT_CHARS:
             self.words[word] = ids
         return ids
 
     def _ascii(self, chunk: str) -> bytes:
         words = self.words
+        if chunk.isalpha():
+            word = chunk.lower()
+            return words.get(word) or self._word(word)
         return b"".join([words.get(w) or self._word(w) for w in ASCII_WORDS.findall(chunk.lower())])
 
     def _other(self, chunks: list[str]) -> list[bytes]:
